@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import piece_bpe
-from .common import read
+from . import decontaminate, piece_bpe, simhash, token_store
+from .common import new_path, read
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -22,3 +23,29 @@ def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_piece_bpe"] = op8_piece_bpe
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.find_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.hit_digests(hits)
+
+
+QUERIES["op4_decontaminate"] = op4_decontaminate
+ORACLES["op4_decontaminate"] = decontaminate.ORACLE
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-store")
+    token_store.write_store(read(spark, sf_dir, "documents"), path, _path("word_bpe_49k.json"))
+    return token_store.store_digests(spark, path)
+
+
+QUERIES["op10_token_store"] = op10_token_store
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.linked_components(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES["op7_simhash"] = op7_simhash
