@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, piece_bpe, simhash, token_store
+from . import decontaminate, piece_bpe, simhash, token_store, toxicity
 from .common import new_path, read
 
 QUERIES = {}
@@ -49,3 +49,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_simhash"] = op7_simhash
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES["op6_toxicity"] = op6_toxicity
