@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, map_rows, written
+from .common import components, dropped, map_rows, shuffles, written
 
 SEGMENTS, SEGMENT_BITS = 16, 4
 #: Sub-bag fingerprints of a text, and shingles in each.
@@ -95,7 +95,8 @@ def links(fps: DataFrame) -> DataFrame:
     visits = fps.withColumn("v", popcounts(F.col("fp"))).select("fp", F.posexplode(F.array(*steps)).alias("step", "cell"))
     visits = visits.where("cell is not null")
     shared = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
-    near = visits.join(shared, "cell")
+    # shared cells grow with the input: never broadcast
+    near = visits.join(shared.hint("merge"), "cell")
     one = F.lit(1).cast("long")
     at = (F.col("step") - 1) % SEGMENTS * SEGMENT_BITS
     flips = F.transform(
@@ -107,7 +108,7 @@ def links(fps: DataFrame) -> DataFrame:
         ),
     )
     points = near.select("fp", F.explode(F.when(F.col("step") == 0, F.array("fp")).otherwise(flips)).alias("point"))
-    points = points.where("point is not null")
+    points = written(fps.sparkSession, points.where("point is not null"), "simhash-points")
     first = points.groupBy("point").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
     found = points.join(first, "point").where("fp <> low")
     return found.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))) <= 2).select(
@@ -121,7 +122,8 @@ def linked_components(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     own = written(spark, fingerprints(docs, k, id_col, text_col), "simhash")
     fps = own.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    roots = components(spark, written(spark, links(fps.select("fp")), "simhash-links"))
+    spread = fps.select("fp").repartition(2 * shuffles(spark), "fp")  # each row becomes 33
+    roots = components(spark, written(spark, links(spread), "simhash-links"))
     member = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = member.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     of_fp = member.join(least, "root").select("fp", "component_id")
