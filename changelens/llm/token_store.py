@@ -40,7 +40,8 @@ SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1024, 1 << 16, 112 << 10
 BLOB_BYTES = 1 << 20
 REMEMBERED = 1_000_000
 
-_PLAIN = re.compile(r"[A-Za-z]+[,.]?\Z")
+#: Letters that normalisation leaves alone and lower case maps one to one.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)[,.]?\Z")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -54,12 +55,32 @@ class WordEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.type = f"<u{width}"
+        self.width = width
+        self.last = {i for t, i in self.lib.get_vocab().items() if t.endswith("</w>")}
         self.memo: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
 
+    def pack(self, ids: list[int]) -> bytes:
+        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+
     def fill(self, memo: dict[str, bytes], chunks: list[str]) -> None:
-        for c, e in zip(chunks, self.lib.encode_batch_fast(chunks, add_special_tokens=False)):
-            memo[c] = np.array(e.ids, self.type).tobytes()
+        for c in chunks:
+            memo[c] = self.pack(self.lib.encode(c, add_special_tokens=False).ids)
+
+    def fill_plain(self, words: list[str]) -> None:
+        """Words of letters in one call: each is one unit that ends in a final token."""
+        found: list[bytes] = []
+        word: list[int] = []
+        last = self.last
+        for i in self.lib.encode(" ".join(words), add_special_tokens=False).ids:
+            word.append(i)
+            if i in last:
+                found.append(self.pack(word))
+                word = []
+        if word or len(found) != len(words):
+            self.fill(self.plain, words)
+        else:
+            self.plain.update(zip(words, found))
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -67,20 +88,25 @@ class WordEncoder:
         if _ODD_SPACE.search(text):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.type).tobytes()
         chunks = text.split()
-        memo = self.memo
-        try:
-            return b"".join([memo[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(memo) >= REMEMBERED:
-            memo.clear()
-            self.plain.clear()
-        new = {c for c in chunks if c not in memo}
-        simple = {c: c.rstrip(",.").lower() for c in new if _PLAIN.match(c)}
-        self.fill(self.plain, [w for w in {*simple.values(), ",", "."} if w not in self.plain])
-        for c, w in simple.items():
-            memo[c] = self.plain[w] + (self.plain[c[-1]] if c[-1] in ",." else b"")
-        self.fill(memo, [c for c in new if c not in simple])
+        memo, plain = self.memo, self.plain
+        new = [c for c in chunks if c not in memo]
+        if new:
+            if len(memo) >= REMEMBERED:
+                memo.clear()
+                plain.clear()
+                new = chunks
+            simple, other = [], []
+            for c in set(new):
+                m = _PLAIN.match(c)
+                simple.append((c, m[1].lower())) if m else other.append(c)
+            missing = list({w for _, w in simple if w not in plain})
+            if missing:
+                self.fill_plain(missing)
+            if "," not in plain:
+                self.fill(plain, [",", "."])
+            for c, w in simple:
+                memo[c] = plain[w] if len(c) == len(w) else plain[w] + plain[c[-1]]
+            self.fill(memo, other)
         return b"".join([memo[c] for c in chunks])
 
 
