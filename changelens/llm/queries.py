@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, piece_bpe, simhash, token_store, toxicity
+from . import decontaminate, piece_bpe, simhash, suffix_dedup, token_store, toxicity
 from .common import new_path, read
 
 QUERIES = {}
@@ -56,3 +56,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_toxicity"] = op6_toxicity
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.kept_digests(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op1_suffix_dedup"] = op1_suffix_dedup
