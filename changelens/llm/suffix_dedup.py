@@ -42,7 +42,7 @@ from .common import map_rows, rows_to_batches, shuffles, written
 
 LENGTH, GRAM = 200, 32
 #: Different segments of one hash that one task compares.
-MOST_MEMBERS = 128
+MOST_MEMBERS = 20_000
 BLOCK = 1 << 20
 
 _RNG = np.random.RandomState(20240229)
@@ -205,6 +205,34 @@ def repeated_places(
     """contexts in document order, the first `runs` windows of each in question:
     (context, from, to) of window starts whose longest previous factor (or, with
     keep="none", any factor) reaches length."""
+    parts = [(t, a, b) for t, a, b in _maybe(contexts, runs, length)]
+    found = _factors([contexts[t][a : b + length] for t, a, b in parts], [b - a + 1 for _, a, b in parts], length, keep)
+    return [(parts[k][0], parts[k][1] + a, parts[k][1] + b) for k, a, b in found]
+
+
+def _maybe(contexts: list[bytes], runs: list[int], length: int) -> Iterator[tuple[int, int, int]]:
+    """(context, from, to) around the windows whose hash occurs twice; what is left
+    out cannot repeat here, so the suffix array need not hold it."""
+    starts = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
+    n = np.array(runs)
+    at = np.repeat(starts[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    hashes = Rolling(np.frombuffer(b"".join(contexts), np.uint8)).hashes(at, at + length)
+    order = np.argsort(hashes)
+    same = hashes[order][1:] == hashes[order][:-1]
+    again = np.zeros(len(at), bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    text = np.repeat(np.arange(len(contexts)), n)[again]
+    place = at[again] - starts[text]
+    if len(text):
+        first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        last = np.append(first[1:], len(text)) - 1
+        yield from zip(text[first].tolist(), place[first].tolist(), place[last].tolist())
+
+
+def _factors(contexts: list[bytes], runs: list[int], length: int, keep: str) -> list[tuple[int, int, int]]:
+    if not contexts:
+        return []
     sizes = np.array([len(c) for c in contexts])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     data = np.frombuffer(b"".join(contexts), np.uint8)
@@ -285,7 +313,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", gram: int
     spark = docs.sparkSession
     docs = docs.select("uid", "text").where("uid is not null")
     seg = _segments(docs, length, gram)
+    # a table of its own, so that the join below can split the rows of a common hash
     common = seg.groupBy("kh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kh")
+    common = written(spark, common, "suffix-common")
     # keys grow with the input: never broadcast
     cand = written(spark, seg.join(common.hint("merge"), "kh"), "suffix-candidates")
     kinds = cand.groupBy("kh", "ch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "low", "high")).alias("first"))
