@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, piece_bpe, simhash, suffix_dedup, token_store, toxicity
+from . import decontaminate, html_text, piece_bpe, sharding, simhash, suffix_dedup, token_store, toxicity
 from .common import new_path, read
 
 QUERIES = {}
@@ -63,3 +63,17 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_suffix_dedup"] = op1_suffix_dedup
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op2_sharding"] = op2_sharding
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+QUERIES["op3_html_text"] = op3_html_text
