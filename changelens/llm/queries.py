@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, piece_bpe, sharding, simhash, suffix_dedup, token_store, toxicity
+from . import decontaminate, html_text, piece_bpe, quotes, sharding, simhash, suffix_dedup, token_store, toxicity
 from .common import new_path, read
 
 QUERIES = {}
@@ -77,3 +77,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_html_text"] = op3_html_text
+
+
+def op5_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_conversations(read(spark, sf_dir, "conversations"))
+
+
+QUERIES["op5_quotes"] = op5_quotes
