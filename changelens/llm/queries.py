@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, piece_bpe, quotes, sharding, simhash, suffix_dedup, token_store, toxicity
+from . import decontaminate, html_text, media, piece_bpe, quotes, sharding, simhash, suffix_dedup, token_store, toxicity
 from .common import new_path, read
 
 QUERIES = {}
@@ -84,3 +84,11 @@ def op5_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_quotes"] = op5_quotes
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = media.with_media(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return media.search(images, F.col("media_id") % 50 == 0)
+
+
+QUERIES["op9_media"] = op9_media
