@@ -214,21 +214,48 @@ def encoder(model_path: str) -> PieceBpe:
     return PieceBpe(model_path)
 
 
-def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>, decoded string) for each row of docs."""
-    out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+def encode_pieces(
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True
+) -> DataFrame:
+    """(doc_id, n_tokens, ids array<int>, ids_sha256, decoded_sha256, decoded) for each
+    row of docs; decoded is null unless asked for."""
+    out = pa.schema(
+        [
+            ("doc_id", pa.int64()),
+            ("n_tokens", pa.int64()),
+            ("ids", pa.list_(pa.int32())),
+            ("ids_sha256", pa.string()),
+            ("decoded_sha256", pa.string()),
+            ("decoded", pa.string()),
+        ]
+    )
 
-    def make():
+    def run(batches):
         e = encoder(model_path)
-
-        def row(r):
-            ids = e.encode(r[1])
-            return r[0], ids.astype(np.int32), e.decode(ids.tolist())
-
-        return row
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                ids = [e.encode(t) for t in part.column(1).to_pylist()]
+                texts = [e.decode(x.tolist()) for x in ids]
+                at = np.cumsum([0, *map(len, ids)])
+                lists = pa.ListArray.from_arrays(
+                    pa.array(at, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32) if ids else [], pa.int32())
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array(np.diff(at), pa.int64()),
+                        lists,
+                        pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
+                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]),
+                        pa.array(texts if decoded else [None] * len(ids), pa.string()),
+                    ],
+                    schema=out,
+                )
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(src, make, out, "doc_id long, ids array<int>, decoded string")
+    ddl = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string, decoded string"
+    return src.mapInArrow(run, ddl)
 
 
 def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
