@@ -40,14 +40,18 @@ SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1024, 1 << 16, 112 << 10
 BLOB_BYTES = 1 << 20
 REMEMBERED = 1_000_000
 
-#: Letters that normalisation leaves alone and lower case maps one to one.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)[,.]?\Z")
+#: Texts of these characters alone: normalisation leaves them as they are but for
+#: lower case, which maps one to one, and the tokenizer cuts them as _UNIT does.
+_PLAIN = re.compile("[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]*")
+_UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class WordEncoder:
-    """The tokenizers library behind a memory of white-space-free chunks: the
-    tokenizer drops white space and no token reaches across it."""
+    """The tokenizers library behind a memory of the units it cuts texts into; no
+    token reaches across them. Texts with rarer characters are cut at white space,
+    which the tokenizer drops, and what lies between is remembered as it is."""
 
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,8 +61,8 @@ class WordEncoder:
         self.type = f"<u{width}"
         self.width = width
         self.last = {i for t, i in self.lib.get_vocab().items() if t.endswith("</w>")}
-        self.memo: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # units of plain texts, in lower case
+        self.rare: dict[str, bytes] = {}  # what stands between white space elsewhere
 
     def pack(self, ids: list[int]) -> bytes:
         return b"".join([i.to_bytes(self.width, "little") for i in ids])
@@ -67,7 +71,7 @@ class WordEncoder:
         for c in chunks:
             memo[c] = self.pack(self.lib.encode(c, add_special_tokens=False).ids)
 
-    def fill_plain(self, words: list[str]) -> None:
+    def fill_letters(self, words: list[str]) -> None:
         """Words of letters in one call: each is one unit that ends in a final token."""
         found: list[bytes] = []
         word: list[int] = []
@@ -78,36 +82,30 @@ class WordEncoder:
                 found.append(self.pack(word))
                 word = []
         if word or len(found) != len(words):
-            self.fill(self.plain, words)
+            self.fill(self.memo, words)
         else:
-            self.plain.update(zip(words, found))
+            self.memo.update(zip(words, found))
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD_SPACE.search(text):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.type).tobytes()
-        chunks = text.split()
-        memo, plain = self.memo, self.plain
-        new = [c for c in chunks if c not in memo]
-        if new:
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            memo, units = self.memo, _UNIT.findall(text.lower())
+        elif _ODD_SPACE.search(text):
+            return self.pack(self.lib.encode(text, add_special_tokens=False).ids)
+        else:
+            memo, units = self.rare, text.split()
+        found = list(map(memo.get, units))
+        if None in found:
             if len(memo) >= REMEMBERED:
                 memo.clear()
-                plain.clear()
-                new = chunks
-            simple, other = [], []
-            for c in set(new):
-                m = _PLAIN.match(c)
-                simple.append((c, m[1].lower())) if m else other.append(c)
-            missing = list({w for _, w in simple if w not in plain})
-            if missing:
-                self.fill_plain(missing)
-            if "," not in plain:
-                self.fill(plain, [",", "."])
-            for c, w in simple:
-                memo[c] = plain[w] if len(c) == len(w) else plain[w] + plain[c[-1]]
-            self.fill(memo, other)
-        return b"".join([memo[c] for c in chunks])
+            new = {u for u in units if u not in memo}
+            letters = [u for u in new if _LETTERS.fullmatch(u)] if memo is self.memo else []
+            if letters:
+                self.fill_letters(letters)
+            self.fill(memo, [u for u in new if u not in memo])
+            found = [memo[u] for u in units]
+        return b"".join(found)
 
 
 @lru_cache(maxsize=2)
@@ -163,6 +161,8 @@ def write_store(
 
         enc = encoder(tokenizer_path, width)
         own = zstandard.ZstdCompressionDict(trained) if trained else None
+        if own is not None:
+            own.precompute_compress(level=3)  # not again for each short frame
         pack = zstandard.ZstdCompressor(level=3, dict_data=own)
         part, blob, first, ids_in = TaskContext.get().partitionId(), 0, 0, 0
         end = end_id.to_bytes(width, "little")
