@@ -171,12 +171,12 @@ def near_duplicates(
     classes = own.groupBy("tkey").agg(F.first("bags").alias("bags"))
     member = classes.select("tkey", F.explode("bags").alias("bag"))
     shared = member.groupBy("bag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bag")
-    left = written(spark, member.join(shared, "bag").select("tkey", "bag"), "simhash-left")
+    left = written(spark, member.join(shared.hint("merge"), "bag").select("tkey", "bag"), "simhash-left")
 
     picked = left.select("tkey").distinct()
     set_pa = pa.schema([("tkey", pa.binary()), ("shingles", pa.binary())])
     to_set = lambda: lambda r: (r[0], np.unique(shingle_hashes(r[1], k)).tobytes())
-    texts = base.join(picked, "tkey", "left_semi").groupBy("tkey").agg(F.first("text").alias("text"))
+    texts = base.join(picked.hint("merge"), "tkey", "left_semi").groupBy("tkey").agg(F.first("text").alias("text"))
     sets = written(spark, map_rows(texts, to_set, set_pa, "tkey binary, shingles binary"), "simhash-sets")
 
     @F.pandas_udf("boolean")
@@ -195,13 +195,13 @@ def near_duplicates(
     edges: DataFrame | None = None
     while True:
         ends = left.groupBy("bag").agg(F.min("tkey").alias("low"), F.max("tkey").alias("high")).where("low <> high")
-        with_ends = left.join(ends, "bag")
+        with_ends = left.join(ends.hint("merge"), "bag")
         tries = with_ends.select("tkey", "bag", F.explode(F.array("low", "high")).alias("other"))
         tries = tries.where("tkey <> other")
         pairs = tries.select("tkey", "other").distinct()
         a = sets.select("tkey", F.col("shingles").alias("a"))
         b = sets.select(F.col("tkey").alias("other"), F.col("shingles").alias("b"))
-        good = pairs.join(a, "tkey").join(b, "other").where(alike("a", "b")).select("tkey", "other")
+        good = pairs.join(a.hint("merge"), "tkey").join(b.hint("merge"), "other").where(alike("a", "b")).select("tkey", "other")
         good = written(spark, good, "simhash-good")
         edges = good if edges is None else edges.union(good)
         hit = tries.join(good, ["tkey", "other"], "left_semi").select("tkey", "bag")
@@ -243,4 +243,4 @@ def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
         }
     )
     on = ["_sh_key", "_sh_id"]
-    return keyed.join(keep, on, "left_semi").dropDuplicates(on).select(*docs.columns)
+    return keyed.join(keep.hint("merge"), on, "left_semi").dropDuplicates(on).select(*docs.columns)
