@@ -56,8 +56,9 @@ def balanced_shards(docs: DataFrame, n_shards: int = 24, links: list[str] | None
     links = links or ["link"]
     total = docs.count()
     quota = [total // n_shards + (j < total % n_shards) for j in range(n_shards)]
-    sizes = docs.groupBy(*links).agg(F.count(F.lit(1)).alias("_g")).where("_g > 1")
-    linked_ids = docs.join(sizes.select(*links).hint("merge"), links).select("uid", F.xxhash64(*links).alias("_k"), *links)
+    sizes = docs.groupBy(*links).agg(F.count(F.lit(1)).alias("_g")).where("_g > 1").select(*links)
+    sizes = written(spark, sizes, "shard-links")  # so that the join can split a large group
+    linked_ids = docs.join(sizes.hint("merge"), links).select("uid", F.xxhash64(*links).alias("_k"), *links)
     one = linked_ids.withColumn("_one", F.lit(0))
     start = _ranked(one, ["_one"], F.col("_k"), F.col("uid"), "_rank")
     state = written(spark, start.select("uid", *links, "_k", (F.col("_rank") % n_shards).cast("int").alias("shard")), "shards")
