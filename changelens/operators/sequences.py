@@ -204,7 +204,7 @@ def transitions(states: DataFrame, key: str, order: list[str], state: str = "sta
     """states with the one before, whether the step is legal, and progress."""
     prior = F.lag(state).over(Window.partitionBy(key).orderBy(*order))
     own = states.withColumn("prior", prior)
-    legal = F.coalesce(can_transition(F.col("prior"), F.col(state)), F.col("prior").isNull())
+    legal = F.when(F.col("prior").isNull(), True).otherwise(can_transition(F.col("prior"), F.col(state)))
     return own.withColumn("legal", legal).withColumn("progress", progress(F.col(state)))
 
 
