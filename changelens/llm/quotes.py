@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import dropped, written
+from .common import written
 
 #: Turns that one task orders at once.
 TURN_BLOCK = 256
@@ -78,7 +78,7 @@ def own_text(lines: Column) -> Column:
         ),
         lambda x: x.isNotNull(),
     )
-    return F.trim(F.array_join(kept, "\n"))
+    return F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", "")
 
 
 def passages(messages: DataFrame) -> DataFrame:
@@ -173,11 +173,16 @@ def roots(parent: DataFrame) -> DataFrame:
     )
     state = written(spark, state, "quotes-roots")
     rows, rounds = state.count(), 0
+    done = [state.where("depth = 0")]
+    going = state.where("depth > 0")
     while True:
-        over = state.select(
+        over = going
+        for d in done:
+            over = over.union(d)
+        over = over.select(
             F.col("m").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("low").alias("low2")
         )
-        step = state.join(over.hint("merge"), "up").select(
+        step = going.join(over.hint("merge"), "up").select(
             "m",
             F.col("up2").alias("up"),
             (F.col("depth") + F.col("more")).alias("depth"),
@@ -185,13 +190,14 @@ def roots(parent: DataFrame) -> DataFrame:
             (F.col("more") > 0).alias("on"),
         )
         step = written(spark, step, "quotes-roots")
-        on = step.where("on").count()
-        dropped(spark, state)
-        state = step.drop("on")
-        state._changelens_path = step._changelens_path
+        done.append(step.where("not on").drop("on"))  # these see their root; they stay as they are
+        going = step.where("on").drop("on")
         rounds += 1
-        if not on or 2**rounds > rows:
+        if 2**rounds > rows or going.isEmpty():
             break
+    state = going
+    for d in done:
+        state = state.union(d)
     # only a circle still goes on after that many steps
     circle = F.col("depth") >= rows
     return state.select(
