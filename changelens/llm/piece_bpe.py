@@ -31,7 +31,7 @@ from .common import map_rows
 
 SPACE = "▁"
 #: Chunks a worker remembers; beyond, it starts anew. Bounds memory, not results.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 
 
 class PieceBpe:
@@ -147,7 +147,8 @@ class PieceBpe:
                     run = ""
             if run:
                 ids += self.backtracked(run)
-            got = (np.array(ids, "<u4").tobytes(), self.decode_pieces(ids))
+            text = self.decode_pieces(ids)
+            got = (np.array(ids, "<u4").tobytes(), s if text == s else text)  # no second copy
             if len(self.core_memo) >= REMEMBERED:
                 self.core_memo.clear()
             self.core_memo[s] = got
@@ -166,7 +167,8 @@ class PieceBpe:
                 else:
                     parts.append(p)
             found = [self.core(p) for p in parts]
-            got = (b"".join(f[0] for f in found), "".join(f[1] for f in found))
+            text = "".join(f[1] for f in found)
+            got = (b"".join(f[0] for f in found), word if text == word else text)
             if len(self.memo) >= REMEMBERED:
                 self.memo.clear()
             self.memo[word] = got

@@ -38,7 +38,7 @@ from .common import map_rows, shuffles
 #: The dictionary is trained on this many documents at most, none longer than SAMPLE_BYTES.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1024, 1 << 16, 112 << 10
 BLOB_BYTES = 1 << 20
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 
 #: Texts of these characters alone: normalisation leaves them as they are but for
 #: lower case, which maps one to one, and the tokenizer cuts them as _UNIT does.
@@ -55,12 +55,18 @@ class WordEncoder:
 
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.type = f"<u{width}"
         self.width = width
-        self.last = {i for t, i in self.lib.get_vocab().items() if t.endswith("</w>")}
+        self.last = np.zeros(self.lib.get_vocab_size(), bool)
+        self.last[[i for t, i in self.lib.get_vocab().items() if t.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}  # units of plain texts, in lower case
         self.rare: dict[str, bytes] = {}  # what stands between white space elsewhere
 
@@ -72,24 +78,22 @@ class WordEncoder:
             memo[c] = self.pack(self.lib.encode(c, add_special_tokens=False).ids)
 
     def fill_letters(self, words: list[str]) -> None:
-        """Words of letters in one call: each is one unit that ends in a final token."""
-        found: list[bytes] = []
-        word: list[int] = []
-        last = self.last
-        for i in self.lib.encode(" ".join(words), add_special_tokens=False).ids:
-            word.append(i)
-            if i in last:
-                found.append(self.pack(word))
-                word = []
-        if word or len(found) != len(words):
+        """Words of letters in one call: each is one unit that ends in a final token.
+        They need no normalisation, so the same model does without it."""
+        got = self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        ids = np.array(got, self.type)
+        raw = ids.tobytes()
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * self.width).tolist()
+        if len(ends) != len(words) or ends[-1] != len(raw):
             self.fill(self.memo, words)
         else:
-            self.memo.update(zip(words, found))
+            self.memo.update(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)]))
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _PLAIN.fullmatch(text) and "<|" not in text:
+        plain = not any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else _PLAIN.fullmatch(text)
+        if plain and "<|" not in text:
             memo, units = self.memo, _UNIT.findall(text.lower())
         elif _ODD_SPACE.search(text):
             return self.pack(self.lib.encode(text, add_special_tokens=False).ids)
