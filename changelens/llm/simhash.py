@@ -29,6 +29,8 @@ deduplicate(), whatever their names.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,6 +41,8 @@ from .common import components, dropped, map_rows, shuffles, written
 SEGMENTS, SEGMENT_BITS = 16, 4
 #: Sub-bag fingerprints of a text, and shingles in each.
 TABLES, SUB_BAG = 20, 5
+#: Tables worked off first; most groups hang together after them.
+FIRST_TABLES = 4
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -152,6 +156,35 @@ def sub_bags(h: np.ndarray, tables: int = TABLES, size: int = SUB_BAG) -> list[i
     return out
 
 
+def _alike(pairs: DataFrame, sets: DataFrame, n_sets: int, similarity: float) -> DataFrame:
+    """The pairs (tkey, other) whose shingle sets have at least this Jaccard similarity.
+    While they are few against the sets (and 100,000 at most), pairs are broadcast to
+    pick the sets that are needed; else both sides are shuffled."""
+    schema = pa.schema([("tkey", pa.binary()), ("other", pa.binary())])
+    few = pairs.count() <= min(n_sets // 20, 100_000)
+    need_a = pairs.select("tkey").distinct()
+    need_b = pairs.select("other").distinct()
+    a = sets.join(F.broadcast(need_a), "tkey", "left_semi") if few else sets
+    b = sets.withColumnRenamed("tkey", "other")
+    b = b.join(F.broadcast(need_b), "other", "left_semi") if few else b
+    both = pairs.join(a.withColumnRenamed("shingles", "a").hint("merge"), "tkey")
+    both = both.join(b.withColumnRenamed("shingles", "b").hint("merge"), "other").select("tkey", "other", "a", "b")
+
+    def run(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for r in range(batch.num_rows):
+                u = np.frombuffer(batch.column(2)[r].as_buffer(), np.uint64)
+                v = np.frombuffer(batch.column(3)[r].as_buffer(), np.uint64)
+                if min(len(u), len(v)) >= similarity * max(len(u), len(v)):
+                    shared = len(np.intersect1d(u, v, assume_unique=True))
+                    keep[r] = shared >= similarity * (len(u) + len(v) - shared)
+            got = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema)
+            yield got.filter(pa.array(keep))
+
+    return both.mapInArrow(run, "tkey binary, other binary")
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -169,46 +202,58 @@ def near_duplicates(
     make = lambda: lambda r: (r[0], r[2], sub_bags(shingle_hashes(r[1], k)))
     own = written(spark, map_rows(base, make, out, "doc_id long, tkey binary, bags array<long>"), "simhash-bags")
     classes = own.groupBy("tkey").agg(F.first("bags").alias("bags"))
-    member = classes.select("tkey", F.explode("bags").alias("bag"))
+    member = classes.select("tkey", F.posexplode("bags").alias("t", "bag"))
     shared = member.groupBy("bag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bag")
-    left = written(spark, member.join(shared.hint("merge"), "bag").select("tkey", "bag"), "simhash-left")
+    shared = written(spark, shared, "simhash-shared")
+    left = member.join(shared.hint("merge"), "bag").select("t", "bag", "tkey", F.col("tkey").alias("root"))
+    left = written(spark, left, "simhash-left")
 
-    picked = left.select("tkey").distinct()
+    picked = written(spark, left.select("tkey").distinct(), "simhash-picked")
     set_pa = pa.schema([("tkey", pa.binary()), ("shingles", pa.binary())])
     to_set = lambda: lambda r: (r[0], np.unique(shingle_hashes(r[1], k)).tobytes())
     texts = base.join(picked.hint("merge"), "tkey", "left_semi").groupBy("tkey").agg(F.first("text").alias("text"))
     sets = written(spark, map_rows(texts, to_set, set_pa, "tkey binary, shingles binary"), "simhash-sets")
-
-    @F.pandas_udf("boolean")
-    def alike(a, b):
-        import pandas as pd
-
-        def one(x, y):
-            u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if min(len(u), len(v)) < similarity * max(len(u), len(v)):
-                return False
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            return both >= similarity * (len(u) + len(v) - both)
-
-        return pd.Series([one(x, y) for x, y in zip(a, b)])
+    n_sets = sets.count()
 
     edges: DataFrame | None = None
-    while True:
-        ends = left.groupBy("bag").agg(F.min("tkey").alias("low"), F.max("tkey").alias("high")).where("low <> high")
-        with_ends = left.join(ends.hint("merge"), "bag")
-        tries = with_ends.select("tkey", "bag", F.explode(F.array("low", "high")).alias("other"))
-        tries = tries.where("tkey <> other")
-        pairs = tries.select("tkey", "other").distinct()
-        a = sets.select("tkey", F.col("shingles").alias("a"))
-        b = sets.select(F.col("tkey").alias("other"), F.col("shingles").alias("b"))
-        good = pairs.join(a.hint("merge"), "tkey").join(b.hint("merge"), "other").where(alike("a", "b")).select("tkey", "other")
-        good = written(spark, good, "simhash-good")
+    for turn in itertools.count():
+        # a bucket is done when all of it hangs together already
+        h = F.xxhash64("tkey")
+        one = F.struct("tkey", "root")
+        active = left.where(F.col("t") < FIRST_TABLES) if turn == 0 else left
+        ends = active.groupBy("bag").agg(
+            F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(one).alias("a"), F.max(one).alias("b"),
+            F.min_by(one, h).alias("c"), F.max_by(one, h).alias("d"),
+        )
+        reps = F.array("a", "b") if turn == 0 else F.array_distinct(F.array("a", "b", "c", "d"))
+        ends = ends.where("r0 <> r1").select("bag", reps.alias("reps"))
+        ends = written(spark, ends, "simhash-ends")
+        tries = left.join(ends.hint("merge"), "bag")
+        each = tries.select("tkey", "root", F.explode("reps").alias("x")).where("tkey <> x.tkey and root <> x.root")
+        low, high = F.least("tkey", F.col("x.tkey")), F.greatest("tkey", F.col("x.tkey"))
+        pairs = written(spark, each.select(low.alias("tkey"), high.alias("other")).distinct(), "simhash-pairs")
+        good = written(spark, _alike(pairs, sets, n_sets, similarity), "simhash-good")
+        dropped(spark, pairs)
         edges = good if edges is None else edges.union(good)
-        hit = tries.join(good, ["tkey", "other"], "left_semi").select("tkey", "bag")
-        rest = with_ends.where("tkey <> low and tkey <> high")
-        rest = rest.select("tkey", "bag").join(hit, ["tkey", "bag"], "left_anti")
-        rest = written(spark, rest, "simhash-left")
+        both = good.select("tkey", F.col("other").alias("rep")).union(good.select(F.col("other"), F.col("tkey")))
+        if turn < 2:
+            # those that hang together by now need no more comparing
+            now = components(spark, edges.select(F.col("tkey").alias("a"), F.col("other").alias("b")))
+            now = now.withColumnRenamed("node", "tkey").withColumnRenamed("root", "_now")
+            rest = left.join(now.hint("merge"), "tkey", "left").withColumn("root", F.coalesce("_now", "root")).drop("_now")
+        else:
+            found = tries.select("bag", "tkey", F.explode("reps").alias("x")).select("bag", "tkey", F.col("x.tkey").alias("rep"))
+            found = found.join(both.hint("merge"), ["tkey", "rep"], "left_semi").select("bag", "tkey").distinct()
+            rest = left.join(found.hint("merge"), ["bag", "tkey"], "left_anti")
+        # buckets that were compared go on without those they were compared with
+        asked = ends.select("bag", F.transform("reps", lambda x: x["tkey"]).alias("_reps"))
+        rest = rest.join(asked.hint("merge"), "bag", "left")
+        if turn > 0:
+            rest = rest.where("_reps is not null")
+        rest = rest.where(~F.coalesce(F.array_contains("_reps", F.col("tkey")), F.lit(False))).drop("_reps")
+        rest = written(spark, rest.select(*left.columns), "simhash-left")
         dropped(spark, left)
+        dropped(spark, ends)
         left = rest
         if left.isEmpty():
             break
