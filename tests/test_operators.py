@@ -238,11 +238,11 @@ Currency conversion is left to others.
 
 def test_readme(spark):
     df = spark.createDataFrame([("r", README)], "repo STRING, text STRING")
-    assert [r[1:] for r in rows(charter.headings(df, "repo"), "repo", "no", "level", "title")][:3] == [(0, 1, "Invoicer"), (3, 2, "Why"), (8, 2, "Non-goals")]
+    assert [r[1:] for r in rows(charter.headings(df, "repo"), "repo", "no", "level", "title")][:3] == [(0, 1, "Invoicer"), (3, 2, "Why"), (9, 2, "Non-goals")]
     got = rows(charter.readme_claims(df, "repo"), "kind", "text", "source")
     assert ("purpose", "It turns orders into invoices for small shops.", "README.md:2") in got
     assert ("purpose", "Because a wrapped bullet goes on here", "README.md:6") in got
-    assert ("constraint", "Not a goal: Currency conversion is left to others.", "README.md:10") in got
+    assert ("constraint", "Not a goal: Currency conversion is left to others.", "README.md:11") in got
 
 
 def test_ranking(spark):
