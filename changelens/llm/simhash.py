@@ -43,6 +43,8 @@ SEGMENTS, SEGMENT_BITS = 16, 4
 TABLES, SUB_BAG = 20, 5
 #: Tables worked off first; most groups hang together after them.
 FIRST_TABLES = 4
+#: Members of a bucket that one round compares with all the others.
+AT_ONCE = 16
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -192,8 +194,8 @@ def near_duplicates(
     chain of equal texts or of pairs whose k-word shingle sets have at least this
     Jaccard similarity; n_links counts the links between different texts that were
     found for this text. Every bucket of equal sub-bag fingerprints is worked off
-    in rounds: all members are compared with two of them, and those that matched
-    neither stay for the next round."""
+    in rounds: all members are compared with two of them, and then, where a bucket
+    does not hang together by that, each member outside its largest group with all."""
     spark = docs.sparkSession
     key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("tkey"))
@@ -216,46 +218,44 @@ def near_duplicates(
     n_sets = sets.count()
 
     edges: DataFrame | None = None
+    one = F.struct("tkey", "root")
     for turn in itertools.count():
-        # a bucket is done when all of it hangs together already
-        h = F.xxhash64("tkey")
-        one = F.struct("tkey", "root")
-        active = left.where(F.col("t") < FIRST_TABLES) if turn == 0 else left
-        ends = active.groupBy("bag").agg(
-            F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(one).alias("a"), F.max(one).alias("b"),
-            F.min_by(one, h).alias("c"), F.max_by(one, h).alias("d"),
-        )
-        reps = F.array("a", "b") if turn == 0 else F.array_distinct(F.array("a", "b", "c", "d"))
-        ends = ends.where("r0 <> r1").select("bag", reps.alias("reps"))
+        if turn < 2:
+            # two members of each bucket, the first tables first: most groups hang together then
+            active = left.where(F.col("t") < FIRST_TABLES) if turn == 0 else left
+            ends = active.groupBy("bag").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(one).alias("a"), F.max(one).alias("b"))
+            ends = ends.where("r0 <> r1").select("bag", F.explode(F.array("a", "b")).alias("x"))
+        else:
+            # then those outside a bucket's largest group, each once, against all the others
+            sizes = left.groupBy("bag", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bag")
+            major = sizes.agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
+            small = left.join(major.select("bag", F.col("m.root").alias("_m")).hint("merge"), "bag").where("root <> _m")
+            part = F.pmod(F.xxhash64("tkey"), F.lit(AT_ONCE)).alias("_s")
+            ends = small.groupBy("bag", part).agg(F.min(one).alias("x")).select("bag", "x")
         ends = written(spark, ends, "simhash-ends")
-        tries = left.join(ends.hint("merge"), "bag")
-        each = tries.select("tkey", "root", F.explode("reps").alias("x")).where("tkey <> x.tkey and root <> x.root")
+        each = left.join(ends.hint("merge"), "bag").where("tkey <> x.tkey and root <> x.root")
         low, high = F.least("tkey", F.col("x.tkey")), F.greatest("tkey", F.col("x.tkey"))
         pairs = written(spark, each.select(low.alias("tkey"), high.alias("other")).distinct(), "simhash-pairs")
         good = written(spark, _alike(pairs, sets, n_sets, similarity), "simhash-good")
         dropped(spark, pairs)
         edges = good if edges is None else edges.union(good)
-        both = good.select("tkey", F.col("other").alias("rep")).union(good.select(F.col("other"), F.col("tkey")))
         if turn < 2:
-            # those that hang together by now need no more comparing
             now = components(spark, edges.select(F.col("tkey").alias("a"), F.col("other").alias("b")))
-            now = now.withColumnRenamed("node", "tkey").withColumnRenamed("root", "_now")
+            now = written(spark, now.withColumnRenamed("node", "tkey").withColumnRenamed("root", "_now"), "simhash-now")
             rest = left.join(now.hint("merge"), "tkey", "left").withColumn("root", F.coalesce("_now", "root")).drop("_now")
         else:
-            found = tries.select("bag", "tkey", F.explode("reps").alias("x")).select("bag", "tkey", F.col("x.tkey").alias("rep"))
-            found = found.join(both.hint("merge"), ["tkey", "rep"], "left_semi").select("bag", "tkey").distinct()
-            rest = left.join(found.hint("merge"), ["bag", "tkey"], "left_anti")
-        # buckets that were compared go on without those they were compared with
-        asked = ends.select("bag", F.transform("reps", lambda x: x["tkey"]).alias("_reps"))
-        rest = rest.join(asked.hint("merge"), "bag", "left")
-        if turn > 0:
-            rest = rest.where("_reps is not null")
-        rest = rest.where(~F.coalesce(F.array_contains("_reps", F.col("tkey")), F.lit(False))).drop("_reps")
+            asked = ends.select("bag", F.col("x.tkey").alias("tkey"))
+            rest = left.join(ends.select("bag").distinct().hint("merge"), "bag", "left_semi")
+            rest = rest.join(asked.hint("merge"), ["bag", "tkey"], "left_anti")
+        if turn:
+            several = rest.groupBy("bag").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+            several = written(spark, several.select("bag"), "simhash-several")
+            rest = rest.join(several.hint("merge"), "bag", "left_semi")
         rest = written(spark, rest.select(*left.columns), "simhash-left")
         dropped(spark, left)
         dropped(spark, ends)
         left = rest
-        if left.isEmpty():
+        if turn and left.isEmpty():
             break
     edges = edges.select(F.col("tkey").alias("a"), F.col("other").alias("b"))
     roots = components(spark, edges).select(F.col("node").alias("tkey"), "root")
