@@ -19,7 +19,7 @@ find_hits() and kept by remove().
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -182,15 +182,13 @@ def hit_digests(hits: DataFrame) -> DataFrame:
     )
 
 
-def clean_text(text: str | None, grams: Grams, _word=None) -> tuple[str | None, int]:
+def clean_text(text: str | None, grams: Grams) -> tuple[str | None, int]:
     """The text without hit words, and how many were hit; what stands between two
     hit words of one span goes with them."""
-    import re
-
     if not text:
         return text, 0
     raw = text.encode()
-    at = [m.span() for m in re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", raw)]
+    at = [m.span() for m in re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", raw.lower())]
     spans, _ = grams.hits(words(text))
     out, pos = [], 0
     for a, b in spans:

@@ -76,7 +76,7 @@ _OUT_WORDS = re.compile(
 )
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 _MARKS = frozenset(["article", "main"])
-OUT_PENALTY = 2.0
+OUT_PENALTY = 0.5
 
 
 class Page:

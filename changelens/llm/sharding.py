@@ -49,6 +49,15 @@ def _per_shard(values: list[int], shard: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), shard.cast("int") + 1)
 
 
+def _by_rank(rank: Column, sizes: list[int]) -> Column:
+    """The shard of a rank where shards are filled one after another."""
+    shard, upto = F.lit(len(sizes) - 1), sum(sizes)
+    for j in range(len(sizes) - 1, -1, -1):
+        shard = F.when(rank < upto, F.lit(j)).otherwise(shard)
+        upto -= sizes[j]
+    return shard.cast("int")
+
+
 def balanced_shards(docs: DataFrame, n_shards: int = 24, links: list[str] | None = None) -> DataFrame:
     """docs(uid, ...) with columns shard and slot. uid is unique; rows with equal
     values in the columns `links` are linked."""
@@ -61,7 +70,9 @@ def balanced_shards(docs: DataFrame, n_shards: int = 24, links: list[str] | None
     linked_ids = docs.join(sizes.hint("merge"), links).select("uid", F.xxhash64(*links).alias("_k"), *links)
     one = linked_ids.withColumn("_one", F.lit(0))
     start = _ranked(one, ["_one"], F.col("_k"), F.col("uid"), "_rank")
-    state = written(spark, start.select("uid", *links, "_k", (F.col("_rank") % n_shards).cast("int").alias("shard")), "shards")
+    n_linked = linked_ids.count()
+    begin = [n_linked // n_shards + (k < n_linked % n_shards) for k in range(n_shards)]  # never above the quota
+    state = written(spark, start.select("uid", *links, "_k", _by_rank(F.col("_rank"), begin).alias("shard")), "shards")
 
     def loads(df: DataFrame) -> list[int]:
         got = {r[0]: r[1] for r in df.groupBy("shard").count().collect()}  # a row for each shard
@@ -102,11 +113,7 @@ def balanced_shards(docs: DataFrame, n_shards: int = 24, links: list[str] | None
     left = [q - h for q, h in zip(quota, loads(state))]
     single = docs.join(state.select("uid").hint("merge"), "uid", "left_anti").select("uid")
     single = _ranked(single.withColumn("_one", F.lit(0)), ["_one"], F.col("uid"), F.col("uid"), "_rank")
-    shard, upto = F.lit(n_shards - 1), sum(left)
-    for j in range(n_shards - 1, -1, -1):
-        shard = F.when(F.col("_rank") < upto, F.lit(j)).otherwise(shard)
-        upto -= left[j]
-    placed = single.select("uid", shard.cast("int").alias("shard")).union(state.select("uid", "shard"))
+    placed = single.select("uid", _by_rank(F.col("_rank"), left).alias("shard")).union(state.select("uid", "shard"))
     placed = _ranked(placed, ["shard"], F.col("uid"), F.col("uid"), "slot")
     return docs.join(placed.hint("merge"), "uid")
 
