@@ -42,8 +42,8 @@ from .common import map_rows, rows_to_batches, shuffles, written
 
 LENGTH, GRAM = 200, 32
 #: Different segments of one hash that one task compares.
-MOST_MEMBERS = 20_000
-BLOCK = 1 << 20
+MOST_MEMBERS = 4_000
+BLOCK = 1 << 19
 
 _RNG = np.random.RandomState(20240229)
 _TABLES = _RNG.randint(0, 2**62, (2, 256), dtype=np.int64).astype(np.uint64) * np.uint64(4) + np.uint64(1)
@@ -146,8 +146,8 @@ def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[i
         sorted_key = key[order]
         new = np.ones(n, bool)
         new[1:] = sorted_key[1:] != sorted_key[:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(new, dtype=np.int32)
         levels.append((h, rank))
         if h >= depth or rank[order[-1]] == n:
             return order, levels
