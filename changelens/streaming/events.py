@@ -90,10 +90,11 @@ def run_states(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").applyInPandasWithState(step, out, "state STRING", "append", GroupStateTimeout.NoTimeout)
 
 
-def debounced(pushes: DataFrame, window_seconds: float) -> DataFrame:
+def debounced(pushes: DataFrame, window_seconds: float, timer: bool = True) -> DataFrame:
     """pushes(repo, number, head_sha, at): the run that starts a window after the first
     push, with the last head pushed in it. A window closes when a later push arrives or,
-    without one, when processing time has passed it."""
+    without one, when processing time has passed it. Without the timer only pushes close
+    windows; a query that is to end (availableNow) needs that, a timer never idles."""
     out = "repo STRING, number INT, head_sha STRING, queued_at DOUBLE, pushes INT"
 
     def step(key, frames, state: GroupState):
@@ -111,11 +112,12 @@ def debounced(pushes: DataFrame, window_seconds: float) -> DataFrame:
                         found.append((*key, held[0], held[1], held[2]))
                     held = [r.head_sha, float(r.at), 1]
             state.update((held[0], held[1], held[2]))
-            state.setTimeoutDuration(max(1, int(window_seconds * 1000)))
+            if timer:
+                state.setTimeoutDuration(max(1, int(window_seconds * 1000)))
         yield pd.DataFrame(found, columns=["repo", "number", "head_sha", "queued_at", "pushes"])
 
     return pushes.groupBy("repo", "number").applyInPandasWithState(
-        step, out, "head_sha STRING, queued_at DOUBLE, pushes INT", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, out, "head_sha STRING, queued_at DOUBLE, pushes INT", "append", GroupStateTimeout.ProcessingTimeTimeout if timer else GroupStateTimeout.NoTimeout
     )
 
 
