@@ -118,7 +118,7 @@ def _sides(spark, d):
 
 @query(_SIDES + """
 select nodeid as symbol, case when h.status is null then 'test_removed' else 'behavior_change' end as kind,
-  case when h.status is null then 0.7 else 1.0 end as severity, case when h.status is null then 0.75 else 0.9 end as confidence,
+  cast(case when h.status is null then 0.7 else 1.0 end as double) as severity, cast(case when h.status is null then 0.75 else 0.9 end as double) as confidence,
   substr(sha256(concat(case when h.status is null then 'test_removed' else 'behavior_change' end, chr(0), nodeid, chr(0), nodeid)), 1, 16) as id
 from base b left join head h using (nodeid) where b.status = 'passed' and (h.status is null or h.status = 'failed')
 """)
@@ -200,7 +200,7 @@ def _modules(spark, d):
 
 _MODULES = """
 with f as (select p_partkey, replace(p_brand, '#', '') || '/src' as name, p_size as loc, p_size < 5 as is_test from part),
-s as (select name, sum(loc) as loc, count(*) as files, count(*) filter (is_test) as test_files, count(*) filter (loc > 40) as symbols from f group by 1),
+s as (select name, cast(sum(loc) as bigint) as loc, count(*) as files, count(*) filter (is_test) as test_files, count(*) filter (loc > 40) as symbols from f group by 1),
 c as (select name, count(distinct (p_partkey, l_orderkey)) as commits, count(distinct o_custkey) as authors
   from lineitem join orders on l_orderkey = o_orderkey join f on l_partkey = p_partkey group by 1),
 m as (select s.*, coalesce(commits, 0) as commits, coalesce(authors, 0) as authors from s left join c using (name))
@@ -265,7 +265,7 @@ def overlap_join(spark, d):
 
 @query("""
 with l as (select user_id, ts, case when epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) over (partition by user_id order by ts))) > 1800 then 1 else 0 end as n from events),
-s as (select *, sum(n) over (partition by user_id order by ts) as session from l)
+s as (select *, cast(sum(n) over (partition by user_id order by ts) as bigint) as session from l)
 select user_id, session, min(ts) as "start", max(ts) as "end", count(*) as n from s group by 1, 2
 """)
 def session_islands(spark, d):
@@ -412,14 +412,14 @@ def url_module(spark, d):
     return read(spark, d, "pages").groupBy(paths.module_of(path).alias("module")).agg(F.count(F.lit(1)).alias("pages"))
 
 
-@query("select lang as language, sum(n_chars) as loc from documents group by 1")
+@query("select lang as language, cast(sum(n_chars) as bigint) as loc from documents group by 1")
 def language_totals(spark, d):
     return rollups.language_totals(read(spark, d, "documents").select(F.col("lang").alias("language"), F.col("n_chars").alias("loc")))
 
 
 @query("""
 with t as (select p_brand as language, sum(p_size) as loc from part group by 1), r as (select *, row_number() over (order by loc desc, language) as n from t)
-select case when n > 7 then 'Other' else language end as language, sum(loc) as loc from r group by 1
+select case when n > 7 then 'Other' else language end as language, cast(sum(loc) as bigint) as loc from r group by 1
 """)
 def language_bar(spark, d):
     t = read(spark, d, "part").groupBy(F.col("p_brand").alias("language")).agg(F.sum("p_size").alias("loc"))
