@@ -29,6 +29,7 @@ deduplicate(), whatever their names.
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 
 import numpy as np
@@ -158,12 +159,24 @@ def sub_bags(h: np.ndarray, tables: int = TABLES, size: int = SUB_BAG) -> list[i
     return out
 
 
+@contextlib.contextmanager
+def _small_batches(spark, rows: int = 512):
+    """Rows that carry two shingle sets go to Python in small batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, n_sets: int, similarity: float) -> DataFrame:
     """The pairs (tkey, other) whose shingle sets have at least this Jaccard similarity.
     While they are few against the sets (and 100,000 at most), pairs are broadcast to
     pick the sets that are needed; else both sides are shuffled."""
     schema = pa.schema([("tkey", pa.binary()), ("other", pa.binary())])
-    few = pairs.count() <= min(n_sets // 20, 100_000)
+    few = pairs.count() <= min(n_sets // 4, 100_000)
     need_a = pairs.select("tkey").distinct()
     need_b = pairs.select("other").distinct()
     a = sets.join(F.broadcast(need_a), "tkey", "left_semi") if few else sets
@@ -236,7 +249,8 @@ def near_duplicates(
         each = left.join(ends.hint("merge"), "bag").where("tkey <> x.tkey and root <> x.root")
         low, high = F.least("tkey", F.col("x.tkey")), F.greatest("tkey", F.col("x.tkey"))
         pairs = written(spark, each.select(low.alias("tkey"), high.alias("other")).distinct(), "simhash-pairs")
-        good = written(spark, _alike(pairs, sets, n_sets, similarity), "simhash-good")
+        with _small_batches(spark):
+            good = written(spark, _alike(pairs, sets, n_sets, similarity), "simhash-good")
         dropped(spark, pairs)
         edges = good if edges is None else edges.union(good)
         if turn < 2:
