@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 SPACE = "▁"
-#: Chunks a worker remembers; beyond, it starts anew. Bounds memory, not results.
-REMEMBERED = 700_000
+#: Chunks a worker remembers, the first ones it meets. Bounds memory, not results.
+REMEMBERED = 400_000
 
 
 class PieceBpe:
@@ -149,9 +149,8 @@ class PieceBpe:
                 ids += self.backtracked(run)
             text = self.decode_pieces(ids)
             got = (np.array(ids, "<u4").tobytes(), s if text == s else text)  # no second copy
-            if len(self.core_memo) >= REMEMBERED:
-                self.core_memo.clear()
-            self.core_memo[s] = got
+            if len(self.core_memo) < REMEMBERED:
+                self.core_memo[s] = got
         return got
 
     def chunk(self, word: str) -> tuple[bytes, str]:
@@ -169,9 +168,8 @@ class PieceBpe:
             found = [self.core(p) for p in parts]
             text = "".join(f[1] for f in found)
             got = (b"".join(f[0] for f in found), word if text == word else text)
-            if len(self.memo) >= REMEMBERED:
-                self.memo.clear()
-            self.memo[word] = got
+            if len(self.memo) < REMEMBERED:
+                self.memo[word] = got
         return got
 
     def chunks(self, text: str) -> list[tuple[bytes, str]]:
