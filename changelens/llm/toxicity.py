@@ -10,8 +10,10 @@ the text's length, are two numbers a text, and a logistic curve fitted on a fold
 of the labelled rows that no count has seen makes them a score from 0 to 1.
 
 Counts are of all labelled training rows and are gathered by Spark; n-grams seen
-less than max(MIN_COUNT, all occurrences / MOST_GRAMS) times are left to the
-backoff, so at most MOST_GRAMS of them are broadcast whatever the input.
+less than MIN_COUNT times, whatever the input, are left to the backoff. The models
+are tables: all distinct words meet them in blocks of about BLOCK_GRAMS n-grams, a
+word's parts are summed, and the texts then meet the words that are evidence in
+blocks of about BLOCK_BYTES, so what is broadcast is bounded and nothing is left out.
 
 Cases: null and empty texts have no words and get the score of a text without
 evidence. Rows without a label, or with a null one, are scored and not learned
@@ -27,17 +29,20 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import dropped, map_rows, rows_to_batches, written
 
-ORDER, DISCOUNT, MARGIN, MIN_COUNT, MOST_GRAMS = 6, 0.75, 3.0, 3, 3_000_000
+ORDER, DISCOUNT, MARGIN, MIN_COUNT = 6, 0.75, 3.0, 3
+#: N-grams, and bytes of words, that are broadcast at once.
+BLOCK_GRAMS, BLOCK_BYTES = 1_500_000, 64 << 20
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
-REMEMBERED = 250_000
 
 _WORD = re.compile(r"\w+")
 _PAD = "^" * (ORDER - 1)
@@ -81,62 +86,139 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     return found.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-class Models:
-    """The log ratio of the two models, for words."""
-
-    def __init__(self, rows: list[tuple[str, int, int]], margin: float = MARGIN):
-        self.margin = margin
-        n = ({}, {})
-        kinds = ({}, {})
-        low: Counter = Counter()
-        low_context: Counter = Counter()
-        for g, t, o in rows:
-            low[g[1:]] += 1
-            low_context[g[1:-1]] += 1
-            for c, x in ((0, o), (1, t)):
-                if x:
-                    n[c][g[:-1]] = n[c].get(g[:-1], 0) + x
-                    kinds[c][g[:-1]] = kinds[c].get(g[:-1], 0) + 1
-        size = max(1, len({g[-1] for g, _, _ in rows}))
-        self.ratio: dict[str, float] = {}
-        self.context: dict[str, float] = {}
-        for g, t, o in rows:
-            h, k = g[:-1], low_context[g[1:-1]]
-            shared = (low[g[1:]] - DISCOUNT + DISCOUNT * k / size) / k
-            p = [
-                (max(x - DISCOUNT, 0.0) + DISCOUNT * kinds[c][h] * shared) / n[c][h] if h in n[c] else shared
-                for c, x in ((0, o), (1, t))
-            ]
-            self.ratio[g] = math.log(p[1] / p[0])
-        for h in n[0].keys() | n[1].keys():
-            rest = [DISCOUNT * kinds[c][h] / n[c][h] if h in n[c] else 1.0 for c in (0, 1)]
-            self.context[h] = math.log(rest[1] / rest[0])
-        self.memo: dict[str, float] = {}
-
-    def __getstate__(self):
-        return {"margin": self.margin, "ratio": self.ratio, "context": self.context, "memo": {}}
-
-    def word(self, w: str) -> float:
-        """log P(w | toxic) - log P(w | ordinary), 0 up to the margin."""
-        out = self.memo.get(w)
-        if out is None:
-            ratio, context = self.ratio.get, self.context.get
-            out = 0.0
-            for g in _grams(w):
-                d = ratio(g)
-                out += context(g[:-1], 0.0) if d is None else d
-            out = out if out > self.margin else 0.0
-            if len(self.memo) < REMEMBERED:
-                self.memo[w] = out
-        return out
-
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Log of the evidence for each character, and for its square root."""
-        ws = _WORD.findall(text.lower()) if text else []
-        memo = self.memo
-        total = sum([memo[w] if w in memo else self.word(w) for w in ws])
-        n = sum(map(len, ws)) + len(ws)
-        return (math.log(1e-4 + total / n), math.log(1e-2 + total / math.sqrt(n))) if n else (math.log(1e-4), math.log(1e-2))
+def log_ratios(counts: DataFrame) -> DataFrame:
+    """(key, history, ratio): log P(last character | history) of the toxic model less that
+    of the ordinary one, for each gram of counts and, with the history as key, for what
+    was never seen after that history."""
+    c = counts.select(
+        "gram",
+        *(F.substring("gram", lo, n).alias(name) for name, lo, n in (("history", 1, ORDER - 1), ("low", 2, ORDER - 1), ("mid", 2, ORDER - 2))),
+        F.col("ordinary").alias("x0"),
+        F.col("toxic").alias("x1"),
+    )
+    low = c.groupBy("low").agg(F.count(F.lit(1)).alias("low_n"))
+    mid = c.groupBy("mid").agg(F.count(F.lit(1)).alias("k"))
+    seen = [x for i in (0, 1) for x in (F.sum(f"x{i}").alias(f"n{i}"), F.count_if(F.col(f"x{i}") > 0).alias(f"kinds{i}"))]
+    by_history = c.groupBy("history").agg(*seen)
+    size = c.agg(F.greatest(F.lit(1), F.countDistinct(F.substring("gram", ORDER, 1))).alias("size"))  # one row
+    own = c.join(low.hint("merge"), "low").join(mid.hint("merge"), "mid").join(by_history.hint("merge"), "history")
+    shared = (F.col("low_n") - DISCOUNT + DISCOUNT * F.col("k") / F.col("size")) / F.col("k")
+    own = own.crossJoin(F.broadcast(size)).withColumn("shared", shared)
+
+    def rest(c_: int) -> Column:
+        return F.when(F.col(f"n{c_}") > 0, DISCOUNT * F.col(f"kinds{c_}") / F.col(f"n{c_}")).otherwise(1.0)
+
+    def likely(c_: int) -> Column:
+        more = F.when(F.col(f"n{c_}") > 0, F.greatest(F.col(f"x{c_}") - DISCOUNT, F.lit(0.0)) / F.col(f"n{c_}"))
+        return F.coalesce(more, F.lit(0.0)) + rest(c_) * F.col("shared")
+
+    grams = own.select(F.col("gram").alias("key"), "history", F.log(likely(1) / likely(0)).alias("ratio"))
+    return grams.union(by_history.select("history", "history", F.log(rest(1) / rest(0))))
+
+
+def distinct_words(docs: DataFrame) -> DataFrame:
+    """(word) of all texts of docs(text)."""
+    schema = pa.schema([("word", pa.string())])
+
+    def run(batches):
+        def rows():
+            words: set[str] = set()
+            for b in batches:
+                for lo in range(0, b.num_rows, 256):
+                    for text in b.column(0).slice(lo, 256).to_pylist():
+                        if text:
+                            words.update(_WORD.findall(text.lower()))
+                    if len(words) > 250_000:
+                        yield from ((w,) for w in words)
+                        words.clear()
+            yield from ((w,) for w in words)
+
+        yield from rows_to_batches(rows(), schema)
+
+    return docs.select("text").mapInArrow(run, "word string").distinct()
+
+
+def _blocks(spark: SparkSession, table: DataFrame, key: str, columns: list[str], blocks: int) -> Iterator[Broadcast]:
+    """table(columns: a name, a number) as broadcast dicts, dealt by key; each is given
+    up when the next is asked for."""
+    for k in range(blocks):
+        part = table.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k).select(*columns)
+        held = spark.sparkContext.broadcast(dict(map(tuple, part.toLocalIterator())))
+        yield held
+        held.destroy()
+
+
+def evidence(docs: DataFrame, counts: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """(word, ratio) of the words of docs(text) whose log P(word | toxic) - log P(word |
+    ordinary) is over the margin; a table."""
+    spark = docs.sparkSession
+    ratios = written(spark, log_ratios(counts), "toxicity-ratios")
+    words = written(spark, distinct_words(docs), "toxicity-words")
+    schema = pa.schema([("word", pa.string()), ("ratio", pa.float64())])
+    parts: list[DataFrame] = []
+    for held in _blocks(spark, ratios, "history", ["key", "ratio"], max(1, -(-ratios.count() // BLOCK_GRAMS))):
+
+        def make(held=held):
+            get = held.value.get
+
+            def part(r):
+                total = 0.0
+                for g in _grams(r[0]):
+                    d = get(g)
+                    total += get(g[:-1], 0.0) if d is None else d
+                return r[0], total
+
+            return part
+
+        own = map_rows(words, make, schema, "word string, ratio double").where("ratio <> 0")
+        parts.append(written(spark, own, "toxicity-parts"))
+    sums = parts[0] if len(parts) == 1 else reduce(DataFrame.union, parts).groupBy("word").agg(F.sum("ratio").alias("ratio"))
+    out = written(spark, sums.where(F.col("ratio") > margin), "toxicity-evidence")
+    for x in (ratios, words, *parts):
+        dropped(spark, x)
+    return out
+
+
+def features(total: float, n: int) -> tuple[float, float]:
+    """Log of the evidence for each character, and for its square root."""
+    return (math.log(1e-4 + total / n), math.log(1e-2 + total / math.sqrt(n))) if n else (math.log(1e-4), math.log(1e-2))
+
+
+def text_features(base: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id, x, y) for each row of base(doc_id, text), by evidence words(word, ratio); a table."""
+    spark = base.sparkSession
+    size = words.agg(F.sum(F.octet_length("word") + 100)).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    out = pa.schema([("doc_id", pa.int64()), ("x", pa.float64()), ("y", pa.float64())])
+    ddl = "doc_id long, x double, y double"
+    keyed = pa.schema([("tkey", pa.binary()), ("total", pa.float64()), ("n", pa.int64())])
+    key = F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tkey")
+    parts: list[DataFrame] = []
+    for held in _blocks(spark, words, "word", ["word", "ratio"], blocks):
+
+        def make(held=held):
+            get = held.value.get
+
+            def sums(r):
+                ws = _WORD.findall(r[1].lower()) if r[1] else []
+                total, n = sum([get(w, 0.0) for w in ws]), sum(map(len, ws)) + len(ws)
+                return (r[0], *features(total, n)) if blocks == 1 else (r[0], total, n)
+
+            return sums
+
+        if blocks == 1:
+            parts.append(written(spark, map_rows(base.select("doc_id", "text"), make, out, ddl), "toxicity-scores"))
+        else:  # equal texts have equal sums
+            own = map_rows(base.select(key, "text"), make, keyed, "tkey binary, total double, n long")
+            parts.append(written(spark, own.groupBy("tkey").agg(F.max("total").alias("total"), F.max("n").alias("n")), "toxicity-parts"))
+    if blocks == 1:
+        return parts[0]
+    all_ = reduce(DataFrame.union, parts).groupBy("tkey").agg(F.sum("total").alias("total"), F.max("n").alias("n"))
+    own = base.select("doc_id", key).join(all_.hint("merge"), "tkey").select("doc_id", "total", "n")
+    seen = written(spark, map_rows(own, lambda: lambda r: (r[0], *features(r[1], r[2])), out, ddl), "toxicity-scores")
+    for x in parts:
+        dropped(spark, x)
+    return seen
 
 
 def logistic(bins: list[tuple[float, float, int, int]], rounds: int = 50) -> list[float]:
@@ -167,19 +249,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # labels grow with the input: never broadcast
     train = (fold != HELD_OUT) & (fold != CALIBRATION)
     counts = written(spark, gram_counts(base.where(train).join(own.where(train).hint("merge"), "doc_id")), "toxicity-counts")
-    total = counts.agg(F.sum(F.col("toxic") + F.col("ordinary"))).first()[0] or 0
-    least = max(MIN_COUNT, -(-total // MOST_GRAMS))
-    kept = counts.where(F.col("toxic") + F.col("ordinary") >= least)
-    models = spark.sparkContext.broadcast(Models([tuple(r) for r in kept.toLocalIterator()]))
-
-    out = pa.schema([("doc_id", pa.int64()), ("x", pa.float64()), ("y", pa.float64())])
-
-    def make():
-        m = models.value
-        return lambda r: (r[0], *m.features(r[1]))
-
-    seen = written(spark, map_rows(base, make, out, "doc_id long, x double, y double"), "toxicity-scores")
-    models.destroy()  # the scores are a table now; workers may forget the models
+    kept = counts.where(F.col("toxic") + F.col("ordinary") >= MIN_COUNT)
+    words = evidence(base, kept)
+    seen = text_features(base, words)
+    dropped(spark, words)
     fitted = seen.where(fold == CALIBRATION).join(own.hint("merge"), "doc_id")
     bins = fitted.groupBy(F.round("x", 1).alias("x"), F.round("y", 1).alias("y"), "toxic").agg(F.count(F.lit(1)).alias("n"))
     w = logistic([(r["x"], r["y"], r["toxic"], r["n"]) for r in bins.collect()])  # a few thousand bins at most

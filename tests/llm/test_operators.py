@@ -243,6 +243,24 @@ def test_toxicity_odd_cases(spark):
     assert toxicity.keep_ordinary(frame(spark), none).count() == len(ODD)
 
 
+def test_toxicity_keeps_rare_grams(spark, monkeypatch):
+    rng = random.Random(6)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(50)]
+    bad = ["zzqxv", "wyyzq", "qxxyw"]
+    rows = [(i, " ".join([rng.choice(plain) for _ in range(300)] + (bad if i % 10 == 0 else []))) for i in range(400)]
+    docs = spark.createDataFrame(rows, DDL)
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    # no number of grams, and no number of occurrences, sets a threshold
+    monkeypatch.setattr(toxicity, "MOST_GRAMS", 5_000, raising=False)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    assert min(s for i, s in got.items() if i % 10 == 0) > max(s for i, s in got.items() if i % 10)
+    # blocks change nothing
+    monkeypatch.setattr(toxicity, "BLOCK_GRAMS", 500, raising=False)
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", 150, raising=False)
+    again = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    assert again.keys() == got.keys() and all(abs(again[i] - got[i]) < 1e-9 for i in got)
+
+
 # ---- 7 ----------------------------------------------------------------------
 
 
