@@ -16,7 +16,10 @@ near_duplicates() asks for a word-shingle Jaccard similarity (0.8 of five words
 unless told otherwise). One 64-bit fingerprint is too coarse for that: in tests
 pairs at 0.8 differ in about 10 bits. So it makes several fingerprints of a text,
 each of a small sub-bag of its shingles, looks for equal ones, and verifies
-candidates on whole shingle sets.
+candidates on whole shingle sets. That misses a few pairs, most often of short
+texts; where the smaller of two sets has SHORT shingles at most, none is missed:
+such sets also meet in each of their rarest shingles, as many as leave no pair of
+the similarity without a common one (a prefix filter).
 
 Cases: null and empty texts have no words, fingerprint zero and an empty shingle
 set, and are linked like others by Hamming distance; near_duplicates() treats
@@ -42,6 +45,8 @@ from .common import components, dropped, map_rows, shuffles, written
 SEGMENTS, SEGMENT_BITS = 16, 4
 #: Sub-bag fingerprints of a text, and shingles in each.
 TABLES, SUB_BAG = 20, 5
+#: Pairs whose smaller set has so many shingles at most are found exactly.
+SHORT = 40
 #: Tables worked off first; most groups hang together after them.
 FIRST_TABLES = 4
 #: Members of a bucket that one round compares with all the others.
@@ -159,6 +164,17 @@ def sub_bags(h: np.ndarray, tables: int = TABLES, size: int = SUB_BAG) -> list[i
     return out
 
 
+def rare_shingles(classes: DataFrame, similarity: float) -> DataFrame:
+    """(tkey, t, bag) of classes(tkey, short array<long>): for each set of n shingles its
+    n - ceil(similarity n) + 1 rarest. Of two sets of this similarity they share one."""
+    each = classes.select("tkey", F.size("short").alias("n"), F.explode("short").alias("bag"))
+    often = each.groupBy("bag").agg(F.count(F.lit(1)).alias("df"))
+    own = each.join(often.hint("merge"), "bag").groupBy("tkey", "n").agg(F.sort_array(F.collect_list(F.struct("df", "bag"))).alias("s"))
+    first = F.slice("s", F.lit(1), F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1)
+    own = own.select("tkey", F.explode(first).alias("x")).where("x.df > 1")
+    return own.select("tkey", F.lit(TABLES).alias("t"), F.col("x.bag").alias("bag"))
+
+
 @contextlib.contextmanager
 def _small_batches(spark, rows: int = 512):
     """Rows that carry two shingle sets go to Python in small batches."""
@@ -213,11 +229,22 @@ def near_duplicates(
     key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("tkey"))
 
-    out = pa.schema([("doc_id", pa.int64()), ("tkey", pa.binary()), ("bags", pa.list_(pa.int64()))])
-    make = lambda: lambda r: (r[0], r[2], sub_bags(shingle_hashes(r[1], k)))
-    own = written(spark, map_rows(base, make, out, "doc_id long, tkey binary, bags array<long>"), "simhash-bags")
-    classes = own.groupBy("tkey").agg(F.first("bags").alias("bags"))
-    member = classes.select("tkey", F.posexplode("bags").alias("t", "bag"))
+    longs = pa.list_(pa.int64())
+    out = pa.schema([("doc_id", pa.int64()), ("tkey", pa.binary()), ("bags", longs), ("short", longs)])
+    longest = int(SHORT / similarity + 1e-9)
+
+    def make():
+        def bags(r):
+            h = shingle_hashes(r[1], k)
+            u = np.unique(h)
+            return r[0], r[2], sub_bags(h), u.view(np.int64).tolist() if len(u) <= longest else []
+
+        return bags
+
+    own = written(spark, map_rows(base, make, out, "doc_id long, tkey binary, bags array<long>, short array<long>"), "simhash-bags")
+    classes = own.groupBy("tkey").agg(F.first("bags").alias("bags"), F.first("short").alias("short"))
+    rare = written(spark, rare_shingles(classes.select("tkey", "short"), similarity), "simhash-rare")
+    member = classes.select("tkey", F.posexplode("bags").alias("t", "bag")).union(rare)
     shared = member.groupBy("bag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bag")
     shared = written(spark, shared, "simhash-shared")
     left = member.join(shared.hint("merge"), "bag").select("t", "bag", "tkey", F.col("tkey").alias("root"))

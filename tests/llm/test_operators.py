@@ -326,6 +326,27 @@ def test_near_duplicates(spark):
     assert simhash.deduplicate(frame(spark)).count() == 6  # white space alone is empty
 
 
+def test_near_duplicates_of_short_texts_equal_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for n in [8, 9] * 20 + [12, 18, 30, 44, 52]:
+        ws = [word() for _ in range(n + 1)]
+        rows += [ws, ws[:-1] if rng.random() < 0.5 else ws[1:], ws[: n // 2] + [word() for _ in range(n // 2)]]
+    rows = [(i, " ".join(ws)) for i, ws in enumerate(rows)]
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = {x: min(root[i], root[j]) if r in (root[i], root[j]) else r for x, r in root.items()}
+    got = {r.doc_id: bytes(r.group_key) for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert sum(root[3 * k] == root[3 * k + 1] for k in range(45)) == 45
+    for i in sets:
+        for j in range(i):
+            assert (root[i] == root[j]) == (got[i] == got[j])
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7), (None, 3)], "a int, b int")
     got = {r.node: r.root for r in common.components(spark, e).collect()}
