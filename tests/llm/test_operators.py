@@ -423,3 +423,13 @@ def test_media(spark):
     assert [r.media_id for r in got] == [7] and abs(got[0].dx + 14) <= 2 and abs(got[0].dy + 10) <= 2
     linked = media.linked_media(images, media.search(images, F.col("media_id") % 50 == 0)).collect()
     assert len(linked) == len(rows)
+
+
+LINKS = "query_id long, media_id long, votes long"
+
+
+def test_media_links_are_kept_on_both_ends(spark):
+    found = [(50, 7, 3), (100, 7, 9), (150, 7, 4), (100, 50, 5), (50, 100, 5), (200, 8, 3)]
+    images = spark.createDataFrame([(i, None) for i in (7, 8, 9, 50, 100, 150, 200)], "media_id long, media binary")
+    got = {r.media_id: (r.n_links, r.class_id, r.votes) for r in media.linked_media(images, spark.createDataFrame(found, LINKS)).collect()}
+    assert got == {7: (3, 7, 9), 50: (2, 7, 5), 100: (2, 7, 9), 150: (1, 7, 4), 8: (1, 8, 3), 200: (1, 8, 3), 9: (0, 9, 0)}
