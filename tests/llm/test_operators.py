@@ -433,3 +433,22 @@ def test_media_links_are_kept_on_both_ends(spark):
     images = spark.createDataFrame([(i, None) for i in (7, 8, 9, 50, 100, 150, 200)], "media_id long, media binary")
     got = {r.media_id: (r.n_links, r.class_id, r.votes) for r in media.linked_media(images, spark.createDataFrame(found, LINKS)).collect()}
     assert got == {7: (3, 7, 9), 50: (2, 7, 5), 100: (2, 7, 9), 150: (1, 7, 4), 8: (1, 8, 3), 200: (1, 8, 3), 9: (0, 9, 0)}
+
+
+def test_media_votes_count_around_every_vote(spark):
+    ddl = "q_media_id long, m_media_id long, q_x double, q_y double, q_scale double, q_angle double, m_x double, m_y double, m_scale double, m_angle double"
+
+    def votes(m, shifts, turns, scales=(1.0,)):
+        # corners at the query's origin, so that a vote's shift is m's place
+        n = max(len(shifts), len(turns), len(scales))
+        at = lambda xs, k: xs[k % len(xs)]
+        return [(0, m, 0.0, 0.0, 1.0 + k / 1e6, 0.0, float(at(shifts, k)), 0.0, at(scales, k) * (1.0 + k / 1e6), at(turns, k)) for k in range(n)]
+
+    rad = lambda *ds: [d * np.pi / 180 for d in ds]
+    rows = votes(1, [0, 0, 0, 20, 25, 30, 35], rad(0))  # three agree, the middle is elsewhere
+    rows += votes(2, [0], rad(13, 14, 16, 17)[1:])  # turned by about 15 degrees
+    rows += votes(3, [0], rad(179, -179, 178))  # turned by 180 degrees
+    rows += votes(4, [0], rad(0), (1.17, 1.2, 1.19))  # on the edge of a scale's bin
+    rows += votes(5, [0, 30, 60], rad(0)) + votes(6, [0], rad(0, 90, 180))  # chance
+    got = {r.media_id: r.votes for r in media.consensus(spark.createDataFrame(rows, ddl)).collect()}
+    assert got == {1: 3, 2: 3, 3: 3, 4: 3}
