@@ -30,8 +30,10 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def cut(df):
     """df with its lineage cut by a checkpoint in the shared folder; a folder of its own
-    is made only where the session names none."""
+    is made only on one machine, where the session names none."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="changelens-"))
     return df.checkpoint()
