@@ -14,10 +14,12 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests,
-    one machine) a temporary folder is made and named in the session."""
+    """The folder all executors share. Only on one machine, where the session names
+    none, a temporary folder is made and named in the session; a cluster must name one."""
     path = spark.conf.get(CHECKPOINT_KEY, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="changelens-")
         spark.conf.set(CHECKPOINT_KEY, path)
     return path
@@ -44,6 +46,13 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -96,7 +105,8 @@ def components(spark: SparkSession, edges: DataFrame, name: str = "components")
     steps until the edge list stays as it is; each step's edges are a table in
     the shared folder, so a lost executor costs one step at most. A node with
     many neighbours is only ever the key of a min() with map-side combine or
-    one side of a splittable join; no neighbour list is ever gathered."""
+    one side of a splittable join; no neighbour list is ever gathered. What is returned
+    reads one table, which dropped() deletes."""
     e = edges.where("a is not null and b is not null and a <> b")
     e = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     state = written(spark, e, name)
@@ -119,4 +129,6 @@ def components(spark: SparkSession, edges: DataFrame, name: str = "components")
             break
         seen = now
     roots = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    out._changelens_path = state._changelens_path
+    return out

@@ -13,13 +13,20 @@ same point differ in two bits at most, so each links to the smallest of them. A
 crowded cell or point costs a row for each visitor, never the square.
 
 near_duplicates() asks for a word-shingle Jaccard similarity (0.8 of five words
-unless told otherwise). One 64-bit fingerprint is too coarse for that: in tests
-pairs at 0.8 differ in about 10 bits. So it makes several fingerprints of a text,
-each of a small sub-bag of its shingles, looks for equal ones, and verifies
-candidates on whole shingle sets. That misses a few pairs, most often of short
-texts; where the smaller of two sets has SHORT shingles at most, none is missed:
-such sets also meet in each of their rarest shingles, as many as leave no pair of
-the similarity without a common one (a prefix filter).
+unless told otherwise). Texts whose whole fingerprints hang together by the grid
+join above are one bucket. One 64-bit fingerprint is too coarse for the rest: pairs
+at 0.8 differ in about 10 bits. So each text also has TABLES fingerprints of small
+sub-bags of its shingles; equal ones are further buckets. That misses a few pairs,
+most often of short texts; where the smaller of two sets has SHORT shingles at most,
+none is missed: such sets also meet in each of their rarest shingles, as many as
+leave no pair of the similarity without a common one (a prefix filter).
+
+Buckets are not worked off as pairs. Two rounds compare each member with one or two
+representatives, those that most texts meet, and components join what is verified. In
+buckets that still hold several components a link can only be found in what members
+share besides the common part: there the prefix filter over all shingles of these
+texts, rarest first, with the bounds that sizes and positions set, gives every
+remaining candidate exactly. Every candidate is verified on whole shingle sets.
 
 Cases: null and empty texts have no words, fingerprint zero and an empty shingle
 set, and are linked like others by Hamming distance; near_duplicates() treats
@@ -33,24 +40,20 @@ deduplicate(), whatever their names.
 from __future__ import annotations
 
 import contextlib
-import itertools
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, map_rows, shuffles, written
+from .common import components, dropped, map_rows, shuffles, spare, written
 
 SEGMENTS, SEGMENT_BITS = 16, 4
 #: Sub-bag fingerprints of a text, and shingles in each.
 TABLES, SUB_BAG = 20, 5
 #: Pairs whose smaller set has so many shingles at most are found exactly.
 SHORT = 40
-#: Tables worked off first; most groups hang together after them.
-FIRST_TABLES = 4
-#: Members of a bucket that one round compares with all the others.
-AT_ONCE = 16
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -97,7 +100,7 @@ def popcounts(fp: Column) -> Column:
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) among distinct fingerprints fps(fp) whose connected components
-    are those of all pairs that differ in two bits at most."""
+    are those of all pairs that differ in two bits at most. A table."""
     v = F.col("v")
     steps = [v]
     for sign, end in ((1, SEGMENT_BITS), (-1, 0)):
@@ -123,9 +126,10 @@ def links(fps: DataFrame) -> DataFrame:
     points = written(fps.sparkSession, points.where("point is not null"), "simhash-points")
     first = points.groupBy("point").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
     found = points.join(first, "point").where("fp <> low")
-    return found.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))) <= 2).select(
-        F.col("fp").alias("a"), F.col("low").alias("b")
-    )
+    found = found.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))) <= 2)
+    found = written(fps.sparkSession, found.select(F.col("fp").alias("a"), F.col("low").alias("b")), "simhash-links")
+    dropped(fps.sparkSession, points)
+    return found
 
 
 def linked_components(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,10 +139,13 @@ def linked_components(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_
     own = written(spark, fingerprints(docs, k, id_col, text_col), "simhash")
     fps = own.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
     spread = fps.select("fp").repartition(2 * shuffles(spark), "fp")  # each row becomes 33
-    roots = components(spark, written(spark, links(spread), "simhash-links"))
+    near = links(spread)
+    roots = components(spark, near)
+    dropped(spark, near)
     member = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = member.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    of_fp = member.join(least, "root").select("fp", "component_id")
+    of_fp = written(spark, member.join(least, "root").select("fp", "component_id"), "simhash-ids")
+    dropped(spark, roots)
     return own.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -147,32 +154,40 @@ def hex_digits(fp: Column) -> Column:
 
 
 def sub_bags(h: np.ndarray, tables: int = TABLES, size: int = SUB_BAG) -> list[int]:
-    """A fingerprint of the `size` shingles that come first in each table's order."""
+    """A fingerprint of the `size` shingles that come first in each table's order: bit i
+    is set where over half of them, mixed with the table's number, have it."""
     u = np.unique(h)
-    out = []
-    for t in range(tables):
-        mixed = (u ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(29)
-        first = np.sort(np.partition(mixed, size - 1)[:size]) if len(mixed) > size else np.sort(mixed)
-        acc = t + 1
-        for x in first.tolist():
-            acc = (acc * 0x100000001B3 ^ x) * 0x9E3779B97F4A7C15 & (2**64 - 1)
-            acc ^= acc >> 29
-        out.append(acc - 2**64 if acc >> 63 else acc)
-    return out
-
-
-def rare_shingles(classes: DataFrame, similarity: float) -> DataFrame:
-    """(tkey, t, bag) of classes(tkey, short array<long>): for each set of n shingles its
-    n - ceil(similarity n) + 1 rarest. Of two sets of this similarity they share one."""
-    each = classes.select("tkey", F.size("short").alias("n"), F.explode("short").alias("bag"))
-    often = each.groupBy("bag").agg(F.count(F.lit(1)).alias("df"))
-    own = each.join(often.hint("merge"), "bag").groupBy("tkey", "n").agg(F.sort_array(F.collect_list(F.struct("df", "bag"))).alias("s"))
+    seeds = (np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    mixed = (u[None, :] ^ seeds) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(29)
+    if len(u) > size:
+        mixed = np.partition(mixed, size - 1, axis=1)[:, :size]
+    if not len(u):
+        return [0] * tables
+    # the order's hashes are small numbers: mixed again, their bits are fair
+    again = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    again ^= again >> np.uint64(29)
+    again *= np.uint64(0xBF58476D1CE4E5B9)
+    again ^= again >> np.uint64(32)
+    bits = np.unpackbits(np.ascontiguousarray(again).view(np.uint8).reshape(tables, -1, 8), axis=2, bitorder="little")
+    ones = bits.sum(1, dtype=np.int64) * 2 > again.shape[1]
+    fps = np.packbits(ones, axis=1, bitorder="little").view("<u8")[:, 0]
+    return (fps ^ seeds[:, 0]).view(np.int64).tolist()
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(tkey, n, pos, shingle) of sets(tkey, shingles array<long>): for each set of n shingles
+    its n - ceil(similarity n) + 1 rarest, pos from 1, without those no other set has. Of
+    two sets of this similarity both hold their first common shingle among them."""
+    each = sets.select("tkey", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    own = each.join(often.hint("merge"), "shingle").groupBy("tkey", "n")
+    own = own.agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))  # one text's shingles
     first = F.slice("s", F.lit(1), F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1)
-    own = own.select("tkey", F.explode(first).alias("x")).where("x.df > 1")
-    return own.select("tkey", F.lit(TABLES).alias("t"), F.col("x.bag").alias("bag"))
+    own = own.select("tkey", "n", F.posexplode(first).alias("pos", "x")).where("x.df > 1")
+    return own.select("tkey", "n", (F.col("pos") + 1).alias("pos"), F.col("x.shingle").alias("shingle"))
 
 
 @contextlib.contextmanager
@@ -187,19 +202,11 @@ def _small_batches(spark, rows: int = 512):
         spark.conf.set(key, old)
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, n_sets: int, similarity: float) -> DataFrame:
-    """The pairs (tkey, other) whose shingle sets have at least this Jaccard similarity.
-    While they are few against the sets (and 100,000 at most), pairs are broadcast to
-    pick the sets that are needed; else both sides are shuffled."""
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs(tkey, other) those whose shingle sets have at least this Jaccard similarity."""
     schema = pa.schema([("tkey", pa.binary()), ("other", pa.binary())])
-    few = pairs.count() <= min(n_sets // 4, 100_000)
-    need_a = pairs.select("tkey").distinct()
-    need_b = pairs.select("other").distinct()
-    a = sets.join(F.broadcast(need_a), "tkey", "left_semi") if few else sets
-    b = sets.withColumnRenamed("tkey", "other")
-    b = b.join(F.broadcast(need_b), "other", "left_semi") if few else b
-    both = pairs.join(a.withColumnRenamed("shingles", "a").hint("merge"), "tkey")
-    both = both.join(b.withColumnRenamed("shingles", "b").hint("merge"), "other").select("tkey", "other", "a", "b")
+    own = pairs.join(sets.select("tkey", F.col("shingles").alias("a")).hint("merge"), "tkey")
+    both = own.join(sets.select(F.col("tkey").alias("other"), F.col("shingles").alias("b")).hint("merge"), "other")
 
     def run(batches):
         for batch in batches:
@@ -213,7 +220,42 @@ def _alike(pairs: DataFrame, sets: DataFrame, n_sets: int, similarity: float) ->
             got = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema)
             yield got.filter(pa.array(keep))
 
-    return both.mapInArrow(run, "tkey binary, other binary")
+    return both.select("tkey", "other", "a", "b").mapInArrow(run, "tkey binary, other binary")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """rows(bag, tkey, score, root) of the buckets that hold several roots."""
+    several = rows.groupBy("bag").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    return rows.join(several.select("bag").hint("merge"), "bag", "left_semi")
+
+
+def _leaders(rows: DataFrame) -> DataFrame:
+    """(bag, x) of rows(bag, tkey, score, root): the member that most texts meet in the
+    bucket's largest root, and in the largest other one."""
+    of_root = rows.groupBy("bag", "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("score", "tkey")).alias("m"))
+    of_root = of_root.select("bag", F.struct("n", "root", F.col("m.tkey").alias("tkey")).alias("x"))
+    major = of_root.groupBy("bag").agg(F.max("x").alias("major"))
+    minor = of_root.join(major.hint("merge"), "bag").where("x.root <> major.root").groupBy("bag").agg(F.max("x").alias("x"))
+    return major.select("bag", F.col("major").alias("x")).union(minor)
+
+
+def _rest(open_sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(tkey, other): all pairs of open_sets(tkey, shingles) with different roots that may
+    have this similarity, by the prefix filter with size and position bounds."""
+    own = prefixes(open_sets, similarity).join(roots.hint("merge"), "tkey")
+    own = written(open_sets.sparkSession, own, "simhash-prefixes")
+    by_root = own.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"))
+    major = by_root.groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    # what the largest component of a shingle shares with itself needs no pair
+    asks = own.join(major.select("shingle", F.col("m.root").alias("major")).hint("merge"), "shingle").where("root <> major")
+    asks = asks.select("shingle", *(F.col(c).alias(f"a_{c}") for c in ("tkey", "n", "pos", "root")))
+    both = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("a_n")) - 1e-9)  # shingles in common, at least
+    most = F.least(F.col("n") - F.col("pos"), F.col("a_n") - F.col("a_pos")) + 1  # if this one is the first
+    found = own.join(asks.hint("merge"), "shingle").where((F.col("root") != F.col("a_root")) & (most >= both))
+    pairs = found.select(F.least("tkey", "a_tkey").alias("tkey"), F.greatest("tkey", "a_tkey").alias("other")).distinct()
+    out = written(open_sets.sparkSession, pairs, "simhash-pairs")
+    dropped(open_sets.sparkSession, own)
+    return out
 
 
 def near_duplicates(
@@ -222,90 +264,90 @@ def near_duplicates(
     """(doc_id, text_key, group_key, n_links): documents of a group are joined by a
     chain of equal texts or of pairs whose k-word shingle sets have at least this
     Jaccard similarity; n_links counts the links between different texts that were
-    found for this text. Every bucket of equal sub-bag fingerprints is worked off
-    in rounds: all members are compared with two of them, and then, where a bucket
-    does not hang together by that, each member outside its largest group with all."""
+    verified for this text (a group hangs together by them, not all of its pairs are
+    compared). A table."""
     spark = docs.sparkSession
     key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("tkey"))
 
     longs = pa.list_(pa.int64())
-    out = pa.schema([("doc_id", pa.int64()), ("tkey", pa.binary()), ("bags", longs), ("short", longs)])
+    out = pa.schema([("doc_id", pa.int64()), ("tkey", pa.binary()), ("fp", pa.int64()), ("bags", longs), ("short", longs)])
     longest = int(SHORT / similarity + 1e-9)
 
     def make():
         def bags(r):
             h = shingle_hashes(r[1], k)
             u = np.unique(h)
-            return r[0], r[2], sub_bags(h), u.view(np.int64).tolist() if len(u) <= longest else []
+            return r[0], r[2], fingerprint(h), sub_bags(u), u.view(np.int64).tolist() if len(u) <= longest else []
 
         return bags
 
-    own = written(spark, map_rows(base, make, out, "doc_id long, tkey binary, bags array<long>, short array<long>"), "simhash-bags")
-    classes = own.groupBy("tkey").agg(F.first("bags").alias("bags"), F.first("short").alias("short"))
-    rare = written(spark, rare_shingles(classes.select("tkey", "short"), similarity), "simhash-rare")
-    member = classes.select("tkey", F.posexplode("bags").alias("t", "bag")).union(rare)
-    shared = member.groupBy("bag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bag")
-    shared = written(spark, shared, "simhash-shared")
-    left = member.join(shared.hint("merge"), "bag").select("t", "bag", "tkey", F.col("tkey").alias("root"))
+    ddl = "doc_id long, tkey binary, fp long, bags array<long>, short array<long>"
+    own = written(spark, map_rows(base, make, out, ddl), "simhash-bags")
+    classes = own.groupBy("tkey").agg(*(F.first(c).alias(c) for c in ("fp", "bags", "short")))
+    fps = classes.select("fp").distinct().repartition(2 * shuffles(spark), "fp")
+    near = links(fps)
+    grid = components(spark, near)
+    one = classes.join(grid.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
+    one = one.select("tkey", F.array_append("bags", F.coalesce("root", "fp")).alias("bags"), "short")
+    one = written(spark, one, "simhash-classes")
+    rare = prefixes(one.select("tkey", F.col("short").alias("shingles")), similarity)
+    member = one.select("tkey", F.explode("bags").alias("bag")).union(rare.select("tkey", F.col("shingle").alias("bag")))
+    member = written(spark, member, "simhash-members")
+    shared = member.groupBy("bag").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a text's buckets are TABLES + 1 and its rarest shingles, a short list
+    left = member.join(shared.hint("merge"), "bag").groupBy("tkey").agg(F.sum("n").alias("score"), F.collect_list("bag").alias("bags"))
     left = written(spark, left, "simhash-left")
+    for x in (near, grid, one, member):
+        dropped(spark, x)
 
-    picked = written(spark, left.select("tkey").distinct(), "simhash-picked")
     set_pa = pa.schema([("tkey", pa.binary()), ("shingles", pa.binary())])
     to_set = lambda: lambda r: (r[0], np.unique(shingle_hashes(r[1], k)).tobytes())
-    texts = base.join(picked.hint("merge"), "tkey", "left_semi").groupBy("tkey").agg(F.first("text").alias("text"))
+    texts = base.join(left.select("tkey").hint("merge"), "tkey", "left_semi").groupBy("tkey").agg(F.first("text").alias("text"))
     sets = written(spark, map_rows(texts, to_set, set_pa, "tkey binary, shingles binary"), "simhash-sets")
-    n_sets = sets.count()
-
-    edges: DataFrame | None = None
-    one = F.struct("tkey", "root")
-    for turn in itertools.count():
-        if turn < 2:
-            # two members of each bucket, the first tables first: most groups hang together then
-            active = left.where(F.col("t") < FIRST_TABLES) if turn == 0 else left
-            ends = active.groupBy("bag").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(one).alias("a"), F.max(one).alias("b"))
-            ends = ends.where("r0 <> r1").select("bag", F.explode(F.array("a", "b")).alias("x"))
-        else:
-            # then those outside a bucket's largest group, each once, against all the others
-            sizes = left.groupBy("bag", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bag")
-            major = sizes.agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
-            small = left.join(major.select("bag", F.col("m.root").alias("_m")).hint("merge"), "bag").where("root <> _m")
-            part = F.pmod(F.xxhash64("tkey"), F.lit(AT_ONCE)).alias("_s")
-            ends = small.groupBy("bag", part).agg(F.min(one).alias("x")).select("bag", "x")
-        ends = written(spark, ends, "simhash-ends")
-        each = left.join(ends.hint("merge"), "bag").where("tkey <> x.tkey and root <> x.root")
-        low, high = F.least("tkey", F.col("x.tkey")), F.greatest("tkey", F.col("x.tkey"))
-        pairs = written(spark, each.select(low.alias("tkey"), high.alias("other")).distinct(), "simhash-pairs")
+
+    def verified(pairs: DataFrame) -> DataFrame:
         with _small_batches(spark):
-            good = written(spark, _alike(pairs, sets, n_sets, similarity), "simhash-good")
+            good = written(spark, _alike(pairs, sets, similarity), "simhash-good")
         dropped(spark, pairs)
-        edges = good if edges is None else edges.union(good)
-        if turn < 2:
-            now = components(spark, edges.select(F.col("tkey").alias("a"), F.col("other").alias("b")))
-            now = written(spark, now.withColumnRenamed("node", "tkey").withColumnRenamed("root", "_now"), "simhash-now")
-            rest = left.join(now.hint("merge"), "tkey", "left").withColumn("root", F.coalesce("_now", "root")).drop("_now")
-        else:
-            asked = ends.select("bag", F.col("x.tkey").alias("tkey"))
-            rest = left.join(ends.select("bag").distinct().hint("merge"), "bag", "left_semi")
-            rest = rest.join(asked.hint("merge"), ["bag", "tkey"], "left_anti")
-        if turn:
-            several = rest.groupBy("bag").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-            several = written(spark, several.select("bag"), "simhash-several")
-            rest = rest.join(several.hint("merge"), "bag", "left_semi")
-        rest = written(spark, rest.select(*left.columns), "simhash-left")
-        dropped(spark, left)
-        dropped(spark, ends)
-        left = rest
-        if turn and left.isEmpty():
-            break
-    edges = edges.select(F.col("tkey").alias("a"), F.col("other").alias("b"))
-    roots = components(spark, edges).select(F.col("node").alias("tkey"), "root")
+        return good
+
+    rows = left.select(F.explode("bags").alias("bag"), "tkey", "score", F.col("tkey").alias("root"))
+    ends = rows.groupBy("bag").agg(F.max(F.struct("score", "tkey")).alias("m"))
+    ends = ends.select("bag", F.struct(F.col("m.tkey").alias("root"), F.col("m.tkey").alias("tkey")).alias("x"))
+    good: list[DataFrame] = []
+    for turn in range(2):
+        each = rows.join(ends.hint("merge"), "bag").where("root <> x.root")
+        low, high = F.least("tkey", F.col("x.tkey")), F.greatest("tkey", F.col("x.tkey"))
+        pairs = each.select(low.alias("tkey"), high.alias("other")).distinct()
+        if good:
+            pairs = pairs.join(good[0].hint("merge"), ["tkey", "other"], "left_anti")
+        good.append(verified(written(spark, pairs, "simhash-pairs")))
+        edges = good[0] if turn == 0 else good[0].union(good[1])
+        found = components(spark, edges.select(F.col("tkey").alias("a"), F.col("other").alias("b")))
+        now = found.select(F.col("node").alias("tkey"), F.col("root").alias("found"))
+        now = rows.drop("root").join(now.hint("merge"), "tkey", "left")
+        now = written(spark, now.select("bag", "tkey", "score", F.coalesce("found", "tkey").alias("root")), "simhash-rooted")
+        over, rows = rows, written(spark, _mixed(now), "simhash-mixed")
+        for x in (found, now, over):
+            dropped(spark, x)
+        ends = _leaders(rows)
+    roots = written(spark, rows.select("tkey", "root").distinct(), "simhash-open")
+    open_sets = sets.join(roots.select("tkey").hint("merge"), "tkey", "left_semi")
+    to_list = lambda: lambda r: (r[0], np.frombuffer(r[1], np.int64).tolist())
+    list_pa = pa.schema([("tkey", pa.binary()), ("shingles", longs)])
+    open_sets = map_rows(open_sets, to_list, list_pa, "tkey binary, shingles array<long>")
+    open_sets = written(spark, open_sets, "simhash-lists")
+    good.append(verified(_rest(open_sets, roots, similarity)))
+    edges = reduce(DataFrame.union, good).select(F.col("tkey").alias("a"), F.col("other").alias("b"))
+    found = components(spark, edges)
+    top = found.select(F.col("node").alias("tkey"), "root")
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     count = both.groupBy(F.col("a").alias("tkey")).agg(F.count(F.lit(1)).alias("n_links"))
-    return (
+    groups = (
         own.select("doc_id", "tkey")
-        .join(roots, "tkey", "left")
-        .join(count, "tkey", "left")
+        .join(top.hint("merge"), "tkey", "left")
+        .join(count.hint("merge"), "tkey", "left")
         .select(
             "doc_id",
             F.col("tkey").alias("text_key"),
@@ -313,20 +355,25 @@ def near_duplicates(
             F.coalesce("n_links", F.lit(0)).alias("n_links"),
         )
     )
+    groups = written(spark, groups, "simhash-groups")
+    for x in (own, left, sets, roots, open_sets, rows, found, *good):
+        dropped(spark, x)
+    return groups
 
 
 def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group: that of the smallest doc_id (of equal
-    doc_ids, one). Keeps all columns."""
+    doc_ids, one). Keeps all columns, whatever their names."""
+    spark = docs.sparkSession
     groups = near_duplicates(docs, k, similarity)
     none = F.lit(-(2**63))
     keep = groups.groupBy("group_key").agg(F.min_by("text_key", "doc_id").alias("tkey"), F.min("doc_id").alias("id"))
-    keep = keep.select(F.coalesce("tkey", "group_key").alias("_sh_key"), F.coalesce("id", none).alias("_sh_id"))
+    key, own = spare(docs, "key"), spare(docs, "id")
+    keep = keep.select(F.coalesce("tkey", "group_key").alias(key), F.coalesce("id", none).alias(own))
+    keep = written(spark, keep, "simhash-keep")
+    dropped(spark, groups)
     keyed = docs.withColumns(
-        {
-            "_sh_key": F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))),
-            "_sh_id": F.coalesce(F.col("doc_id").cast("long"), none),
-        }
+        {key: F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))), own: F.coalesce(F.col("doc_id").cast("long"), none)}
     )
-    on = ["_sh_key", "_sh_id"]
+    on = [key, own]
     return keyed.join(keep.hint("merge"), on, "left_semi").dropDuplicates(on).select(*docs.columns)
