@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, rows_to_batches, shuffles, written
+from .common import dropped, map_rows, rows_to_batches, shuffles, spare, written
 
 LENGTH, GRAM = 200, 32
 #: Different segments of one hash that one task compares.
@@ -309,7 +309,7 @@ def _segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", gram: int = GRAM) -> DataFrame:
     """docs(uid, text), uid unique and not null: (uid, spans array<int>) for texts
-    with repeats, spans as from, to, from, to, ... in bytes, merged, in order."""
+    with repeats, spans as from, to, from, to, ... in bytes, merged, in order. A table."""
     spark = docs.sparkSession
     docs = docs.select("uid", "text").where("uid is not null")
     seg = _segments(docs, length, gram)
@@ -410,30 +410,28 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", gram: int
                 out += [x["low"], x["end"]]
         return r[0], out
 
-    return map_rows(spans, lambda: merge, out_pa, "uid long, spans array<int>")
+    out = written(spark, map_rows(spans, lambda: merge, out_pa, "uid long, spans array<int>"), "suffix-spans")
+    for x in (common, cand, kinds, ctx):
+        dropped(spark, x)
+    return out
 
 
-def _with_uid(docs: DataFrame, id_col: str) -> DataFrame:
-    """docs with a unique column uid: the id itself where it is one, else a row
-    number of a written copy."""
-    spark = docs.sparkSession
-    twice = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where(f"_n > 1 or `{id_col}` is null")
+def _with_uid(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """docs with a further unique column, and its name: the id itself where it is one,
+    else a row number of a written copy."""
+    spark, uid = docs.sparkSession, spare(docs, "uid")
+    twice = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
     if twice.isEmpty():
-        return docs.withColumn("_uid", F.col(id_col).cast("long"))
-    return written(spark, docs.withColumn("_uid", F.monotonically_increasing_id()), "suffix-rows")
+        return docs.withColumn(uid, F.col(id_col).cast("long")), uid
+    return written(spark, docs.withColumn(uid, F.monotonically_increasing_id()), "suffix-rows"), uid
 
 
 def kept_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) after removing all that
     repeats (keep="none")."""
-    own = _with_uid(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")), id_col)
-    base = own.select(F.col("_uid").alias("uid"), "text").where("uid is not null")
-    src = base.join(repeats(base, length, "none").hint("merge"), "uid", "left")
-    if "monotonically" not in own.schema.simpleString() and not hasattr(own, "_changelens_path"):
-        src = src.select(F.col("uid").alias("doc_id"), "text", "spans")
-    else:
-        ids = own.select(F.col("_uid").alias("uid"), F.col(id_col).alias("doc_id"))
-        src = src.join(ids, "uid").select("doc_id", "text", "spans")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own, uid = _with_uid(base, "doc_id")
+    src = own.join(repeats(own.select(uid, "text"), length, "none").hint("merge"), "uid", "left").select("doc_id", "text", "spans")
     out = pa.schema(
         [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     )
@@ -470,11 +468,12 @@ def cut_text(text: str | None, spans: list[int] | None) -> str | None:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
-    """docs with repeated passages cut out of `text`; all rows and columns stay."""
-    own = _with_uid(docs, "doc_id")
-    base = own.select(F.col("_uid").alias("uid"), "text")
-    found = repeats(base, length, keep).select(F.col("uid").alias("_uid"), F.col("spans").alias("_spans"))
-    both = own.join(found.hint("merge"), "_uid", "left")
+    """docs with repeated passages cut out of `text`; all rows and columns stay,
+    whatever their names."""
+    own, uid = _with_uid(docs, "doc_id")
+    spans = spare(own, "spans")
+    found = repeats(own.select(F.col(uid).alias("uid"), "text"), length, keep)
+    both = own.join(found.select(F.col("uid").alias(uid), F.col("spans").alias(spans)).hint("merge"), uid, "left")
     at = docs.columns.index("text")
 
     def run(batches):
@@ -486,4 +485,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first") -
                 cols[at] = pa.array(texts, cols[at].type)
                 yield pa.RecordBatch.from_arrays(cols, names=p.schema.names[:-1])
 
-    return both.select(*docs.columns, "_spans").mapInArrow(run, docs.schema)
+    return both.select(*docs.columns, spans).mapInArrow(run, docs.schema)
