@@ -1,6 +1,7 @@
 """Small brute-force checks, and the odd cases each operator names in its docstring."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -23,7 +24,7 @@ ODD = [(1, None), (2, ""), (3, "a"), (4, " \n\t "), (5, "Same text here. " * 20)
 
 def frame(spark, rows=ODD, extra=True):
     df = spark.createDataFrame(rows, DDL)
-    return df.withColumns({c: F.lit(c) for c in ("n_tokens", "fp", "uid", "spans", "link", "shard", "tkey", "root", "item_id")}) if extra else df
+    return df.withColumns({c: F.lit(c) for c in ("n_tokens", "fp", "uid", "spans", "link", "shard", "tkey", "root", "item_id", "key", "id", "_uid", "_spans", "_sh_key", "_sh_id", "_tox_id")}) if extra else df
 
 
 def documents(spark):
@@ -235,6 +236,59 @@ def test_toxicity_held_out(spark):
     assert np.allclose(again.loc[got.doc_id].values, got.score.values)
 
 
+def test_toxicity_models_sum_to_one_and_match_the_definition(spark):
+    grams = {"^^^^^a": (3, 9), "^^^^^b": (0, 4), "^^^^ab": (2, 1), "^^^^ba": (1, 0), "^^^ab$": (2, 5), "^^^ba$": (0, 2), "^^^^a$": (4, 4)}
+    counts = spark.createDataFrame([(g, *x) for g, x in grams.items()], "gram string, toxic long, ordinary long")
+    d, o = toxicity.DISCOUNT, toxicity.ORDER
+    alphabet = {g[-1] for g in grams}
+    levels = {o: {g: 1 for g in grams}}
+    for k in range(o - 1, 0, -1):
+        levels[k] = {}
+        for g in levels[k + 1]:
+            levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
+
+    def shared(gram):
+        if not gram:
+            return 1 / len(alphabet)
+        own = {g: n for g, n in levels[len(gram)].items() if g[:-1] == gram[:-1]}
+        if not own:
+            return shared(gram[1:])
+        total = sum(own.values())
+        return max(own.get(gram, 0) - d, 0) / total + d * len(own) / total * shared(gram[1:])
+
+    def likely(gram, c):
+        own = {g: x[c] for g, x in grams.items() if g[:-1] == gram[:-1] and x[c]}
+        if not own:
+            return shared(gram[1:])
+        total = sum(own.values())
+        return max(own.get(gram, 0) - d, 0) / total + d * len(own) / total * shared(gram[1:])
+
+    for h in {g[:-1] for g in grams}:
+        for c in (0, 1):
+            assert sum(likely(h + x, c) for x in alphabet) == pytest.approx(1)
+    for r in toxicity.likelihoods(counts).collect():
+        assert r.p1 == pytest.approx(likely(r.gram, 0)) and r.p0 == pytest.approx(likely(r.gram, 1))
+    ratio = {r.key: r.ratio for r in toxicity.log_ratios(counts).collect()}
+    words = toxicity._word_sums
+    hashes = {k: __import__("xxhash").xxh64_intdigest(k.encode(), 42) for k in ratio}
+    order = sorted(ratio, key=hashes.get)
+    got = words(["ab", "zz"], np.array([hashes[k] for k in order], np.uint64), np.array([ratio[k] for k in order]))
+    one = sum(math.log(likely(g, 0) / likely(g, 1)) for g in ("^^^^^a", "^^^^ab", "^^^ab$"))
+    assert got[0] == pytest.approx(one, abs=1e-5) and got[1] == pytest.approx(math.log(likely("^^^^^z", 0) / likely("^^^^^z", 1)), abs=1e-5)
+
+
+def test_toxicity_rejects_rows_by_their_text(spark):
+    rows = [(i, ("kind words of people " * 5) + ("vile scum " * 6 if i % 4 == 0 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    rows += [(None, rows[0][1]), (1, rows[4][1]), (None, rows[1][1])]
+    docs = frame(spark, rows).withColumn("tkey", F.lit(7)).withColumn("tkey_", F.lit(8))
+    kept = toxicity.keep_ordinary(docs, labels)
+    assert kept.columns == docs.columns
+    got = kept.groupBy("doc_id").count().collect()
+    assert {(r.doc_id, r["count"]) for r in got} == {(i, 1) for i in range(400) if i % 4} | {(None, 1)}
+    assert kept.where("tkey = 7 and tkey_ = 8").count() == 301
+
+
 def test_toxicity_odd_cases(spark):
     labels = spark.createDataFrame([(1, 1), (5, 0), (6, None), (None, 1)], "doc_id long, toxic int")
     assert toxicity.score(frame(spark), labels).where("score between 0 and 1").count() == len(ODD)
