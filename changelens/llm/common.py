@@ -72,6 +72,8 @@ def rows_to_batches(
             c.append(v)
             if isinstance(v, (bytes, str)):
                 held += len(v)
+            elif isinstance(v, list):
+                held += 40 * len(v)
         if len(cols[0]) >= most_rows or held >= most_bytes:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
             cols, held = [[] for _ in schema], 0

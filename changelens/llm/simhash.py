@@ -334,9 +334,18 @@ def near_duplicates(
         ends = _leaders(rows)
     roots = written(spark, rows.select("tkey", "root").distinct(), "simhash-open")
     open_sets = sets.join(roots.select("tkey").hint("merge"), "tkey", "left_semi")
-    to_list = lambda: lambda r: (r[0], np.frombuffer(r[1], np.int64).tolist())
     list_pa = pa.schema([("tkey", pa.binary()), ("shingles", longs)])
-    open_sets = map_rows(open_sets, to_list, list_pa, "tkey binary, shingles array<long>")
+
+    def to_lists(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 64):
+                keys, raw = (c.slice(lo, 64) for c in b.columns)
+                own = [np.frombuffer(x.as_buffer(), np.int64) for x in raw]
+                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))
+                yield pa.RecordBatch.from_arrays([keys, lists], schema=list_pa)
+
+    open_sets = open_sets.mapInArrow(to_lists, "tkey binary, shingles array<long>")
     open_sets = written(spark, open_sets, "simhash-lists")
     good.append(verified(_rest(open_sets, roots, similarity)))
     edges = reduce(DataFrame.union, good).select(F.col("tkey").alias("a"), F.col("other").alias("b"))

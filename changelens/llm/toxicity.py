@@ -48,6 +48,8 @@ from .common import dropped, map_rows, rows_to_batches, spare, written
 ORDER, DISCOUNT, SHARE, MARGIN = 6, 0.75, 0.005, 2.0
 #: N-grams (12 bytes each), and bytes of words, that are broadcast at once.
 BLOCK_GRAMS, BLOCK_BYTES = 4_000_000, 64 << 20
+#: Words that a worker holds before it hands them on.
+HELD_WORDS = 40_000
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 
 _WORD = re.compile(r"\w+")
@@ -82,7 +84,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                     for c, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                         if text:
                             words[1 if c else 0].update(_WORD.findall(text.lower()))
-                    if len(words[0]) + len(words[1]) > 250_000:
+                    if len(words[0]) + len(words[1]) > HELD_WORDS:
                         yield from flush()
             yield from flush()
 
@@ -166,7 +168,7 @@ def distinct_words(docs: DataFrame) -> DataFrame:
                     for text in b.column(0).slice(lo, 256).to_pylist():
                         if text:
                             words.update(_WORD.findall(text.lower()))
-                    if len(words) > 250_000:
+                    if len(words) > HELD_WORDS:
                         yield from ((w,) for w in words)
                         words.clear()
             yield from ((w,) for w in words)
@@ -223,8 +225,8 @@ def evidence(docs: DataFrame, counts: DataFrame, margin: float = MARGIN) -> Data
 
         def run(batches, held=held):
             for b in batches:
-                for lo in range(0, b.num_rows, 4096):
-                    own = b.column(0).slice(lo, 4096)
+                for lo in range(0, b.num_rows, 2048):
+                    own = b.column(0).slice(lo, 2048)
                     yield pa.RecordBatch.from_arrays([own, pa.array(_word_sums(own.to_pylist(), *held.value))], schema=schema)
 
         own = words.mapInArrow(run, "word string, ratio double").where("ratio <> 0")
