@@ -124,12 +124,9 @@ def quotations(messages: DataFrame) -> DataFrame:
     wanted = asked.select("h").distinct()
     place = _places(messages).join(wanted.hint("merge"), "h", "left_semi")
     place = written(spark, place.groupBy("h", "conv_id", "turn").agg(F.count(F.lit(1)).alias("n")).drop("n"), "quotes-places")
-    # each conversation's places of a passage, and the first place anywhere
-    near = asked.alias("a").join(
-        place.alias("p"),
-        (F.col("a.h") == F.col("p.h")) & (F.col("a.conv_id") == F.col("p.conv_id")) & (F.col("p.turn") < F.col("a.turn")),
-    )
-    near = near.groupBy("a.conv_id", "a.turn", "a.first", "a.level", "a.part").agg(F.max("p.turn").alias("near_turn"))
+    # the last place before in each conversation, and the first place anywhere
+    near = asked.join(latest_before(asked, place).hint("merge"), ["h", "conv_id", "turn"])
+    near = near.select("conv_id", "turn", "first", "level", "part", "near_turn")
     first = place.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("p"))
     keys = ["conv_id", "turn", "first", "level", "part"]
     both = asked.join(near.hint("merge"), keys, "left").join(first.hint("merge"), "h", "left")
@@ -147,6 +144,24 @@ def quotations(messages: DataFrame) -> DataFrame:
     return out.select("conv_id", "turn", "first", "level", F.col("to.conv_id").alias("to_conv"), F.col("to.turn").alias("to_turn"))
 
 
+def latest_before(asked: DataFrame, place: DataFrame) -> DataFrame:
+    """(h, conv_id, turn, near_turn): for each (h, conv_id, turn) of asked the largest turn of
+    place(h, conv_id, turn) below it, by blocks of turns: rows are those of both tables."""
+    keys = ["h", "conv_id", "turn"]
+    both = asked.where("conv_id is not null and turn is not null").select(*keys, F.lit(0).alias("is_place")).distinct()
+    both = both.union(place.where("conv_id is not null and turn is not null").select(*keys, F.lit(1)))
+    both = both.withColumn("block", F.floor(F.col("turn") / TURN_BLOCK))
+    at = F.when(F.col("is_place") == 1, F.col("turn"))
+    # of equal turns the asking row comes first, and so does not see the place
+    over = Window.partitionBy("h", "conv_id", "block").orderBy("turn", "is_place").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("lag", F.max(at).over(over)).where("is_place = 0")
+    ends = both.groupBy("h", "conv_id", "block").agg(F.max(at).alias("end"))
+    blocks = Window.partitionBy("h", "conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("h", "conv_id", "block", F.max("end").over(blocks).alias("prior"))
+    out = inside.join(ends.hint("merge"), ["h", "conv_id", "block"])
+    return out.select(*keys, F.coalesce("lag", "prior").alias("near_turn")).where("near_turn is not null")
+
+
 def turns_before(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, before): the turn before each, by blocks of turns."""
     own = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn").distinct()
@@ -154,7 +169,7 @@ def turns_before(messages: DataFrame) -> DataFrame:
     inside = own.withColumn("lag", F.lag("turn").over(Window.partitionBy("conv_id", "block").orderBy("turn")))
     ends = own.groupBy("conv_id", "block").agg(F.max("turn").alias("end"))
     ends = ends.select("conv_id", "block", F.lag("end").over(Window.partitionBy("conv_id").orderBy("block")).alias("prior"))
-    both = inside.join(ends, ["conv_id", "block"])
+    both = inside.join(ends.hint("merge"), ["conv_id", "block"])
     return both.select("conv_id", "turn", F.coalesce("lag", "prior").alias("before"))
 
 
