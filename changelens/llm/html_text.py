@@ -17,7 +17,8 @@ Cases: null or empty html gives an empty text, as does a page without words in
 its best run. Tags left open end with their parents; markup broken off at the end
 of the page counts as a tag. Pages of any length are read whole. Rows are
 independent: repeated rows give repeated results; ties between runs go to the
-first. With no labelled page the weights are the prior ones (words 1, tags -1).
+first. With no labelled page the weights are the prior ones (words 1, of links LINKED,
+tags UNSEEN). Classes and ids take an element out only if they name furniture alone.
 An empty table gives no rows; further columns are ignored.
 """
 
@@ -64,32 +65,52 @@ _SAME = {
 }
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 #: Never part of an article's text.
-_OUT = frozenset(
-    "head nav aside form button select dialog menu object audio video canvas map datalist footer label input".split()
-) | _RAW
-_OUT_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay"
-    r"|nav|navbar|navigation|menu|breadcrumb\w*|sidebar\w*|side|widget\w*|related|recommend\w*|share|sharing|social"
-    r"|comment\w*|disqus|respons\w*|reply|replies|footer|header|masthead|newsletter|subscri\w*|signup|login|search"
-    r"|pagination|pager|skip|hidden)(?:$|[\s_-])",
-    re.I,
+_OUT = frozenset("head nav aside form button select dialog menu object audio video canvas map datalist footer input".split()) | _RAW
+#: Words of classes and ids that name furniture, and words that say nothing beside them. A class
+#: counts only if nothing else is in it: "share-buttons" does, "share-price" does not.
+_FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent "
+    "gdpr notice popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets related recommended "
+    "recommendations share sharing social comment comments disqus respond replies footer masthead newsletter subscribe subscription "
+    "signup login search pagination pager hidden header".split()
 )
+_PLAIN = frozenset(
+    "box bar list links link button buttons btn container wrapper wrap block area section top bottom left right inner outer site page "
+    "global primary secondary main mobile desktop form item items icon icons post posts article articles blog entry content unit slot "
+    "group panel dismissible widget text title level".split()
+)
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+#: A block outside the labelled content that states who holds the rights, in a few words.
+_RIGHTS = re.compile(r"\s*(?:(?:©|\(c\))\s*\S|copyright\s*(?:©|\(c\)|\d{4})|all rights reserved)", re.I)
+RIGHTS_WORDS = 25
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 _MARKS = frozenset(["article", "main"])
 OUT_PENALTY = 0.5
+#: Weights of tags and of words of links that no labelled page had; occurrences that outweigh them.
+UNSEEN, LINKED, SMOOTH = -0.1, 0.3, 20
+
+
+def is_furniture(value: str) -> bool:
+    """Whether a class or id attribute names furniture of the page and nothing else."""
+    for token in value.split():
+        parts = [p.lower() for p in _PARTS.findall(token)]
+        if any(p in _FURNITURE for p in parts) and all(p in _FURNITURE or p in _PLAIN or p.isdigit() for p in parts):
+            return True
+    return False
 
 
 class Page:
     """Tokens of a page: kinds[i] weighs counts[i] times; texts[i] is the text a
     token brings, or None; marks are the (from, to) token ranges of labelling elements."""
 
-    __slots__ = ("kinds", "counts", "texts", "marks")
+    __slots__ = ("kinds", "counts", "texts", "marks", "marked")
 
     def __init__(self, source: str):
         self.kinds: list[str] = []
         self.counts: list[int] = []
         self.texts: list[str | None] = []
         self.marks: list[tuple[int, int]] = []
+        self.marked = 0  # open labelling elements
         self.read(source)
 
     def add(self, kind: str, count: int, text: str | None) -> None:
@@ -102,10 +123,14 @@ class Page:
             return
         text = html.unescape(raw) if "&" in raw else raw
         n = len(text.split())
-        self.add(f"w:{block}{':a' if linked else ''}", n, text)
+        if n and n <= RIGHTS_WORDS and not self.marked and _RIGHTS.match(text):
+            self.add("rights", n, text)
+        else:
+            self.add(f"w:{block}{':a' if linked else ''}", n, text)
 
     def read(self, source: str) -> None:
         stack: list[tuple[str, int, bool]] = []  # name, token where a mark began or -1, taken out
+        opened: Counter = Counter()  # names on the stack
         out = 0  # open elements that are taken out
         pos, end = 0, len(source)
         find = _TAG.search
@@ -114,6 +139,8 @@ class Page:
             nonlocal out
             while len(stack) > to:
                 name, at, is_out = stack.pop()
+                opened[name] -= 1
+                self.marked -= name in _MARKS
                 out -= is_out
                 if at >= 0:
                     self.marks.append((at, len(self.kinds)))
@@ -145,7 +172,7 @@ class Page:
             name = name.lower()
             if m[1]:
                 was_out = out
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
                     if stack[k][0] == name:
                         close(k)
                         break
@@ -173,14 +200,14 @@ class Page:
                     attr, value = attr.lower(), value.strip("\"'")
                     if attr in ("class", "id"):
                         cls = cls or value
-                        is_out |= bool(_OUT_WORDS.search(value)) and name not in ("html", "body", "article", "main", "h1")
+                        is_out |= name not in ("html", "body", "article", "main", "h1") and is_furniture(value)
                     elif attr == "role":
                         is_out |= value.lower() in _OUT_ROLES
                     elif attr == "hidden" or attr == "aria-hidden" and value.lower() == "true":
                         is_out |= name not in ("html", "body")
                     elif attr == "style":
                         is_out |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-            if name == "header" and not any(s[0] in _MARKS for s in stack):
+            if name == "header" and not self.marked:
                 is_out = True
             if not out:
                 if is_out:
@@ -196,6 +223,8 @@ class Page:
                 pos = stop.end() if stop else end
                 continue
             stack.append((name, len(self.kinds) if name in _MARKS and not out else -1, is_out))
+            opened[name] += 1
+            self.marked += name in _MARKS
             out += is_out
         close(0)
 
@@ -207,8 +236,9 @@ def label(page: Page) -> tuple[int, int] | None:
 
 
 def learn(pages: list[str]) -> dict[str, float]:
-    """Weights of token kinds, from labelled pages; '' and 't' hold those of words
-    and tags that no labelled page had."""
+    """Weights of token kinds, from labelled pages. SMOOTH occurrences at even odds are added
+    to each kind, so what is rare stays near the weight of what was never seen: LINKED for
+    words of links, 1 for other words ('') and UNSEEN for tags ('t')."""
     inside, outside = Counter(), Counter()
     for source in pages:
         page = Page(source)
@@ -216,19 +246,29 @@ def learn(pages: list[str]) -> dict[str, float]:
         if span is None:
             continue
         for k, (kind, n) in enumerate(zip(page.kinds, page.counts)):
-            if kind != "mark" and n:
+            if kind[:2] in ("w:", "t:") and n:
                 (inside if span[0] <= k < span[1] else outside)[kind] += n
-    weights = {"": 1.0, "t": -1.0, "mark": 0.0, "out": -OUT_PENALTY}
-    for word in (True, False):
-        kinds = [k for k in inside.keys() | outside.keys() if (k[0] == "w") == word and k != "out"]
+    weights = {"": 1.0, ":a": LINKED, "t": UNSEEN, "mark": 0.0, "out": -OUT_PENALTY, "rights": -1.0}
+    for word in ("w", "t"):
+        kinds = [k for k in inside.keys() | outside.keys() if k[0] == word]
         n_in, n_out = sum(inside[k] for k in kinds) + 1, sum(outside[k] for k in kinds) + 1
         for k in kinds:
+            share = (inside[k] + outside[k]) / (inside[k] + outside[k] + SMOOTH)
             ratio = math.log((inside[k] / n_in + 1e-4) / (outside[k] / n_out + 1e-4))
             # a word of content is worth 1 at most, a tag costs something even there
-            weights[k] = max(-3.0, min(1.0, ratio)) if word else max(-3.0, min(-0.05, ratio - 1.0))
+            own = max(-3.0, min(1.0, ratio)) if word == "w" else max(-3.0, min(-0.05, ratio - 1.0))
+            unseen = UNSEEN if word == "t" else LINKED if k.endswith(":a") else 1.0
+            weights[k] = share * own + (1 - share) * unseen
     return weights
 
 
+def weight(kind: str, weights: dict[str, float]) -> float:
+    own = weights.get(kind)
+    if own is None:
+        own = weights["t"] if kind[0] == "t" else weights[":a"] if kind.endswith(":a") else weights[""]
+    return own
+
+
 def best_run(scores: list[float]) -> tuple[int, int]:
     """The contiguous run with the largest positive sum, the first of equals; linear."""
     best, at, total, start = 0.0, (0, 0), 0.0, 0
@@ -245,16 +285,21 @@ def main_text(source: str | None, weights: dict[str, float]) -> str:
     if not source:
         return ""
     page = Page(source)
-    word, tag = weights[""], weights["t"]
-    scores = [weights.get(k, word if k[0] == "w" else tag) * n for k, n in zip(page.kinds, page.counts)]
+    scores = [weight(k, weights) * n for k, n in zip(page.kinds, page.counts)]
     lo, hi = best_run(scores)
     return " ".join("".join([t for t in page.texts[lo:hi] if t is not None]).split())
 
 
 def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> dict[str, float]:
-    """Weights from a bounded sample of the pages that label themselves."""
+    """Weights from a bounded sample of the pages that label themselves: those whose id has
+    the smallest hashes. They are counted first, and a threshold on the hash lets about twice
+    as many through as are wanted, so no task sorts more than that."""
     own = pages.where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]") & (F.octet_length(html_col) <= PAGE_BYTES))
-    pick = own.orderBy(F.xxhash64(id_col), html_col).limit(FIT_PAGES)
+    place = F.xxhash64(id_col)
+    n = own.count()
+    if n > 2 * FIT_PAGES:
+        own = own.where(place < F.lit(-(2**63) + int(2**64 * (2 * FIT_PAGES / n))))
+    pick = own.select(html_col, place.alias("place")).orderBy("place", html_col).limit(FIT_PAGES)
     return learn([r[0] for r in pick.select(html_col).toLocalIterator()])
 
 
