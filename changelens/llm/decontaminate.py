@@ -6,8 +6,9 @@ words; an item with fewer words, but not none, is one window. A training text's
 windows are looked up by their numbers for words, so a hit is the very words and
 no hash of them. Every word inside an occurrence is hit.
 
-The benchmark is broadcast only up to BLOCK_BYTES; a larger one is dealt into
-blocks of about that size, and the documents are scanned once for each block.
+The benchmark is broadcast only up to BLOCK_BYTES of text, as packed arrays of about
+five times that; a larger one is dealt into blocks of about that size, the documents
+are scanned once for each block, and what is carried on are the spans of hit texts.
 
 Cases: a null or empty text has no words and no hits; an item with null text or
 no words has no windows; an item with a null id marks words but is not counted.
@@ -21,16 +22,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, map_rows, written
+from .common import dropped, map_rows, spare, written
 
 #: Text bytes of the benchmark that are broadcast at once.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -41,35 +43,63 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_TABLE).split() if text else []
 
 
+def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n neighbours."""
+    out = np.zeros(len(ids) - n + 1, np.uint64)
+    for j in range(n):
+        out = (out ^ ids[j : j + len(out)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class Grams:
-    """Windows of a block of benchmark items, by numbers for words."""
+    """Windows of a block of benchmark items, by numbers for words: for each length the
+    windows' sorted hashes, where they begin, and whose they are."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.number: dict[bytes, int] = {}
-        self.by_length: dict[int, dict[tuple[int, ...], set]] = {}
-        for item, text in items:
-            ws = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
-            n = min(window, len(ws))
+        self.names = [item for item, _ in items]
+        parts: list[np.ndarray] = []
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        at = 0
+        for k, (_, text) in enumerate(items):
+            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(text)], np.int32)
+            n = min(window, len(ids))
             if n:
-                grams = self.by_length.setdefault(n, {})
-                for k in range(len(ws) - n + 1):
-                    grams.setdefault(tuple(ws[k : k + n]), set()).add(item)
+                h, first = np.unique(_hashes(ids, n), return_index=True)
+                found.setdefault(n, []).append((h, first + at, np.full(len(h), k, np.int32)))
+                parts.append(ids)
+                at += len(ids)
+        self.ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, rows in found.items():
+            h, start, item = (np.concatenate(x) for x in zip(*rows))
+            order = np.argsort(h, kind="stable")
+            self.by_length[n] = (h[order], start[order], item[order])
 
     def hits(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Spans of words (from, to), merged and in order; ids of the items."""
         get = self.number.get
-        ids = [get(w, 0) for w in ws]
-        known = np.concatenate([[0], np.cumsum(np.array(ids, np.int64) > 0)])
+        ids = np.array([get(w, 0) for w in ws], np.int32)
+        known = np.concatenate([[0], np.cumsum(ids > 0)])
         spans: list[tuple[int, int]] = []
         items: set = set()
-        for n, grams in self.by_length.items():
+        for n, (h, start, item) in self.by_length.items():
             if len(ids) < n:
                 continue
-            for p in np.flatnonzero(known[n:] - known[:-n] == n).tolist():
-                found = grams.get(tuple(ids[p : p + n]))
-                if found:
+            places = np.flatnonzero(known[n:] - known[:-n] == n)
+            if not len(places):
+                continue
+            own = _hashes(ids, n)[places]
+            lo, hi = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
+            for k in np.flatnonzero(hi > lo).tolist():
+                p = int(places[k])
+                # the very words, not their hash, make a hit
+                mine = ids[p : p + n]
+                same = [x for x in range(int(lo[k]), int(hi[k])) if np.array_equal(self.ids[start[x] : start[x] + n], mine)]
+                if same:
                     spans.append((p, p + n))
-                    items |= found
+                    items.update(self.names[item[x]] for x in same)
         return merged(spans), items
 
 
@@ -91,15 +121,58 @@ def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | Non
         yield [(r[0], r[1]) for r in bench.where(deal == k).select("item_id", "text").distinct().toLocalIterator()]
 
 
-_STATE = "id long, text string, spans array<int>, items array<string>"
-_STATE_PA = pa.schema(
-    [
-        ("id", pa.int64()),
-        ("text", pa.string()),
-        ("spans", pa.list_(pa.int32())),
-        ("items", pa.list_(pa.string())),
-    ]
-)
+_FOUND = "spans array<int>, items array<string>"
+_FOUND_PA = [("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]
+
+
+def _flat(spans: list[tuple[int, int]]) -> list[int]:
+    return [x for s in spans for x in s]
+
+
+def _both(grams: Grams, text: str | None, spans: list[int] | None, items: list[str] | None) -> tuple[list, list[int], list[str]]:
+    """The words of a text, and its spans and items by grams and by earlier blocks."""
+    ws = words(text)
+    found, own = grams.hits(ws)
+    if spans:
+        found = merged(found + list(zip(spans[::2], spans[1::2])))
+    return ws, _flat(found), sorted((own - {None}) | set(items or ()))
+
+
+def _earlier(docs: DataFrame, bench: DataFrame, window: int, block_bytes: int, text_col: str) -> tuple[DataFrame, list]:
+    """docs, with what all blocks of the benchmark but the last found in a text as its last
+    two columns, and the last block's items. Only texts with hits are written, by a digest."""
+    spark = docs.sparkSession
+    key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    names = [spare(docs, "spans"), spare(docs, "items")]
+    tables, last = [], None
+    for items in _blocks(bench, block_bytes):
+        if last is not None:
+            grams = spark.sparkContext.broadcast(Grams(last, window))
+
+            def make(grams=grams):
+                return lambda r: (r[0], *_both(grams.value, r[1], None, None)[1:])
+
+            schema = pa.schema([("tkey", pa.binary()), *_FOUND_PA])
+            own = map_rows(docs.select(key.alias("tkey"), text_col), make, schema, f"tkey binary, {_FOUND}").where("size(spans) > 0")
+            tables.append(written(spark, own.dropDuplicates(["tkey"]), "decontaminate"))
+        last = items
+    if not tables:
+        return docs.select("*", *(F.lit(None).cast(t).alias(n) for n, t in zip(names, ("array<int>", "array<string>")))), last
+    # a list a block
+    found = reduce(DataFrame.union, tables).groupBy("tkey").agg(F.collect_list("spans").alias("s"), F.collect_list("items").alias("i"))
+
+    def join(r):
+        pairs = [p for s in r[1] for p in zip(s[::2], s[1::2])]
+        return r[0], _flat(merged(pairs)), sorted({x for i in r[2] for x in i})
+
+    schema = pa.schema([("tkey", pa.binary()), *_FOUND_PA])
+    found = written(spark, map_rows(found, lambda: join, schema, f"tkey binary, {_FOUND}"), "decontaminate-found")
+    for t in tables:
+        dropped(spark, t)
+    tkey = spare(docs, "tkey")
+    found = found.select(F.col("tkey").alias(tkey), F.col("spans").alias(names[0]), F.col("items").alias(names[1]))
+    out = docs.withColumn(tkey, key).join(found.hint("merge"), tkey, "left")
+    return out.select(*docs.columns, *names), last
 
 
 def find_hits(
@@ -112,63 +185,20 @@ def find_hits(
 ) -> DataFrame:
     """(doc_id, n_words, n_hit, spans array<int>, items array<string>): spans are
     from, to, from, to, ... in words; items are ids as strings, sorted."""
-    spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
-    state = docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.col(text_col).alias("text"),
-        F.lit(None).cast("array<int>").alias("spans"),
-        F.lit(None).cast("array<string>").alias("items"),
-    )
-
-    def scan(grams):
-        def row(r):
-            spans, items = grams.value.hits(words(r[1]))
-            flat = list(zip(r[2][::2], r[2][1::2])) if r[2] else []
-            own = items - {None}
-            return (
-                r[0],
-                r[1],
-                [x for s in merged(spans + flat) for x in s],
-                sorted(own | set(r[3])) if r[3] else sorted(own),
-            )
-
-        return row
-
-    def step(df: DataFrame, items: list) -> DataFrame:
-        grams = spark.sparkContext.broadcast(Grams(items, window))
-        return map_rows(df, lambda: scan(grams), _STATE_PA, _STATE)
-
-    last = None
-    for items in _blocks(bench, block_bytes):
-        if last is not None:
-            kept = written(spark, step(state, last), "decontaminate")
-            dropped(spark, state)
-            state = kept
-        last = items
-    out_pa = pa.schema(
-        [
-            ("doc_id", pa.int64()),
-            ("n_words", pa.int64()),
-            ("n_hit", pa.int64()),
-            ("spans", pa.list_(pa.int32())),
-            ("items", pa.list_(pa.string())),
-        ]
-    )
-    grams = spark.sparkContext.broadcast(Grams(last, window))
-
-    def final():
-        inner = scan(grams)
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    state, last = _earlier(base, bench, window, block_bytes, "text")
+    out_pa = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), *_FOUND_PA])
+    grams = docs.sparkSession.sparkContext.broadcast(Grams(last, window))
 
+    def make():
         def row(r):
-            i, text, spans, items = inner(r)
-            return i, len(words(text)), sum(spans[1::2]) - sum(spans[::2]), spans, items
+            ws, spans, items = _both(grams.value, *r[1:])
+            return r[0], len(ws), sum(spans[1::2]) - sum(spans[::2]), spans, items
 
         return row
 
-    return map_rows(
-        state, final, out_pa, "doc_id long, n_words long, n_hit long, spans array<int>, items array<string>"
-    )
+    return map_rows(state, make, out_pa, f"doc_id long, n_words long, n_hit long, {_FOUND}")
 
 
 def hit_digests(hits: DataFrame) -> DataFrame:
@@ -182,52 +212,50 @@ def hit_digests(hits: DataFrame) -> DataFrame:
     )
 
 
-def clean_text(text: str | None, grams: Grams) -> tuple[str | None, int]:
-    """The text without hit words, and how many were hit; what stands between two
-    hit words of one span goes with them."""
+def clean_text(text: str | None, spans: list[int]) -> tuple[str | None, int]:
+    """The text without the words of spans, and how many they were; what stands between
+    two hit words of one span goes with them."""
     if not text:
         return text, 0
     raw = text.encode()
-    at = [m.span() for m in re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", raw.lower())]
-    spans, _ = grams.hits(words(text))
+    at = [m.span() for m in re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", raw.lower())] if spans else []
     out, pos = [], 0
-    for a, b in spans:
+    for a, b in zip(spans[::2], spans[1::2]):
         out.append(raw[pos : at[a][0]])
         pos = at[b - 1][1]
     out.append(raw[pos:])
-    return b"".join(out).decode(), sum(b - a for a, b in spans)
+    return b"".join(out).decode(), sum(spans[1::2]) - sum(spans[::2])
 
 
 def remove(
-    docs: DataFrame, benchmark: DataFrame, mode: str = "document", window: int = 10, text_col: str = "text"
+    docs: DataFrame,
+    benchmark: DataFrame,
+    mode: str = "document",
+    window: int = 10,
+    text_col: str = "text",
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """docs without its contaminated rows (mode "document"), or with the hit spans
-    cut out of the texts (mode "span"). Keeps all columns; rows are never lost in
-    mode "span". Works through the benchmark block by block."""
-    spark = docs.sparkSession
+    cut out of the texts (mode "span"). Keeps all columns, whatever their names; rows are
+    never lost in mode "span", and spans are judged on the input, whatever the blocks."""
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
-    out = docs
-    blocks = _blocks(bench, BLOCK_BYTES)
-    for n, items in enumerate(blocks):
-        grams = spark.sparkContext.broadcast(Grams(items, window))
-        at = out.columns.index(text_col)
-
-        def run(batches, grams=grams, at=at):
-            for b in batches:
-                for lo in range(0, b.num_rows, 1024):
-                    p = b.slice(lo, 1024)
-                    texts = p.column(at).to_pylist()
-                    if mode == "document":
-                        yield p.filter(pa.array([not grams.value.hits(words(t))[0] for t in texts], pa.bool_()))
-                    else:
-                        cols = list(p.columns)
-                        cols[at] = pa.array([clean_text(t, grams.value)[0] for t in texts], p.column(at).type)
-                        yield pa.RecordBatch.from_arrays(cols, schema=p.schema)
-
-        if n:
-            out = written(spark, out, "decontaminate")
-        out = out.mapInArrow(run, out.schema)
-    return out
+    state, last = _earlier(docs, bench, window, block_bytes, text_col)
+    grams = docs.sparkSession.sparkContext.broadcast(Grams(last, window))
+    at, n = docs.columns.index(text_col), len(docs.columns)
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                p = b.slice(lo, 1024)
+                texts, earlier = p.column(at).to_pylist(), p.column(n).to_pylist()
+                spans = [_both(grams.value, t, s, None)[1] for t, s in zip(texts, earlier)]
+                cols = list(p.columns)[:n]
+                if mode != "document":
+                    cols[at] = pa.array([clean_text(t, s)[0] for t, s in zip(texts, spans)], p.column(at).type)
+                own = pa.RecordBatch.from_arrays(cols, names=p.schema.names[:n])
+                yield own.filter(pa.array([not s for s in spans], pa.bool_())) if mode == "document" else own
+
+    return state.mapInArrow(run, docs.schema)
 
 
 ORACLE = """
