@@ -148,6 +148,38 @@ def test_pages_equal_the_marked_article(spark):
     assert [r.text for r in html_text.extract(empty).collect()] == ["", ""]
 
 
+def test_articles_keep_their_lists_tables_and_sections(spark):
+    weights = html_text.fit(spark.read.parquet(f"{DATA}/pages.parquet"))
+    around = "<html><body><nav><a href='/'>Home</a></nav>%s<footer>Imprint</footer></body></html>"
+    text = lambda body: html_text.main_text(around % body, weights)
+    items = "".join(f"<li><a href='/{k}'>Thing number {k}</a></li>" for k in range(20))
+    last = "<p>That was the list of the ten best things we have seen this year in town.</p>"
+    got = text(f"<article><h1>Ten things</h1><ul>{items}</ul>{last}</article>")
+    assert got.startswith("Ten things Thing number 0") and got.endswith("this year in town.")
+    table = "".join(f"<tr><td>Row {k}</td><td>{k * 7}</td></tr>" for k in range(60))
+    got = text(f"<article><h1>Figures</h1><p>The figures of the year are these.</p><table>{table}</table>{last}</article>")
+    assert "Row 0 0 Row 1 7" in got and got.endswith("this year in town.")
+    for part in (
+        '<section id="related-work"><p>Others have written of it.</p></section>',
+        '<p class="search-results">Results of our search were few.</p>',
+        '<div class="side-by-side">Both pictures stand here.</div>',
+        '<p>The <span class="share-price">price of a share</span> fell.</p>',
+        "<p><label>Fig. 1</label> A figure.</p>",
+    ):
+        inner = " ".join(re.sub(r"<[^>]*>", "", part).split())
+        assert inner in text(f"<article><h1>Title here</h1><p>A paragraph comes first in this.</p>{part}{last}</article>"), part
+    for part in ('<div class="share-buttons">Tweet this</div>', '<div id="cookie-notice">We use cookies</div>', '<div class="adBanner">Buy now</div>'):
+        assert text(f"<article><h1>Title here</h1><p>A paragraph comes first.</p>{part}{last}</article>").startswith("Title here A paragraph comes first. That was")
+    plain = "<div><h1>Title here</h1><p>A paragraph comes first in this text of ours.</p><p>Copyright law is hard.</p></div><div>© 2024 The Paper Ltd</div>"
+    assert text(plain) == "Title here A paragraph comes first in this text of ours. Copyright law is hard."
+    for part in (">" * 50_000, "</b>" * 50_000, "<i>" * 20_000, '<a href="' * 20_000, "<div class='a" * 5_000):
+        assert isinstance(text(f"<article><p>Some words of an article.</p>{part}"), str)
+    rows = [(1, "u", PAGE.format("article")), (1, "u", PAGE.format("article")), (None, None, "<p>words " + "long " * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit("clash"))
+    assert sorted(r.n_chars for r in html_text.extract(pages, weights).collect())[-1] == 5 + 5 * 100_000
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 # ---- 4 ----------------------------------------------------------------------
 
 
@@ -219,6 +251,47 @@ def test_circle_of_quotes_ends(spark):
     assert {(r.root_conv, r.root_turn, r.depth) for r in got} == {(1, 0, 0)}
 
 
+def test_latest_place_before_equals_brute_force(spark):
+    rng = random.Random(8)
+    asked = [(rng.choice("abc"), rng.choice([1, 2, None]), rng.randint(-900, 2000)) for _ in range(400)]
+    place = [(rng.choice("abcd"), rng.choice([1, 2, 3]), rng.randint(-900, 2000)) for _ in range(300)]
+    frames = (spark.createDataFrame(sorted(set(x), key=str), "h string, conv_id long, turn long") for x in (asked, place))
+    got = {(r.h, r.conv_id, r.turn): r.near_turn for r in quotes.latest_before(*frames).collect()}
+    want = {}
+    for h, c, t in asked:
+        before = [p[2] for p in place if p[0] == h and p[1] == c and p[2] < t]
+        if before:
+            want[h, c, t] = max(before)
+    assert got == want
+
+
+def test_nested_quotes_equal_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    own, rows, quoted = {}, [], {}
+    for conv in range(6):
+        for turn in range(12):
+            lines = []
+            if turn:
+                back = rng.randrange(turn)
+                if rng.random() < 0.7:
+                    quoted[conv, turn] = back
+                    if (conv, back) in quoted and rng.random() < 0.5:
+                        lines += [f">> {x}" for x in own[conv, quoted[conv, back]].split("\n")]
+                    lines += [f"> {x.upper() if rng.random() < 0.3 else x}" for x in own[conv, back].split("\n")]
+            own[conv, turn] = "\n".join(" ".join(word() for _ in range(5)) for _ in range(rng.randint(1, 3)))
+            rows.append((conv, turn, "u", "\n".join([*lines, own[conv, turn]])))
+    rng.shuffle(rows)
+    got = {(r.conv_id, r.turn): r for r in quotes.link_conversations(spark.createDataFrame(rows, TALK)).collect()}
+    for (conv, turn), r in got.items():
+        assert r.own_text == own[conv, turn]
+        assert r.reply_turn == quoted.get((conv, turn), turn - 1 if turn else None) and r.by_quote == ((conv, turn) in quoted)
+        depth, at = 0, turn
+        while at:
+            at, depth = quoted.get((conv, at), at - 1), depth + 1
+        assert r.depth == depth and r.root_turn == 0
+
+
 # ---- 6 ----------------------------------------------------------------------
 
 
@@ -475,18 +548,55 @@ def test_media(spark):
     crop = [(0, bytearray(media.pack(img))), (7, bytearray(media.pack(img[10:, 14:])))]
     got = media.search(spark.createDataFrame(crop, "media_id long, media binary"), F.col("media_id") == 0).collect()
     assert [r.media_id for r in got] == [7] and abs(got[0].dx + 14) <= 2 and abs(got[0].dy + 10) <= 2
-    linked = media.linked_media(images, media.search(images, F.col("media_id") % 50 == 0)).collect()
-    assert len(linked) == len(rows)
 
 
-LINKS = "query_id long, media_id long, votes long"
-
-
-def test_media_links_are_kept_on_both_ends(spark):
-    found = [(50, 7, 3), (100, 7, 9), (150, 7, 4), (100, 50, 5), (50, 100, 5), (200, 8, 3)]
-    images = spark.createDataFrame([(i, None) for i in (7, 8, 9, 50, 100, 150, 200)], "media_id long, media binary")
-    got = {r.media_id: (r.n_links, r.class_id, r.votes) for r in media.linked_media(images, spark.createDataFrame(found, LINKS)).collect()}
-    assert got == {7: (3, 7, 9), 50: (2, 7, 5), 100: (2, 7, 9), 150: (1, 7, 4), 8: (1, 8, 3), 200: (1, 8, 3), 9: (0, 9, 0)}
+def test_media_links_are_counted_for_all_images_of_a_class(spark):
+    rng = np.random.default_rng(4)
+    a, b, c = (rng.normal(size=64) for _ in range(3))
+    near = (a + rng.normal(size=64) * 0.02).tolist()
+    rows = [(50, a.tolist()), (7, near), (51, a.tolist()), (52, a.tolist()), (8, b.tolist()), (9, b.tolist()), (100, c.tolist())]
+    rows += [(11, None), (12, None), (13, [1.0] * 64), (14, [1.0] * 64), (None, a.tolist()), (7, near)]
+    images = media.with_media(spark.createDataFrame(rows, "vec_id long, v array<double>"), "vec_id", "v")
+    images = images.withColumns({x: F.lit(1) for x in ("mkey", "rep", "n", "no", "root", "votes", "asked")})
+    got = Counter((r.media_id, r.n_links, r.class_id) for r in media.linked_media(images, F.col("media_id") % 50 == 0).collect())
+    # 50, 51 and 52 are equal and linked with both rows of 7; 8 and 9 are equal; the others have no corner
+    want = [(50, 4, 7), (51, 4, 7), (52, 4, 7), (7, 4, 7), (7, 4, 7), (8, 1, 8), (9, 1, 8), (100, 0, 100)]
+    want += [(11, 0, 11), (12, 0, 12), (13, 0, 13), (14, 0, 14), (None, 4, None)]
+    assert got == Counter(want)
+    assert media.linked_media(images.limit(0), F.col("media_id") % 50 == 0).count() == 0
+
+
+def test_media_recall_of_crops_turns_and_edits():
+    """Of rendered images cut by up to a fifth, turned, brightened and made noisy, nine of ten are found."""
+    rng = np.random.default_rng(9)
+
+    def votes(x, y):
+        best = 0
+        pairs = [(p, q) for p in x for q in y if sum(bin((int(u) ^ int(v)) & (2**64 - 1)).count("1") for u, v in zip(p[4], q[4])) <= media.MOST_DIFFERENT]
+        pairs = [(p, q) for p, q in pairs if any(np.array_equal(p[4].view("<u4")[t], q[4].view("<u4")[t]) for t in range(media.TABLES))]
+        at = []
+        for p, q in pairs:
+            turn, s = math.remainder(q[3] - p[3], 2 * math.pi), q[2] / p[2]
+            dx = q[0] - s * (math.cos(turn) * p[0] - math.sin(turn) * p[1])
+            at.append((p[:3], dx, q[1] - s * (math.sin(turn) * p[0] + math.cos(turn) * p[1]), turn, math.log(s)))
+        for v in at:
+            near = {w[0] for w in at if abs(w[1] - v[1]) <= media.SHIFT and abs(w[2] - v[2]) <= media.SHIFT and abs(w[4] - v[4]) <= media.SCALE_BIN and abs(math.remainder(w[3] - v[3], 2 * math.pi)) <= media.ANGLE_BIN}
+            best = max(best, len(near))
+        return best
+
+    edits = {
+        "crop": lambda i: i[rng.integers(0, 13) :, rng.integers(0, 13) :],
+        "turn": lambda i: np.rot90(i, rng.integers(1, 4)),
+        "bright": lambda i: np.clip(i * rng.uniform(0.7, 1.2) + rng.uniform(-20, 20), 0, 255),
+        "noise": lambda i: np.clip(i + rng.normal(0, 4, i.shape), 0, 255),
+    }
+    for name, edit in edits.items():
+        found = 0
+        for _ in range(30):
+            img = media.image_from_vector(rng.normal(size=64).tolist())
+            as_stored = lambda i: media.unpack(media.pack(np.ascontiguousarray(i)))
+            found += votes(media.features(as_stored(img)), media.features(as_stored(edit(img)))) >= media.MIN_VOTES
+        assert found >= 27, (name, found)
 
 
 def test_media_votes_count_around_every_vote(spark):
