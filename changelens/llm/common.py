@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,10 +30,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/changelens/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that go to Python at once while a table is written.
+ARROW_ROWS = 1024
+_ARROW_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python functions that run inside get so many rows at once, or fewer if the session says so."""
+    old = spark.conf.get(_ARROW_KEY)
+    spark.conf.set(_ARROW_KEY, min(rows, int(old)) if int(old) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW_KEY, old)
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: df as a Parquet table in the shared folder, read again."""
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with arrow_rows(spark, ARROW_ROWS):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._changelens_path = path
     return out

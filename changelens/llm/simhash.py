@@ -39,7 +39,6 @@ deduplicate(), whatever their names.
 
 from __future__ import annotations
 
-import contextlib
 from functools import reduce
 
 import numpy as np
@@ -47,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, map_rows, shuffles, spare, written
+from .common import arrow_rows, components, dropped, map_rows, shuffles, spare, written
 
 SEGMENTS, SEGMENT_BITS = 16, 4
 #: Sub-bag fingerprints of a text, and shingles in each.
@@ -190,18 +189,6 @@ def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     return own.select("tkey", "n", (F.col("pos") + 1).alias("pos"), F.col("x.shingle").alias("shingle"))
 
 
-@contextlib.contextmanager
-def _small_batches(spark, rows: int = 512):
-    """Rows that carry two shingle sets go to Python in small batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old)
-
-
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of pairs(tkey, other) those whose shingle sets have at least this Jaccard similarity."""
     schema = pa.schema([("tkey", pa.binary()), ("other", pa.binary())])
@@ -307,7 +294,7 @@ def near_duplicates(
     sets = written(spark, map_rows(texts, to_set, set_pa, "tkey binary, shingles binary"), "simhash-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        with _small_batches(spark):
+        with arrow_rows(spark, 256):  # rows that carry two shingle sets
             good = written(spark, _alike(pairs, sets, similarity), "simhash-good")
         dropped(spark, pairs)
         return good

@@ -49,7 +49,7 @@ ORDER, DISCOUNT, SHARE, MARGIN = 6, 0.75, 0.005, 2.0
 #: N-grams (12 bytes each), and bytes of words, that are broadcast at once.
 BLOCK_GRAMS, BLOCK_BYTES = 4_000_000, 64 << 20
 #: Words that a worker holds before it hands them on.
-HELD_WORDS = 40_000
+HELD_WORDS = 20_000
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 
 _WORD = re.compile(r"\w+")
@@ -69,13 +69,13 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         words = {0: Counter(), 1: Counter()}
 
         def flush():
-            both: dict[str, list[int]] = {}
             for c in (0, 1):
+                own: Counter = Counter()
                 for w, n in words[c].items():
                     for g in _grams(w):
-                        both.setdefault(g, [0, 0])[c] += n
+                        own[g] += n
                 words[c].clear()
-            yield from ((g, t, o) for g, (o, t) in both.items())
+                yield from ((g, n, 0) if c else (g, 0, n) for g, n in own.items())
 
         def rows():
             for b in batches:
