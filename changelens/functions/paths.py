@@ -88,9 +88,9 @@ def module_fqn(path: Column, root_is_package: Column, root_name: Column) -> Colu
 
 
 def symbol_of_nodeid(nodeid: Column) -> Column:
-    return F.when(
-        nodeid.contains("::"), F.replace(F.regexp_replace(nodeid, r"^[^:]*(?::[^:]+)*?::", ""), F.lit("::"), F.lit("."))
-    ).otherwise(nodeid)
+    """What follows the first `::`, dotted; the whole where nothing does."""
+    rest = F.regexp_extract(nodeid, r"(?s)^.*?::(.*)$", 1)
+    return F.coalesce(F.nullif(F.replace(rest, F.lit("::"), F.lit(".")), F.lit("")), nodeid)
 
 
 def path_of_evidence(ref: Column) -> Column:
@@ -147,9 +147,10 @@ def comment_key(comment_id: Column, pr: Column, created: Column, body: Column) -
     return F.coalesce(F.nullif(comment_id, F.lit(0)).cast("string"), own)
 
 
-def content_key(*parts: Column) -> Column:
+def content_key(**parts: Column) -> Column:
     """SHA-256 of the parts as JSON, in the order of their names."""
-    return F.sha2(F.to_json(F.struct(*parts)), 256)
+    named = F.struct(*(parts[name].alias(name) for name in sorted(parts)))
+    return F.sha2(F.to_json(named, {"ignoreNullFields": "false"}).cast("binary"), 256)
 
 
 def time_ordered_id(epoch_ms: Column) -> Column:
@@ -198,8 +199,8 @@ def iso_instant(text: Column) -> Column:
 
 def outcome_v2(exit_code: Column, ok_codes: tuple[int, ...] = ()) -> Column:
     out = F.when(exit_code == 124, "timeout").when(exit_code == 137, "oom").when(exit_code == 125, "install_failed").when(exit_code == 0, "passed")
-    if ok_codes:
-        out = out.when(exit_code.isin(*ok_codes), "failed")
+    if ok_codes:  # a tool that ran and found things has done its work
+        return out.when(exit_code.isin(*ok_codes), "passed").otherwise("failed")
     return out.when(exit_code == 2, "collection_error").otherwise("failed")
 
 

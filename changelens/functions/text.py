@@ -19,6 +19,9 @@ MASKS = (
     (EMAIL, "[REDACTED_EMAIL]"),
 )
 
+# Fixed value: how a line of a checker names its rule.
+TRAILING_CODE = r"\s*\[([a-z][a-z0-9-]*)\]\s*$"
+
 # Words that carry no topic.
 STOP_WORDS = (
     "a an the this that these those is are was were be been being it its of to in on "
@@ -128,9 +131,9 @@ def sample(items: Column, limit: int = 6) -> Column:
 
 
 def trailing_code(line: Column) -> Column:
-    """('message', 'code') of a line that may end in [code]."""
-    code = F.regexp_extract(line, r"\[([^\[\]]+)\]\s*$", 1)
-    return F.struct(F.trim(F.regexp_replace(line, r"\s*\[[^\[\]]+\]\s*$", "")).alias("message"), code.alias("code"))
+    """('message', 'code') of a line that may end in [code]; a code is small letters, digits and dashes."""
+    code = F.regexp_extract(line, TRAILING_CODE, 1)
+    return F.struct(F.trim(F.regexp_replace(line, TRAILING_CODE, "")).alias("message"), code.alias("code"))
 
 
 def semver(version: Column) -> Column:

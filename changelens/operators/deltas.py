@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.functions.paths import is_public, observation_id
+from changelens.functions.paths import is_public, observation_id, symbol_of_nodeid
 from changelens.schemas import SEVERITY
 
 PASSING = ("passed",)
@@ -18,9 +18,9 @@ def behaviour_delta(base: DataFrame, head: DataFrame, run_id: str | None = None)
     kind = F.when(F.col("now").isNull(), "test_removed").when(F.col("now").isin(*BROKEN), "behavior_change")
     own = both.withColumn("kind", kind).where("kind is not null")
     return own.select(
-        observation_id(F.col("kind"), F.col("nodeid"), F.col("nodeid"), None if run_id is None else F.lit(run_id)).alias("id"),
+        observation_id(F.col("kind"), symbol_of_nodeid(F.col("nodeid")), F.col("nodeid"), None if run_id is None else F.lit(run_id)).alias("id"),
         "kind",
-        F.col("nodeid").alias("symbol"),
+        symbol_of_nodeid(F.col("nodeid")).alias("symbol"),
         F.when(F.col("kind") == "test_removed", "passed before and is gone").otherwise("passed before and fails now").alias("what_changed"),
         F.col("nodeid").alias("evidence_ref"),
         F.when(F.col("kind") == "test_removed", SEVERITY["test_removed"]).otherwise(SEVERITY["behavior_change"]).alias("severity"),
@@ -58,17 +58,19 @@ LINT = ["path", "code", "message"]
 
 def lint_delta(base: DataFrame, head: DataFrame, cap: int | None = 25) -> DataFrame:
     """Findings of head that base has not, whatever their lines; repeated ones stay.
-    With a cap the rest of a tool is summed up in one row."""
-    new = head.join(base.select(*LINT).distinct(), LINT, "left_anti")
+    With a cap the rest of each tool (column `tool`, if there is one) is summed up in one row."""
+    keys = [c for c in ("tool",) if c in head.columns]
+    new = head.join(base.select(*keys, *LINT).distinct(), [*keys, *LINT], "left_anti")
     if cap is None:
         return new
     from pyspark.sql.window import Window
 
-    w = Window.orderBy(*LINT)
-    ranked = new.select(*LINT).withColumn("_n", F.row_number().over(w))
-    more = ranked.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
-    tail = more.select(F.lit("").alias("path"), F.lit("more").alias("code"), F.format_string("%d more findings", F.col("n") - cap).alias("message"))
-    return new.select(*LINT).orderBy(*LINT).limit(cap).union(tail)
+    new = new.select(*keys, *LINT)
+    first = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*LINT)
+    kept = new.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= cap).drop("_n")
+    more = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
+    note = F.format_string("%d more findings", F.col("n") - cap).alias("message")
+    return kept.union(more.select(*keys, F.lit("").alias("path"), F.lit("more").alias("code"), note))
 
 
 def lint_set_delta(base: DataFrame, head: DataFrame) -> DataFrame:

@@ -102,8 +102,8 @@ def retention_rate(spark, d):
 _SIDES = """
 with b as (select user_id, max(value) as v from events where ts < timestamp '2024-01-16' group by 1),
 h as (select user_id, max(value) as v from events where ts >= timestamp '2024-01-16' and user_id % 7 <> 0 group by 1),
-base as (select cast(user_id as varchar) as nodeid, case when v >= 50 then 'passed' else 'failed' end as status from b),
-head as (select cast(user_id as varchar) as nodeid, case when v >= 180 then 'passed' else 'failed' end as status from h)
+base as (select 't/u.py::User::' || user_id as nodeid, case when v >= 50 then 'passed' else 'failed' end as status from b),
+head as (select 't/u.py::User::' || user_id as nodeid, case when v >= 180 then 'passed' else 'failed' end as status from h)
 """
 
 
@@ -111,15 +111,16 @@ def _sides(spark, d):
     e = read(spark, d, "events")
     status = lambda least: F.when(F.max("value") >= least, "passed").otherwise("failed").alias("status")
     middle = F.lit("2024-01-16").cast("timestamp_ntz")
-    base = e.where(F.col("ts") < middle).groupBy(F.col("user_id").cast("string").alias("nodeid")).agg(status(50))
-    head = e.where((F.col("ts") >= middle) & (F.col("user_id") % 7 != 0)).groupBy(F.col("user_id").cast("string").alias("nodeid")).agg(status(180))
+    nodeid = F.concat(F.lit("t/u.py::User::"), F.col("user_id").cast("string")).alias("nodeid")
+    base = e.where(F.col("ts") < middle).groupBy(nodeid).agg(status(50))
+    head = e.where((F.col("ts") >= middle) & (F.col("user_id") % 7 != 0)).groupBy(nodeid).agg(status(180))
     return base, head
 
 
 @query(_SIDES + """
-select nodeid as symbol, case when h.status is null then 'test_removed' else 'behavior_change' end as kind,
+select 'User.' || substr(nodeid, 15) as symbol, case when h.status is null then 'test_removed' else 'behavior_change' end as kind,
   cast(case when h.status is null then 0.7 else 1.0 end as double) as severity, cast(case when h.status is null then 0.75 else 0.9 end as double) as confidence,
-  substr(sha256(concat(case when h.status is null then 'test_removed' else 'behavior_change' end, chr(0), nodeid, chr(0), nodeid)), 1, 16) as id
+  substr(sha256(concat(case when h.status is null then 'test_removed' else 'behavior_change' end, chr(0), 'User.' || substr(nodeid, 15), chr(0), nodeid)), 1, 16) as id
 from base b left join head h using (nodeid) where b.status = 'passed' and (h.status is null or h.status = 'failed')
 """)
 def differential(spark, d):
@@ -128,19 +129,19 @@ def differential(spark, d):
 
 _PERIODS = """
 with s as (select distinct p_type, o_orderdate < timestamp '1995-01-01' as early, p_brand
-  from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey where l_quantity > 48),
-b as (select p_type || '.' || p_brand as fqn, 'x' as k from s where early and p_brand <> 'Brand#11'),
-h as (select p_type || '.' || p_brand as fqn, 'x' as k from s where not early and p_brand <> 'Brand#12')
+  from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey ),
+b as (select p_type || '.' || p_brand as fqn, 'x' as k from s where early),
+h as (select p_type || '.' || p_brand as fqn, 'x' as k from s where not early)
 """
 
 
 def _periods(spark, d):
-    li = read(spark, d, "lineitem").where("l_quantity > 48").select("l_orderkey", "l_partkey")
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     o = read(spark, d, "orders").select("o_orderkey", (F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz")).alias("early"))
     p = read(spark, d, "part").select("p_partkey", "p_type", "p_brand")
     s = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).select("p_type", "early", "p_brand").distinct()
     fqn = F.concat_ws(".", "p_type", "p_brand").alias("fqn")
-    return s.where("early and p_brand <> 'Brand#11'").select(fqn, F.lit("x").alias("kind")), s.where("not early and p_brand <> 'Brand#12'").select(fqn, F.lit("x").alias("kind"))
+    return s.where("early").select(fqn, F.lit("x").alias("kind")), s.where("not early").select(fqn, F.lit("x").alias("kind"))
 
 
 @query(_PERIODS + """
@@ -296,10 +297,10 @@ def reach_2_hops(spark, d):
     return graph.reach(_reach_edges(spark, d), spark.createDataFrame([("r1",)], "node STRING"), 2)
 
 
-@query("select event_id as seq, user_id, event_type from events where event_id > 500 and event_type = 'click' order by event_id limit 1000")
+@query("select event_id as seq, user_id, event_type from events where event_id > 500 and event_type = 'click' order by event_id limit 20000")
 def replay_since(spark, d):
     e = read(spark, d, "events").select(F.col("event_id").alias("seq"), "user_id", "event_type")
-    return tables.events_since(e.withColumn("repo", F.col("event_type")), 500, repo="click", limit=1000).drop("repo")
+    return tables.events_since(e.withColumn("repo", F.col("event_type")), 500, repo="click").drop("repo")
 
 
 @query("""
@@ -372,12 +373,12 @@ def clean_comments(spark, d):
 
 
 @query("""
-with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_]+')) as term from documents where lang = 'en'),
+with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_]+')) as term from documents),
 tf as (select doc_id, term, count(*) as tf from t group by 1, 2), df as (select term, count(*) as df from tf group by 1)
-select doc_id, term, round((1 + ln(tf)) * (ln((1 + (select count(*) from documents where lang = 'en')) / (1 + df)) + 1), 6) as weight from tf join df using (term)
+select doc_id, term, round((1 + ln(tf)) * (ln((1 + (select count(*) from documents)) / (1 + df)) + 1), 6) as weight from tf join df using (term)
 """)
 def tfidf(spark, d):
-    own = read(spark, d, "documents").where("lang = 'en'")
+    own = read(spark, d, "documents")
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z][a-z0-9_]+)"), 1)
     return mining.tfidf(own, terms_col=words).withColumn("weight", F.round("weight", 6))
 
@@ -388,12 +389,12 @@ _UNIT = "sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double
 @query(f"""
 with v as (select vec_id, label, embedding, {_UNIT} as n from embeddings),
 p as (select q.vec_id as query_id, v.vec_id as id, round(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: q.embedding[i]::double * v.embedding[i]::double)) / ((q.n + 1e-12) * (v.n + 1e-12)), 6) as similarity
-  from v join v q on q.vec_id < 20)
+  from v join v q on q.vec_id % 50 = 0)
 select query_id, id, similarity from (select *, row_number() over (partition by query_id order by similarity desc, id) as r from p) where r <= 3
 """)
 def cosine_topk(spark, d):
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    q = e.where("id < 20").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    q = e.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
     return mining.nearest(q, e, 3).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -554,14 +555,14 @@ def observation_ids(spark, d):
 
 
 @query("""
-with n as (select o_custkey as key, o_orderkey as seq, o_totalprice as price, o_orderstatus as status from orders where o_orderkey % 5 = 0)
+with n as (select o_custkey as key, o_orderkey as seq, o_totalprice as price, o_orderstatus as status from orders)
 select c_custkey as key, coalesce(x.price, c_acctbal) as price, c_mktsegment as status from customer left join (
   select key, arg_max(price, seq) as price from n group by 1) x on x.key = c_custkey
 union all select key, arg_max(price, seq), arg_max(status, seq) from n where key not in (select c_custkey from customer) group by 1
 """)
 def partial_upsert(spark, d):
     old = read(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("price"), F.col("c_mktsegment").alias("status"))
-    new = read(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    new = read(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
     return sinks.upsert(old, new, ["key"], "seq", update=("price",))
 
 
@@ -630,12 +631,12 @@ def count_by_kind(spark, d):
     return rollups.count_by(read(spark, d, "part").select(F.col("p_brand").alias("repo"), F.col("p_type").alias("kind")), "repo", "kind")
 
 
-@query("""
-select r_name as name, count(*) as rows from region group by 1 having false union all
-select 'customer', count(*) from customer union all select 'orders', count(*) from orders union all select 'part', count(*) from part
-""")
+ALL_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query(" union all ".join(f"select '{t}' as name, count(*) as rows from {t}" for t in ALL_TABLES))
 def table_counts(spark, d):
-    return sinks.counts({t: read(spark, d, t) for t in ("customer", "orders", "part")})
+    return sinks.counts({t: read(spark, d, t) for t in ALL_TABLES})
 
 
 @query("""
@@ -646,3 +647,6 @@ def callers_one_hop(spark, d):
     c = read(spark, d, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("s_nationkey")).distinct()
     edges = s.join(c, "s_nationkey").select("repo", F.col("fqn").alias("caller"), F.lit("x").alias("callee"))
     return lookups.callers_of(edges, s.select("repo", "fqn"), "r", "x", 50).select(F.col("fqn").alias("id"))
+
+
+from changelens.plans import further  # noqa: E402, F401  (registers its queries)
