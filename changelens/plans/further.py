@@ -287,7 +287,7 @@ def ids_and_outcomes(spark, d):
     return read(spark, d, "events").select(
         "event_id",
         paths.notification_id(F.col("user_id").cast("string"), F.col("event_type"), F.col("event_id").cast("string")).alias("notification"),
-        paths.day_start(F.col("ts")).alias("day"),
+        paths.day_start(F.col("ts")).cast("timestamp_ntz").alias("day"),
         paths.outcome_v2(code).alias("v2"),
         paths.outcome_v2(code, (1,)).alias("v2_tool"),
         paths.outcome_v1(code).alias("v1"),
@@ -413,7 +413,8 @@ def spent(spark, d):
 
 
 @query("""
-select count(*) as calls, sum(l_orderkey) as input_tokens, sum(l_partkey) as output_tokens, sum(l_suppkey) as cache_read_tokens, cast(sum(l_linenumber) as hugeint) as cache_write_tokens,
+select count(*) as calls, cast(sum(l_orderkey) as bigint) as input_tokens, cast(sum(l_partkey) as bigint) as output_tokens,
+  cast(sum(l_suppkey) as bigint) as cache_read_tokens, cast(sum(l_linenumber) as bigint) as cache_write_tokens,
   round(sum(l_tax), 2) as usd from lineitem
 """)
 def spend_summary(spark, d):

@@ -96,9 +96,29 @@ def test_states(spark):
     assert not legal("rendering", "probing") and not legal("done", "failed") and not legal("queued", "nonsense")
     assert one(spark, "done", paths.progress) == 1.0
     assert one(spark, "queued", paths.progress) == 0.0
-    assert [spark.range(1).select(paths.outcome_v2(F.lit(c), (1,))).first()[0] for c in (0, 1, 2, 124, 125, 137, 9)] == [
-        "passed", "failed", "collection_error", "timeout", "install_failed", "oom", "failed",
-    ]
+    # a tool with codes of its own: those are its work done, all others a failure
+    for ok, want in (((1,), ["passed", "failed"]), ((), ["failed", "collection_error"])):
+        assert [spark.range(1).select(paths.outcome_v2(F.lit(c), ok)).first()[0] for c in (0, 1, 2, 124, 125, 137, 9)] == [
+            "passed", *want, "timeout", "install_failed", "oom", "failed",
+        ]
+
+
+def test_constraints_and_content_keys(spark):
+    want = {
+        "^1.2.3": ">=1.2.3,<2", "^0.2.3": ">=0.2.3,<0.3", "~1.2": ">=1.2,<1.3", "~1": ">=1,<2", "^0.0": ">=0.0,<0.1", "=1.2": "==1.2",
+        "1.2": "==1.2", "*": "", "": "", "^1 || ^2": "", "^1.2.3b1": ">=1.2.3b1,<2", ">=1, <3": ">=1,<3", "~=1.4": "~=1.4", "1.2.*": "==1.2.*",
+    }
+    assert {k: parse.constraint_specifier(k) for k in want} == want
+    own = spark.range(1)
+    keys = [own.select(paths.content_key(**x)).first()[0] for x in ({"a": F.lit(1), "b": F.lit(2)}, {"b": F.lit(2), "a": F.lit(1)}, {"a": F.lit(2), "b": F.lit(1)})]
+    assert keys[0] == keys[1] != keys[2]
+
+
+def test_split_tests_carry_imports_alone(spark):
+    source = "import os\nX = 1\n\n@mark\ndef test_a():  # why\n    pass\n\ndef testing():\n    pass\n\nfrom b import c\nasync def test_b(): ...\n"
+    rows = parse.split_tests(spark.createDataFrame([("m", source), ("bad", "def ("), ("none", None)], "id STRING, source STRING")).collect()
+    head = "import os\nfrom b import c\n\n\n"
+    assert {(r.name, r.source) for r in rows} == {("test_a", head + "@mark\ndef test_a():  # why\n    pass\n"), ("test_b", head + "async def test_b(): ...\n")}
 
 
 def test_parsers(spark):
@@ -106,10 +126,10 @@ def test_parsers(spark):
         (1, "pytest", 'noise {"x": 1} {"tests": [{"nodeid": "t.py::a", "outcome": "passed"}]} tail'),
         (2, "go", '{"Action":"run","Package":"p","Test":"TestA"}\n{"Action":"pass","Package":"p","Test":"TestA"}\n{"Action":"fail","Package":"p","Test":"TestB"}\nnot json'),
         (3, "nope", "x"),
-        (4, "jest", '{"testResults":[{"name":"s.js","assertionResults":[{"fullName":"a b","status":"pending"}]}]}'),
+        (4, "jest", '{"testResults":[{"name":"s.js","assertionResults":[{"ancestorTitles":["A","B"],"title":"t","status":"pending"},{"title":"u","status":"odd"}]}]}'),
     ]
     got = {tuple(r) for r in parse.parsed(spark.createDataFrame(raw, "id INT, parser STRING, raw STRING"), "test").collect()}
-    assert got == {(1, "t.py::a", "passed"), (2, "p::TestA", "passed"), (2, "p::TestB", "failed"), (4, "s.js::a b", "skipped")}
+    assert got == {(1, "t.py::a", "passed"), (2, "p::TestA", "passed"), (2, "p::TestB", "failed"), (4, "s.js::A > B > t", "skipped"), (4, "s.js::u", "error")}
     lint = [
         (1, "ruff", '[{"filename":"a.py","code":"F401","message":"unused"}]'),
         (2, "mypy", "a.py:3: error: bad  [attr-defined]\nnote"),
@@ -121,7 +141,7 @@ def test_parsers(spark):
     assert got == {(1, "a.py", "F401", "unused"), (2, "a.py", "attr-defined", "bad"), (3, "a.py", "", "bad"), (4, "x.go", "vet", "oops"), (5, "a.ts", "TS2304", "Cannot find")}
     cov = [(1, "coverage", '{"files":{"a.py":{"executed_lines":[1,2]}}}')]
     assert parse.parsed(spark.createDataFrame(cov, "id INT, parser STRING, raw STRING"), "coverage").count() == 2
-    assert [parse.constraint_specifier(x) for x in ("^1.2.3", "~1.2", "^0.3", "1.*", ">=2,<3")] == [">=1.2.3,<2", ">=1.2,<1.3", ">=0.3,<0.4", ">=1,<2", ">=2,<3"]
+    assert [parse.constraint_specifier(x) for x in ("^1.2.3", "~1.2", "^0.3", "1.*", ">=2,<3")] == [">=1.2.3,<2", ">=1.2,<1.3", ">=0.3,<0.4", "==1.*", ">=2,<3"]
     assert one(spark, 'text ```json\n{"b": 2, "a": 1}\n``` more', parse.first_json) == '{"a":1,"b":2}'
 
 
