@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from changelens.functions.paths import code_reference, within_module
+from changelens.functions.paths import code_reference
 from changelens.functions.text import contains_quote
 
 
@@ -124,16 +124,14 @@ def related_norms(files: DataFrame, norms: DataFrame, limit: int = 3) -> DataFra
 
 def module_for(symbols: DataFrame, modules: DataFrame) -> DataFrame:
     """(symbol, module, doc): the longest documented module that holds the name; of
-    equals the first. A self-description has a few dozen modules."""
-    hit = within_module(F.col("symbol"), F.col("module"))
-    both = symbols.join(F.broadcast(modules), hit) if _few(modules) else symbols.join(modules, hit)
+    equals the first. A name meets modules by its own dotted parts, so this is a join on equality."""
+    parts = F.split("symbol", r"\.")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_p")), lambda i: F.transform(F.sequence(F.lit(1), F.size("_p") - i + 1), lambda n: F.array_join(F.slice("_p", i, n), "."))))
+    own = symbols.select("symbol").where("symbol <> ''").distinct().withColumn("_p", parts)
+    both = own.select("symbol", F.explode(F.array_distinct(runs)).alias("module")).join(modules, "module")
     return both.groupBy("symbol").agg(F.max_by(F.struct("module", "doc"), F.struct(F.length("module"), -F.col("pos"))).alias("m")).select("symbol", "m.*")
 
 
-def _few(df: DataFrame, most: int = 10_000) -> bool:
-    return df.limit(most + 1).count() <= most
-
-
 def callers_per_packet(callers: DataFrame, each: int = 5, most: int = 8) -> DataFrame:
     """(packet, caller, pos): callers(packet, observation_pos, pos, caller), at most five of
     each observation, distinct in order, eight a packet."""
