@@ -112,3 +112,8 @@ def deduped_in_order(df: DataFrame, keys: list[str], position: str) -> DataFrame
 def gated(observations: DataFrame, norms: DataFrame) -> DataFrame:
     """Only observations whose declared norm exists."""
     return observations.join(norms.select(F.col("id").alias("norm_id")).distinct(), "norm_id", "left_semi")
+
+
+def all_ids(base: DataFrame, head: DataFrame, key: str) -> DataFrame:
+    """Each key of either side once."""
+    return base.select(key).union(head.select(key)).distinct()

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from changelens.functions import paths, text
-from changelens.operators import deltas, findings, lookups, ranking, rollups, sequences
+from changelens.operators import deltas, findings, lookups, ranking, reports, rollups, sequences
 from changelens.plans.bindings import query, read
-from changelens.sources import sinks, tables
+from changelens.sources import files, sinks, tables
+from changelens.streaming import events
 
 _RUNS = """runs as (select o_orderkey as id, o_orderpriority as repo, o_custkey as pr_number, o_orderdate as created_at, o_totalprice as usd,
   case o_orderstatus when 'F' then 'done' when 'O' then 'queued' else 'base_run' end as state from orders)"""
@@ -716,3 +717,54 @@ def timeline(spark, d):
 def last_event(spark, d):
     own = read(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("type"), F.col("props").alias("payload"), F.col("event_id").alias("seq"))
     return findings.last_event(own, 7, "click")
+
+
+# ---- reports and sources ------------------------------------------------------
+
+
+@query("""
+with p as (select p_partkey, p_brand || '.' || split_part(p_type, ' ', 1) || '.' || p_partkey as symbol from part),
+m as (select distinct p_brand as module from part union select distinct p_brand || '.' || split_part(p_type, ' ', 1) from part where p_size > 25)
+select symbol, arg_max(module, length(module)) as module from p join m on '.' || symbol || '.' like '%.' || module || '.%' group by symbol
+""")
+def documented_module(spark, d):
+    p = read(spark, d, "part")
+    kind = F.concat_ws(".", "p_brand", F.split_part("p_type", F.lit(" "), F.lit(1)))
+    modules = p.select(F.col("p_brand").alias("module")).union(p.where("p_size > 25").select(kind)).distinct()
+    modules = modules.select(F.lit(0).alias("pos"), "module", F.lit("").alias("doc"))
+    return lookups.module_for(p.select(F.concat_ws(".", kind, F.col("p_partkey").cast("string")).alias("symbol")), modules).select("symbol", "module")
+
+
+@query("select l_orderkey as id, l_partkey * 10 + l_linenumber as path, row_number() over (partition by l_orderkey order by l_quantity desc, l_partkey * 10 + l_linenumber) as rank from lineitem")
+def most_inserted(spark, d):
+    own = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("path"), F.col("l_quantity").alias("additions"))
+    return files.most_inserted(own).select("id", "path", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""
+select event_id as id, event_type as model, case when event_id % 4 = 0 then 0 else round(case event_type when 'click' then value * 3 when 'purchase' then value * 15 else 0 end, 6) end as usd from events
+""")
+def spend_rows(spark, d):
+    calls = read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("model"), (F.col("value") * 1_000_000).alias("input_tokens"), *(F.lit(0).alias(f"{c}_tokens") for c in ("output", "cache_read", "cache_write")), (F.col("event_id") % 4 == 0).alias("cached"))
+    prices = spark.createDataFrame([("click", 3.0, 0.0), ("purchase", 15.0, 0.0)], "model STRING, price_in DOUBLE, price_out DOUBLE")
+    return reports.spend_rows(calls, prices).select("id", "model", "usd")
+
+
+@query("select user_id as subscriber, greatest(count(*) - 40, 0) as dropped from events group by 1")
+def offers_dropped(spark, d):
+    return events.offered(read(spark, d, "events").select(F.col("user_id").alias("subscriber"), F.col("event_id").alias("seq")), 40)[1]
+
+
+@query("select p_brand as run_id, count(*) as findings, count(*) filter (p_size > 10) as cited, arg_min(p_name, p_partkey) as first from part group by 1")
+def findings_documents(spark, d):
+    p = read(spark, d, "part")
+    own = p.select(F.col("p_brand").alias("run_id"), F.col("p_partkey").alias("pos"), F.lit("behavior_change").alias("kind"), F.col("p_name").alias("symbol"), F.lit("w").alias("what_changed"), F.lit("h").alias("how_we_know"), F.when(F.col("p_size") > 10, F.struct(F.col("p_size").alias("id"))).alias("norm"), F.col("p_retailprice").alias("confidence"), F.lit(1.0).alias("severity"), F.lit("c4").alias("node"))
+    runs = own.select("run_id", F.lit("").alias("profile"), F.lit("").alias("generated_at")).distinct()
+    doc = reports.findings_document(own, runs)
+    at = lambda path: F.get_json_object("document", path)
+    return doc.select("run_id", at("$.counts.findings").cast("long").alias("findings"), at("$.counts.cited").cast("long").alias("cited"), at("$.findings[0].symbol").alias("first"))
+
+
+@query("select o_custkey as id from orders union select c_custkey from customer")
+def all_ids(spark, d):
+    return deltas.all_ids(read(spark, d, "orders").select(F.col("o_custkey").alias("id")), read(spark, d, "customer").select(F.col("c_custkey").alias("id")), "id")

@@ -74,3 +74,9 @@ def numstat(lines: DataFrame) -> DataFrame:
 
 def diff_totals(stats: DataFrame) -> DataFrame:
     return stats.groupBy("id").agg(F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.count(F.lit(1)).alias("changed_files"))
+
+
+def most_inserted(stats: DataFrame) -> DataFrame:
+    """numstat() rows with `rank`: files of a diff by their insertions, of equals by path."""
+    w = Window.partitionBy("id").orderBy(F.desc("additions"), "path")
+    return stats.withColumn("rank", F.row_number().over(w))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 from pyspark.sql.window import Window
 
 
@@ -115,8 +116,29 @@ def migrated(df: DataFrame, added: dict[str, Column]) -> DataFrame:
     return df.withColumns({c: v for c, v in added.items() if c not in df.columns})
 
 
-def json_column(struct: Column) -> Column:
-    return F.to_json(struct)
+def canonical_json(df: DataFrame, column: str, sets: tuple[str, ...] = ()) -> Column:
+    """JSON of a column of df with keys in order at every depth, nulls kept, and the arrays
+    named in sets sorted: equal values give equal texts."""
+
+    def ordered(c: Column, kind: DataType, name: str) -> Column:
+        match kind:
+            case StructType():
+                fields = [ordered(c[f.name], f.dataType, f.name).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+                return F.when(c.isNotNull(), F.struct(*fields))
+            case ArrayType():
+                own = F.transform(c, lambda x: ordered(x, kind.elementType, name))
+                return F.sort_array(own) if name in sets else own
+            case MapType():
+                return F.map_from_entries(F.sort_array(F.transform(F.map_entries(c), lambda e: F.struct(e["key"], ordered(e["value"], kind.valueType, name)))))
+            case _:
+                return c
+
+    return F.to_json(ordered(F.col(column), df.schema[column].dataType, column), {"ignoreNullFields": "false"})
+
+
+def append_json_lines(rows: DataFrame, path: str) -> None:
+    """Appends rows to a folder of JSON lines, with the time they are written at as `ts`."""
+    rows.withColumn("ts", F.unix_micros(F.current_timestamp()) / 1e6).write.mode("append").json(path)
 
 
 def tolerant_json(text: Column, ddl: str, fallback: Column) -> Column:

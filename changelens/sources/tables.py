@@ -121,3 +121,11 @@ REVIEW_CORPUS = (
 def review_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Pulls with comments and commits from a JSON array; nothing from a broken file."""
     return spark.read.schema(REVIEW_CORPUS).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+
+
+def landed(responses: DataFrame) -> DataFrame:
+    """(url, etag, body) as last fetched, from responses(url, fetched_at, status, etag, body)
+    that a collector landed: an answer of 304 means the body before still holds, and other
+    answers than 200 say nothing."""
+    good = responses.where("status = 200").groupBy("url").agg(F.max_by(F.struct("etag", "body"), "fetched_at").alias("r"))
+    return good.select("url", "r.etag", "r.body")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from changelens.schemas import DDL, RUN_STATES, TERMINAL_STATES
 
@@ -144,6 +145,43 @@ def fair_queue(arrivals: DataFrame, max_depth: int) -> DataFrame:
     return arrivals.groupBy("lane").applyInPandasWithState(step, out, "waiting ARRAY<STRING>", "append", GroupStateTimeout.NoTimeout)
 
 
+def fair_dispatch(events: DataFrame) -> DataFrame:
+    """events(lane, arrival, repo, run_id, kind), kind being queue or next: for each next the
+    run that is dispatched, one repository's turn after another, first come first served within
+    a repository; null while nothing waits. A lane is one state."""
+    out = "lane STRING, arrival LONG, repo STRING, run_id STRING"
+
+    def step(key, frames, state: GroupState):
+        # repositories by turn, and the runs of each by arrival
+        turns = {repo: list(runs) for repo, runs in state.get[0]} if state.exists else {}
+        found = []
+        for r in pd.concat(list(frames)).sort_values("arrival").itertuples(index=False):
+            if r.kind == "queue":
+                turns.setdefault(r.repo, []).append(r.run_id)
+            elif turns:
+                repo = next(iter(turns))
+                run, *rest = turns.pop(repo)
+                if rest:
+                    turns[repo] = rest
+                found.append((key[0], r.arrival, repo, run))
+            else:
+                found.append((key[0], r.arrival, None, None))
+        state.update((list(turns.items()),))
+        yield pd.DataFrame(found, columns=["lane", "arrival", "repo", "run_id"])
+
+    waiting = "waiting ARRAY<STRUCT<repo: STRING, runs: ARRAY<STRING>>>"
+    return events.groupBy("lane").applyInPandasWithState(step, out, waiting, "append", GroupStateTimeout.NoTimeout)
+
+
+def offered(batch: DataFrame, buffer: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(taken, dropped) of a batch(subscriber, seq): the first events each subscriber's
+    buffer holds, and (subscriber, dropped) counts of those it has no room for."""
+    w = Window.partitionBy("subscriber").orderBy("seq")
+    own = batch.withColumn("_n", F.row_number().over(w))
+    over = own.groupBy("subscriber").agg(F.count_if(F.col("_n") > buffer).alias("dropped"))
+    return own.where(F.col("_n") <= buffer).drop("_n"), over
+
+
 def raised(signals: DataFrame) -> DataFrame:
     """Notable and major signals once for each (repo, kind, sha)."""
     from changelens.functions.paths import notification_id
