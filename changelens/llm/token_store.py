@@ -8,8 +8,8 @@ A store is a folder with three tables:
               doc_ids, offsets, counts
   parts       ids in each part and before it
 Parts follow each other by doc_id, and so do documents in them. A frame holds one
-document's ids as little-endian unsigned integers of `width` bytes, and opens with
-nothing but its offset and the dictionary. Tables are committed as wholes by
+document's ids as little-endian unsigned integers of `width` bytes (two where the
+vocabulary fits, else four), and opens with nothing but its offset and the dictionary. Tables are committed as wholes by
 Spark, so a lost executor repeats its part and leaves nothing half written.
 
 Cases: a null or empty text has only the end id. A null doc_id sorts first. Very
@@ -38,7 +38,8 @@ from .common import map_rows, shuffles
 #: The dictionary is trained on this many documents at most, none longer than SAMPLE_BYTES.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1024, 1 << 16, 112 << 10
 BLOB_BYTES = 1 << 20
-REMEMBERED = 1_500_000
+#: Units a worker remembers, none longer than LONGEST. Bounds memory, not results.
+REMEMBERED, LONGEST = 1_500_000, 64
 
 #: Texts of these characters alone: normalisation leaves them as they are but for
 #: lower case, which maps one to one, and the tokenizer cuts them as _UNIT does.
@@ -109,6 +110,9 @@ class WordEncoder:
                 self.fill_letters(letters)
             self.fill(memo, [u for u in new if u not in memo])
             found = [memo[u] for u in units]
+            for u in new:
+                if len(u) > LONGEST:
+                    del memo[u]
         return b"".join(found)
 
 
@@ -117,12 +121,30 @@ def encoder(path: str, width: int) -> WordEncoder:
     return WordEncoder(path, width)
 
 
+def id_bytes(tokenizer_path: str, end_id: int) -> int:
+    """Bytes that hold each id: two or four."""
+    from tokenizers import Tokenizer
+
+    largest = max([*Tokenizer.from_file(tokenizer_path).get_vocab().values(), end_id])
+    return 2 if largest < 1 << 16 else 4
+
+
+def sampled(docs: DataFrame) -> DataFrame:
+    """The texts whose rows have the smallest hashes, SAMPLE_DOCS at most and none over
+    SAMPLE_BYTES. Rows are counted first (Parquet's own counts), and a threshold on the
+    hash lets about twice as many through as are wanted, so no task sorts more than that."""
+    place, n = F.xxhash64("doc_id", "text"), docs.count()
+    own = docs.where(F.octet_length("text") <= SAMPLE_BYTES)
+    if n > 2 * SAMPLE_DOCS:
+        own = own.where(place < F.lit(-(2**63) + int(2**64 * (2 * SAMPLE_DOCS / n))))
+    return own.select("text", place.alias("place")).orderBy("place", "text").limit(SAMPLE_DOCS).select("text")
+
+
 def _dictionary(docs: DataFrame, tokenizer_path: str, width: int) -> bytes:
     import zstandard
 
     enc = encoder(tokenizer_path, width)
-    pick = docs.where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE_DOCS)
-    samples = [enc.ids(r[0]) for r in pick.select("text").toLocalIterator()]
+    samples = [enc.ids(r[0]) for r in sampled(docs).toLocalIterator()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -134,12 +156,13 @@ def write_store(
     path: str,
     tokenizer_path: str,
     end_id: int = 1,
-    width: int = 2,
+    width: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> None:
     """Encodes every text, appends end_id and writes the store under path."""
     spark = docs.sparkSession
+    width = width or id_bytes(tokenizer_path, end_id)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     trained = _dictionary(src, tokenizer_path, width)
     sha = hashlib.sha256(trained).hexdigest()
