@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 SPACE = "▁"
-#: Chunks a worker remembers, the first ones it meets. Bounds memory, not results.
-REMEMBERED = 400_000
+#: Chunks a worker remembers, the first ones it meets, none longer than LONGEST.
+#: Bounds memory, not results.
+REMEMBERED, LONGEST = 400_000, 64
 
 
 class PieceBpe:
@@ -96,6 +97,8 @@ class PieceBpe:
         out = self.compatible_memo.get((a, b))
         if out is None:
             x, y = self.text_of[a], self.text_of[b]
+            if len(self.compatible_memo) >= REMEMBERED:
+                self.compatible_memo.clear()
             out = self.compatible_memo[(a, b)] = (x[-1], y[0]) not in self.crossing or self.merged(x + y) == [x, y]
         return out
 
@@ -149,7 +152,7 @@ class PieceBpe:
                 ids += self.backtracked(run)
             text = self.decode_pieces(ids)
             got = (np.array(ids, "<u4").tobytes(), s if text == s else text)  # no second copy
-            if len(self.core_memo) < REMEMBERED:
+            if len(self.core_memo) < REMEMBERED and len(s) <= LONGEST:
                 self.core_memo[s] = got
         return got
 
@@ -168,7 +171,7 @@ class PieceBpe:
             found = [self.core(p) for p in parts]
             text = "".join(f[1] for f in found)
             got = (b"".join(f[0] for f in found), word if text == word else text)
-            if len(self.memo) < REMEMBERED:
+            if len(self.memo) < REMEMBERED and len(word) <= LONGEST:
                 self.memo[word] = got
         return got
 
