@@ -5,8 +5,9 @@ key (here: equal texts) are drawn together: every linked document begins in a
 shard dealt by rank, and in each round those of a link group that are not where
 most of their group is move there, as far as the shard's quota leaves room; a full
 shard is passed over for the one with the next most. Each move cuts fewer edges
-than before, and no shard ever exceeds its quota. Documents without links then
-fill what is left.
+than before, and no shard ever exceeds its quota. Rounds end when none moves, or
+after MOST_ROUNDS of them: the law holds either way, edges may then be cut that a
+further round would join. Documents without links then fill what is left.
 
 Who is let in, and a document's slot, come from ranks without a global sort: rows
 are counted in CHUNKS hash chunks a shard, the counts are summed up over the
