@@ -530,6 +530,28 @@ def test_token_store_round_trip(spark, tmp_path, rows):
         assert [r.doc_id for r in one] == [3] and np.frombuffer(bytes(one[0].ids), "<u4")[-1] == 1
 
 
+def test_store_samples_widths_and_memory(spark, tmp_path, monkeypatch):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs = docs.union(spark.createDataFrame([(-1, "long " * 20_000), (None, None)], DDL))
+    got = [r.text for r in token_store.sampled(docs).collect()]
+    assert len(got) == token_store.SAMPLE_DOCS == len(set(got)) and all(len(t) < 20 for t in got)
+    assert token_store.sampled(docs.limit(0)).count() == 0
+    assert token_store.id_bytes(WORDS, 1) == 2 and token_store.id_bytes(WORDS, 1 << 16) == 4
+    path = f"file://{tmp_path}/wide"
+    token_store.write_store(frame(spark), path, WORDS, end_id=1 << 16)
+    one = token_store.read_store(spark, path, only=[3]).collect()
+    assert np.frombuffer(bytes(one[0].ids), "<u4")[-1] == 1 << 16
+    # what is not remembered is encoded each time alike
+    text = "ab" * 100 + " " + "日" * 100 + " word"
+    e, p = token_store.WordEncoder(WORDS, 2), piece_bpe.PieceBpe(PIECES)
+    first = e.ids(text), p.encode(text).tolist()
+    assert (e.ids(text), p.encode(text).tolist()) == first
+    assert max(map(len, [*e.memo, *e.rare, *p.memo, *p.core_memo])) <= token_store.LONGEST
+    monkeypatch.setattr(piece_bpe, "REMEMBERED", 1)
+    few = piece_bpe.PieceBpe(PIECES)
+    assert few.encode(text).tolist() == first[1] and len(few.compatible_memo) <= 1 and len(few.memo) <= 1
+
+
 # ---- 9 ----------------------------------------------------------------------
 
 
