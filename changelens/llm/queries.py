@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, media, piece_bpe, quotes, sharding, simhash, suffix_dedup, token_store, toxicity
+from . import decontaminate, fill_middle, hard_negatives, html_text, media, piece_bpe, quotes, sharding, simhash, suffix_dedup, token_store, toxicity
 from .common import new_path, read
 
 QUERIES = {}
@@ -92,3 +92,48 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_media"] = op9_media
+
+
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(read(spark, sf_dir, "documents"), outputs=False)
+
+
+QUERIES["op11_fill_middle"] = op11_fill_middle
+ORACLES["op11_fill_middle"] = r"""
+with t as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+u as (select doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as units,
+  cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2, cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from t),
+n as (select *, len(units) as n, h1 % (len(units) + 1) as c1, h2 % (len(units) + 1) as c2,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+    when h4 % 100 < 20 then 'spm' else 'psm' end as form from u),
+p as (select *, length(array_to_string(units[1:least(c1, c2)], '')) as head, length(array_to_string(units[1:greatest(c1, c2)], '')) as upto from n),
+o as (select *, substr(text, 1, head) as pre, substr(text, head + 1, upto - head) as mid, substr(text, upto + 1) as suf from p)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then head end as prefix_chars, case when form <> 'plain' then upto - head end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(text) as restored_sha256
+from o
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+QUERIES["op13_hard_negatives"] = op13_hard_negatives
+ORACLES["op13_hard_negatives"] = """
+with q as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * cast(x as double)) for x in embedding] as v
+  from embeddings where label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (
+  select a.vec_id as anchor_id, q.vec_id as id, a.label = q.label as same, cast(list_inner_product(a.v, q.v) as bigint) as score
+  from q a join q on a.vec_id <> q.vec_id and len(a.v) = len(q.v) where a.vec_id % 100 = 0),
+p as (
+  select anchor_id, id as positive_id, score as positive_score from (
+    select *, row_number() over (partition by anchor_id order by score desc, id) as r from s where same) where r <= 5),
+n as (
+  select p.*, id as negative_id, score as negative_score, row_number() over (partition by anchor_id, positive_id order by score desc, id) as rank
+  from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
