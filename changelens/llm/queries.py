@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fill_middle, hard_negatives, html_text, media, piece_bpe, quotes, sharding, simhash, suffix_dedup, token_store, toxicity
+from . import decontaminate, fill_middle, hard_negatives, html_text, jaccard_join, media, piece_bpe, quotes, sharding, simhash, suffix_dedup, token_store, toxicity
 from .common import new_path, read
 
 QUERIES = {}
@@ -137,3 +137,27 @@ n as (
   from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
 select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 10
 """
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_jaccard_join"] = op12_jaccard_join
+ORACLES["op12_jaccard_join"] = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (
+  select doc_id, case when len(w) >= 3 then list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)])
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end as g from w),
+c as (select g, min(doc_id) as id from (select doc_id, list_sort(g) as g from g) where len(g) > 0 group by g),
+s as (select id, len(g) as n, unnest(g) as x from c),
+o as (
+  select a.id as a, b.id as b, a.n as an, b.n as bn, count(*) as shared from s a join s b on a.x = b.x and a.id < b.id and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 90 group by all),
+l as (select a, b from o where 100 * shared >= 90 * (an + bn - shared)),
+e as (select a, b from l union all select b, a from l),
+r(id, root) as (select id, id from c union select e.b, r.root from r join e on e.a = r.id),
+m as (select id, min(root) as root from r group by id)
+select g.doc_id, cast(len(g.g) as bigint) as n_shingles, coalesce(m.root, g.doc_id) as component_id
+from g left join c on list_sort(g.g) = c.g left join m on c.id = m.id
+"""
