@@ -17,6 +17,7 @@ two rows that stand for the block, and components join what is similar. A simila
 that is still apart has a block in which several components are left. In those blocks
 overlap counts of parts are accumulated for pairs of different components, within the
 bounds: sizes, the number of n-grams that no other open set has (each is a difference),
+the buckets of n-grams in which one set is odd and the other even (each holds a difference),
 the number of common parts. Every pair that remains is verified on the full matrix: a
 task takes a few hundred pairs, multiplies the rows they name (sorted postings, counts
 added up for each pair) and compares intersection and union in whole numbers.
@@ -49,6 +50,8 @@ SPARE_PARTS = 8
 LEAST_PARTS = 3
 #: Keys that a join side may have to be broadcast; there is a shuffle beyond it.
 BROADCAST_ROWS = 1 << 20
+#: Long words of a set's parities.
+WORDS = 16
 #: Pairs that are multiplied at once, and counts that are added up at once.
 BLOCK_PAIRS, BLOCK_COUNTS = 256, 1 << 22
 
@@ -103,6 +106,14 @@ def signatures(u: np.ndarray, per_cent: int) -> tuple[int, list[int]]:
     return need, np.concatenate(keys).view(np.int64).tolist() if keys else []
 
 
+def parities(u: np.ndarray) -> list[int]:
+    """Of 64 * WORDS buckets of a set whether each holds an odd number of elements. Two sets have other
+    parities in no more buckets than they differ in elements."""
+    bucket = (_mix(u ^ np.uint64(0xBF58476D1CE4E5B9)) % np.uint64(64 * WORDS)).astype(np.int64)
+    odd = np.bincount(bucket, minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """The sparse product of two blocks of rows: sizes of all intersections."""
     out = np.zeros(len(left) * len(right), np.int64)
@@ -166,22 +177,27 @@ def _rest(rows: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     each = own.select("tkey", F.explode("shingles").alias("shingle"))
     alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("tkey").alias("tkey")).where("c = 1")
     alone = alone.groupBy("tkey").agg(F.count(F.lit(1)).alias("alone"))
-    info = own.select("tkey", "n", "need").join(alone.hint("merge"), "tkey", "left")
-    info = info.select("tkey", "n", "need", F.coalesce("alone", F.lit(0)).alias("alone"))
-    largest = F.floor(F.col("n") * 100 / per_cent)  # partner
-    info = info.where(F.col("alone") <= _apart(F.col("n") + largest, per_cent))
+    words = [f"p{i}" for i in range(WORDS)]
+    info = own.select("tkey", "n", "need", *(F.element_at("parity", i + 1).alias(w) for i, w in enumerate(words)))
+    info = info.join(alone.hint("merge"), "tkey", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    info = info.where(F.col("alone") * 100 <= F.col("n") * (100 - per_cent))
     open_ = written(sets.sparkSession, rows.join(info.hint("merge"), "tkey"), "jaccard-open")
     of_root = open_.groupBy("bag", "root").agg(F.count(F.lit(1)).alias("c"))
     major = of_root.groupBy("bag").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
     major = major.select("bag", F.col("m.root").alias("major"))
     asks = open_.join(major.hint("merge"), "bag").where("root <> major")
-    asks = asks.select("bag", "major", *(F.col(c).alias(f"a_{c}") for c in ("tkey", "n", "need", "alone", "root")))
-    sizes = F.col("n") + F.col("a_n")
+    asks = asks.select("bag", "major", *(F.col(c).alias(f"a_{c}") for c in ("tkey", "n", "need", "alone", "root", *words)))
+    apart = _apart(F.col("n") + F.col("a_n"), per_cent)
+    shared = (F.col("n") + F.col("a_n") - apart) / 2  # at least, if they differ in no more
+    flipped = reduce(Column.__add__, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"a_{w}"))) for w in words))
     fits = (
         (F.col("root") != F.col("a_root"))
         & ((F.col("root") == F.col("major")) | (F.col("tkey") > F.col("a_tkey")))
         & (F.least("n", "a_n") * 100 >= F.greatest("n", "a_n") * per_cent)
-        & (F.col("alone") + F.col("a_alone") <= _apart(sizes, per_cent))
+        & (F.col("n") - F.col("alone") >= shared)
+        & (F.col("a_n") - F.col("a_alone") >= shared)
+        & (F.col("alone") + F.col("a_alone") <= apart)
+        & (flipped <= apart)
     )
     met = open_.join(asks.hint("merge"), "bag").where(fits)
     low, high = F.least("tkey", "a_tkey").alias("tkey"), F.greatest("tkey", "a_tkey").alias("other")
@@ -226,9 +242,16 @@ def similar_components(
     few = written(spark, few, "jaccard-few")
     side = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few.hint("merge")
     texts = base.select("text_key", "text").join(side, "text_key").groupBy("tkey", "n", "need").agg(F.first("text").alias("text"))
-    set_pa = pa.schema([("tkey", pa.int64()), ("n", pa.int64()), ("need", pa.int64()), ("shingles", longs)])
-    to_set = lambda: lambda r: (*r[:3], np.unique(shingle_hashes(r[3], k)).view(np.int64).tolist())
-    sets = map_rows(texts, to_set, set_pa, "tkey long, n long, need long, shingles array<long>")
+    set_pa = pa.schema([("tkey", pa.int64()), ("n", pa.int64()), ("need", pa.int64()), ("parity", longs), ("shingles", longs)])
+
+    def to_set():
+        def row(r):
+            u = np.unique(shingle_hashes(r[3], k))
+            return *r[:3], parities(u), u.view(np.int64).tolist()
+
+        return row
+
+    sets = map_rows(texts, to_set, set_pa, "tkey long, n long, need long, parity array<long>, shingles array<long>")
     sets = written(spark, sets, "jaccard-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:

@@ -224,3 +224,12 @@ def test_templates_meet_in_few_parts():
     keys = [set(jaccard_join.signatures(np.unique(np.concatenate([passages[i] for i in rng.choice(30, 15, False)])), 90)[1]) for _ in range(400)]
     pairs = sum(len(a & b) >= jaccard_join.LEAST_PARTS for i, a in enumerate(keys) for b in keys[:i])
     assert pairs <= 0.01 * 400 * 399 / 2
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(12)
+    for _ in range(100):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 300)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.integers(0, 20) :], rng.integers(0, 2**63, rng.integers(0, 20)).astype(np.uint64)]))
+        flipped = sum((x ^ y).bit_count() if (x ^ y) >= 0 else ((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(jaccard_join.parities(a), jaccard_join.parities(b)))
+        assert len(np.setxor1d(a, b)) - 12 <= flipped <= len(np.setxor1d(a, b))
