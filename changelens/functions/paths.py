@@ -139,7 +139,7 @@ def observation_id(kind: Column, symbol: Column, evidence: Column, run_id: Colum
 
 
 def notification_id(repo: Column, kind: Column, sha: Column) -> Column:
-    return joined_hash(repo, kind, sha, length=20)
+    return F.concat(F.lit("n"), joined_hash(repo, kind, sha, length=20))
 
 
 def comment_key(comment_id: Column, pr: Column, created: Column, body: Column) -> Column:
@@ -231,7 +231,7 @@ def is_safe_revision(rev: Column) -> Column:
 
 def code_reference(ref: Column) -> Column:
     """side, path, start and end of `side:path:start-end`; null where it is not allowed."""
-    pattern = r"^(?:(base|head):)?([^:]+):(\d+)(?:-(\d+))?$"
+    pattern = r"^(?:(base|head):)?(.+?):(\d+)(?:-(\d+))?$"
     g = lambda n: F.regexp_extract(ref, pattern, n)
     start = g(3).try_cast("int")
     end = F.coalesce(F.nullif(g(4), F.lit("")).try_cast("int"), start)

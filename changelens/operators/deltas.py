@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelens.functions.paths import is_public, observation_id, symbol_of_nodeid
-from changelens.schemas import SEVERITY
+from changelens.schemas import SEVERITY, literal_map
 
 PASSING = ("passed",)
 BROKEN = ("failed", "error")
@@ -28,12 +28,41 @@ def behaviour_delta(base: DataFrame, head: DataFrame, run_id: str | None = None)
     )
 
 
+# What is said of a suite that broke as a whole.
+SUITE_BROKE = {
+    "timeout": "the suite did not finish within its time limit at head",
+    "oom": "the suite was killed for exceeding its memory limit at head",
+    "collection_error": "the suite could not be collected at head",
+    "install_failed": "the environment for this repo could not be built",
+}
+
+
 def outcome_delta(outcomes: DataFrame) -> DataFrame:
-    """(run_id, kind): suites that broke as wholes at head and not the same way at base."""
-    side = lambda s: F.max(F.when(F.col("side") == s, F.col("outcome")))
-    own = outcomes.groupBy("run_id").agg(side("base").alias("base"), side("head").alias("head"))
-    return own.where(F.col("head").isin("timeout", "oom", "collection_error", "install_failed") & ~F.col("base").eqNullSafe(F.col("head"))).select(
-        "run_id", F.col("head").alias("kind"), "base"
+    """Findings (id, run_id, kind, ...) of suites that broke as wholes at head and not the same way at base:
+    outcomes(run_id, side, outcome, duration_s, peak_rss_mb), the last two as far as they are known."""
+    have = {c: F.col(c) if c in outcomes.columns else F.lit(None) for c in ("duration_s", "peak_rss_mb")}
+    side = lambda s, c: F.max(F.when(F.col("side") == s, c))
+    own = outcomes.groupBy("run_id").agg(
+        side("base", F.col("outcome")).alias("base"),
+        side("head", F.col("outcome")).alias("kind"),
+        side("head", have["duration_s"].cast("double")).alias("_s"),
+        side("head", have["peak_rss_mb"].cast("long")).alias("_mb"),
+    )
+    own = own.where(F.col("kind").isin(*SUITE_BROKE) & ~F.col("base").eqNullSafe(F.col("kind")))
+    evidence, suite = F.concat(F.lit("outcome:"), F.col("kind")), F.lit("(suite)")
+    took = F.concat(F.lit("; head ran for "), F.format_string("%.1f", F.bround(F.coalesce("_s", F.lit(0.0)), 1)), F.lit("s"))
+    memory = F.when(F.col("_mb") > 0, F.concat(F.lit(", peak memory "), F.col("_mb").cast("string"), F.lit(" MB"))).otherwise("")
+    return own.select(
+        observation_id(F.col("kind"), suite, evidence, F.col("run_id").cast("string")).alias("id"),
+        "run_id",
+        "kind",
+        suite.alias("symbol"),
+        F.element_at(literal_map(SUITE_BROKE), F.col("kind")).alias("what_changed"),
+        F.concat(F.lit("base run outcome "), F.coalesce("base", F.lit("unknown")), F.lit(", head run outcome "), F.col("kind"), took, memory).alias("how_we_know"),
+        evidence.alias("evidence_ref"),
+        F.element_at(literal_map({k: SEVERITY[k] for k in SUITE_BROKE}), F.col("kind")).alias("severity"),
+        F.lit(0.95).alias("confidence"),
+        "base",
     )
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from changelens.functions.paths import code_reference
-from changelens.functions.text import contains_quote
 
 
 def with_observation(own: DataFrame, observations: DataFrame, run_id: str) -> DataFrame:
@@ -36,17 +35,20 @@ def changed_symbols(symbols: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def lines_for(symbols: DataFrame, coverage: DataFrame) -> DataFrame:
-    """(fqn, lines): a symbol's covered lines from the first coverage path (by pos) that
-    its file ends. File names are the equi key; the rest is checked on what meets."""
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
-    both = symbols.withColumn("_f", name(F.col("file"))).join(coverage.withColumn("_f", name(F.col("path"))), "_f")
-    both = both.where(F.col("path").endswith(F.col("file")) | F.col("file").endswith(F.col("path")))
-    return both.groupBy("fqn").agg(F.min_by("lines", "pos").alias("lines"))
+    """(fqn, lines): a symbol's covered lines, from the first path of coverage(path, pos, lines) that ends
+    with the symbol's file. Each path is filed under all its endings, and the first of each is found before
+    files are looked up, so that equal file names never meet each other."""
+    ends = F.transform(F.sequence(F.lit(1), F.char_length("path") + 1), lambda i: F.substring(F.col("path"), i, F.char_length("path")))
+    first = coverage.select("path", "pos", F.explode(ends).alias("file")).groupBy("file").agg(F.min_by("path", "pos").alias("path"))
+    own = symbols.select("fqn", "file").join(first.hint("merge"), "file").select("fqn", "path")
+    once = coverage.groupBy("path").agg(F.min_by("lines", "pos").alias("lines"))
+    return own.join(once, "path").select("fqn", "lines")
 
 
 def coverage_gaps(symbols: DataFrame, covered: DataFrame) -> DataFrame:
-    """Symbols of which no body line ran; body is all but the first line."""
-    own = symbols.join(covered, "fqn", "left").where("line_end > line_start")
+    """Symbols whose file was measured (covered: fqn, lines) and of which no body line ran; body is all but
+    the first line."""
+    own = symbols.join(covered, "fqn").where("line_end > line_start")
     ran = F.size(F.filter(F.coalesce("lines", F.array()), lambda x: (x > F.col("line_start")) & (x <= F.col("line_end"))))
     return own.withColumn("ran", ran).where("ran = 0").drop("lines")
 
@@ -65,63 +67,6 @@ def norm_for_tool(what_changed: Column) -> Column:
     return F.concat(F.lit("declared-lint-"), F.lower(F.split_part(F.trim(what_changed), F.lit(" "), F.lit(1))))
 
 
-def observation_path(observations: DataFrame, symbols: DataFrame) -> DataFrame:
-    """observations with `path`: of the evidence, of the symbol, or (repo)."""
-    ref = F.coalesce("evidence_ref", F.lit(""))
-    from_ref = (
-        F.when(ref.contains("::"), F.substring_index(ref, "::", 1))
-        .when(ref.rlike(r"^[^:\s]+:\d+"), F.regexp_extract(ref, r"^([^:\s]+):\d+", 1))
-        .when(ref.rlike(r"^[^:\s]*/[^:\s]*(:|$)"), F.substring_index(ref, ":", 1))
-    )
-    own = symbols.groupBy(F.col("fqn").alias("symbol")).agg(F.min("file").alias("_file"))
-    like = F.when(F.col("symbol").contains("/"), F.substring_index("symbol", "::", 1))
-    return observations.join(own, "symbol", "left").withColumn("path", F.coalesce(from_ref, "_file", like, F.lit("(repo)"))).drop("_file")
-
-
-def observation_line(observations: DataFrame, test_lines: DataFrame, symbols: DataFrame) -> DataFrame:
-    """observations with `line`: of `path:line`, of the test's definition, of the symbol."""
-    ref = F.regexp_extract("evidence_ref", r"^[^:]+:(\d+)", 1).try_cast("int")
-    t = test_lines.select(F.col("nodeid").alias("evidence_ref"), F.col("line").alias("_t"))
-    s = symbols.groupBy(F.col("fqn").alias("symbol")).agg(F.min("line_start").alias("_s"))
-    return observations.join(t, "evidence_ref", "left").join(s, "symbol", "left").withColumn("line", F.coalesce(ref, "_t", "_s")).drop("_t", "_s")
-
-
-def resolved_citations(citations: DataFrame, norms: DataFrame, tests: DataFrame, diff_paths: DataFrame, lines: DataFrame) -> DataFrame:
-    """citations(type, ref, quote) with `resolved`: the norm, test or changed path exists,
-    or the cited lines exist and hold the quote. lines(side, path, line, text)."""
-    own = citations.withColumn("_id", F.xxhash64("type", "ref", "quote"))
-    n = norms.select(F.lit("norm").alias("type"), F.col("id").alias("ref"))
-    t = tests.select(F.lit("test").alias("type"), F.col("nodeid").alias("ref"))
-    d = diff_paths.select(F.lit("diff").alias("type"), F.col("path").alias("ref"))
-    known = n.union(t).union(d).distinct().withColumn("_known", F.lit(True))
-    code = own.where("type = 'code'").withColumn("c", code_reference(F.col("ref"))).where("c is not null")
-    code = code.select("_id", "quote", "c.*").distinct()
-    cut = code.join(lines, ["side", "path"]).where(F.col("line").between(F.col("start"), F.col("end")))
-    cut = cut.groupBy("_id", "quote", "start", "end").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("l"))
-    text = F.array_join(F.transform("l", lambda x: x["text"]), "\n")
-    good = cut.where((F.element_at("l", -1)["line"] == F.col("end")) & ((F.coalesce("quote", F.lit("")) == "") | contains_quote(text, F.col("quote"))))
-    good = good.select("_id").distinct().withColumn("_code", F.lit(True))
-    out = own.join(known, ["type", "ref"], "left").join(good, "_id", "left")
-    return out.withColumn("resolved", F.coalesce("_known", "_code", F.lit(False))).drop("_known", "_code", "_id")
-
-
-def related_norms(files: DataFrame, norms: DataFrame, limit: int = 3) -> DataFrame:
-    """(path, id, score): 2 for a norm seen at the path, 1 in its directory, and 0.25 for
-    each shared token. Directories and tokens are the join keys, not all pairs.
-    files(path, tokens array), norms(id, places array, tokens array)."""
-    up = lambda c: F.regexp_replace(c, r"/?[^/]+$", "")
-    place = norms.select("id", F.explode("places").alias("p")).distinct()
-    exact = files.select("path").join(place.select(F.col("p").alias("path"), "id"), "path").select("path", "id", F.lit(2.0).alias("s"))
-    near = files.select("path", up(F.col("path")).alias("d")).join(place.select("id", up(F.col("p")).alias("d")).distinct(), "d")
-    near = near.select("path", "id", F.lit(1.0).alias("s"))
-    word = files.select("path", F.explode(F.array_distinct("tokens")).alias("t")).join(norms.select("id", F.explode(F.array_distinct("tokens")).alias("t")), "t")
-    word = word.groupBy("path", "id").agg((F.count(F.lit(1)) * 0.25).alias("w"))
-    seen = exact.union(near).groupBy("path", "id").agg(F.max("s").alias("s"))
-    both = seen.join(word, ["path", "id"], "full_outer").select("path", "id", (F.coalesce("s", F.lit(0.0)) + F.coalesce("w", F.lit(0.0))).alias("score"))
-    w = Window.partitionBy("path").orderBy(F.desc("score"), "id")
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-
-
 def module_for(symbols: DataFrame, modules: DataFrame) -> DataFrame:
     """(symbol, module, doc): the longest documented module that holds the name; of
     equals the first. A name meets modules by its own dotted parts, so this is a join on equality."""

@@ -276,7 +276,7 @@ def paths_of_pages(spark, d):
 
 
 @query("""
-select event_id, substr(sha256(concat(user_id, chr(0), event_type, chr(0), event_id)), 1, 20) as notification,
+select event_id, 'n' || substr(sha256(concat(user_id, chr(0), event_type, chr(0), event_id)), 1, 20) as notification,
   date_trunc('day', ts) as day, case event_id % 7 when 0 then 'passed' when 1 then 'failed' when 2 then 'collection_error' when 3 then 'timeout' when 4 then 'oom' when 5 then 'install_failed' else 'failed' end as v2,
   case event_id % 7 when 0 then 'passed' when 1 then 'passed' when 2 then 'failed' when 3 then 'timeout' when 4 then 'oom' when 5 then 'install_failed' else 'failed' end as v2_tool,
   case event_id % 7 when 0 then 'passed' when 1 then 'failed' when 2 then 'collection_error' when 3 then 'timeout' when 4 then 'oom' else 'failed' end as v1,

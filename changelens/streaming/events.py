@@ -173,6 +173,34 @@ def fair_dispatch(events: DataFrame) -> DataFrame:
     return events.groupBy("lane").applyInPandasWithState(step, out, waiting, "append", GroupStateTimeout.NoTimeout)
 
 
+def buffered(events: DataFrame, capacity: int = 4096) -> DataFrame:
+    """(subscriber, taken_at, seq, dropped) of events(subscriber, arrival, kind, seq), kind being event or taken
+    (seq: how many the subscriber takes): what each subscriber gets when it takes, and at its next taking how many
+    events found its buffer full. A buffer fills and drains; it is one subscriber's state, bounded by its capacity."""
+    out = "subscriber STRING, taken_at LONG, seq LONG, dropped LONG"
+
+    def step(key, frames, state: GroupState):
+        waiting, dropped = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        found = []
+        for r in pd.concat(list(frames)).sort_values("arrival").itertuples(index=False):
+            if r.kind == "event":
+                if len(waiting) < capacity:
+                    waiting.append(int(r.seq))
+                else:
+                    dropped += 1
+                continue
+            given, waiting = waiting[: int(r.seq)], waiting[int(r.seq) :]
+            # a row without an event tells of drops where nothing waited
+            found += [(key[0], r.arrival, x, dropped if k == 0 else 0) for k, x in enumerate(given or [None])] if given or dropped else []
+            dropped = 0
+        state.update((waiting, dropped))
+        frame = pd.DataFrame(found, columns=["subscriber", "taken_at", "seq", "dropped"])
+        yield frame.astype({"seq": "Int64"})
+
+    state = "waiting ARRAY<LONG>, dropped LONG"
+    return events.groupBy("subscriber").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
+
+
 def offered(batch: DataFrame, buffer: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(taken, dropped) of a batch(subscriber, seq): the first events each subscriber's
     buffer holds, and (subscriber, dropped) counts of those it has no room for."""
@@ -182,13 +210,19 @@ def offered(batch: DataFrame, buffer: int = 4096) -> tuple[DataFrame, DataFrame]
     return own.where(F.col("_n") <= buffer).drop("_n"), over
 
 
-def raised(signals: DataFrame) -> DataFrame:
-    """Notable and major signals once for each (repo, kind, sha)."""
+def raised(signals: DataFrame, stored: DataFrame | None = None, webhook_floor: str | None = None) -> DataFrame:
+    """Notable and major signals(repo, kind, sha, level, ...) with `id` and `deliver`, once for ever for each
+    (repo, kind, sha): those of `stored` (id) were raised before, later ones are remembered by the stream's
+    state, which has no watermark. `deliver` holds from the floor on; without one nothing is delivered."""
     from changelens.functions.paths import notification_id
+    from changelens.schemas import ordinal
 
     own = signals.where(F.col("level").isin("notable", "major"))
     own = own.withColumn("id", notification_id(F.col("repo"), F.col("kind"), F.col("sha")))
-    return with_event_time(own, "1 day", "created_at").dropDuplicatesWithinWatermark(["id"])
+    if stored is not None:
+        own = own.join(stored.select("id"), "id", "left_anti")
+    loud = F.lit(False) if webhook_floor is None else ordinal(F.col("level")) >= ordinal(F.lit(webhook_floor))
+    return own.dropDuplicates(["id"]).select(*signals.columns, "id", loud.alias("deliver"))
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

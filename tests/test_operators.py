@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from changelens import schemas
 from changelens.functions import text
-from changelens.operators import charter, deltas, findings, graph, lookups, mining, ranking, rollups, sequences
+from changelens.operators import charter, deltas, findings, graph, grounding, lookups, mining, ranking, rollups, sequences
 from changelens.sources import files, sinks, tables
 
 
@@ -267,14 +267,14 @@ def test_citations(spark):
     c = spark.createDataFrame([("norm", "n1", None), ("norm", "nx", None), ("code", "head:a.py:1-2", "x  = 1"), ("code", "head:a.py:2-9", ""), ("diff", "a.py", None)], "type STRING, ref STRING, quote STRING")
     one = lambda v, ddl: spark.createDataFrame([v], ddl)
     lines = spark.createDataFrame([("head", "a.py", 1, "x = 1"), ("head", "a.py", 2, "y")], "side STRING, path STRING, line INT, text STRING")
-    got = lookups.resolved_citations(c, one(("n1",), "id STRING"), one(("t",), "nodeid STRING"), one(("a.py",), "path STRING"), lines)
+    got = grounding.resolved_citations(c, one(("n1",), "id STRING"), one(("t",), "nodeid STRING"), one(("a.py",), "path STRING"), lines)
     assert dict(((r.type, r.ref), r.resolved) for r in got.collect()) == {("norm", "n1"): True, ("norm", "nx"): False, ("code", "head:a.py:1-2"): True, ("code", "head:a.py:2-9"): False, ("diff", "a.py"): True}
 
 
 def test_related_norms_and_lines(spark):
     f = spark.createDataFrame([("a/b.py", ["x", "y"])], "path STRING, tokens ARRAY<STRING>")
     n = spark.createDataFrame([("n1", ["a/b.py"], []), ("n2", ["a/c.py"], ["x"]), ("n3", ["z.py"], ["x", "y"]), ("n4", [], [])], "id STRING, places ARRAY<STRING>, tokens ARRAY<STRING>")
-    assert [(r.id, r.score) for r in lookups.related_norms(f, n).orderBy("rank").collect()] == [("n1", 2.0), ("n2", 1.25), ("n3", 0.5)]
+    assert [(r.id, r.score) for r in grounding.related_norms(f, n).orderBy("rank").collect()] == [("n1", 2.0), ("n2", 1.25), ("n3", 0.5)]
 
 
 def test_tables(spark, tmp_path):

@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from changelens.streaming import events as ev
+from changelens.streaming import replay
 
 
 def land(spark, rows, ddl, path):
@@ -72,3 +75,65 @@ def test_raised_once(spark, tmp_path):
     land(spark, [("r", "k", "s", "major", 1.0), ("r", "k", "s", "major", 2.0), ("r", "k", "s2", "minor", 3.0)], ddl, f"{tmp_path}/n")
     ev.run_available(ev.raised(stream(spark, ddl, f"{tmp_path}/n")), f"{tmp_path}/no", f"{tmp_path}/nc")
     assert len(out(spark, f"{tmp_path}/no")) == 1
+
+
+def test_raised_once_for_ever(spark, tmp_path):
+    ddl = "repo STRING, kind STRING, sha STRING, level STRING, created_at DOUBLE"
+    week = 7 * 86400.0
+    stored = ev.raised(spark.createDataFrame([("r", "k", "old", "major", 0.0)], ddl)).select("id")
+    land(spark, [("r", "k", "s", "major", 1.0), ("r", "k", "s", "notable", 2.0), ("r", "k", "old", "major", 3.0), ("q", "k", "s", "notable", 3.0)], ddl, f"{tmp_path}/n")
+    ev.run_available(ev.raised(stream(spark, ddl, f"{tmp_path}/n"), stored, "major"), f"{tmp_path}/no", f"{tmp_path}/nc")
+    for turn in range(1, 4):  # again a week later each time, after a restart from the checkpoint
+        land(spark, [("r", "k", "s", "major", turn * week), ("r", "k", "old", "major", turn * week), ("r", "k", f"new{turn}", "major", turn * week)], ddl, f"{tmp_path}/n")
+        ev.run_available(ev.raised(stream(spark, ddl, f"{tmp_path}/n"), stored, "major"), f"{tmp_path}/no", f"{tmp_path}/nc")
+    got = [(r.repo, r.sha, r.deliver) for r in spark.read.parquet(f"{tmp_path}/no").collect()]
+    assert sorted(x[:2] for x in got) == [("q", "s"), ("r", "new1"), ("r", "new2"), ("r", "new3"), ("r", "s")]
+    assert ("q", "s", False) in got and ("r", "new1", True) in got
+    quiet = ev.raised(spark.createDataFrame([("r", "k", "s", "major", 1.0)], ddl)).first()
+    assert not quiet.deliver and quiet.id.startswith("n") and len(quiet.id) == 21
+
+
+def test_replay_and_live_tail_to_folders(spark, tmp_path):
+    row = lambda s: (s, float(s), f"run{s % 3}", "ab"[s % 2], "t", "{}")
+    src, out_, cp = f"{tmp_path}/log", f"{tmp_path}/out", f"{tmp_path}/cp"
+    open_ = lambda: replay.after(ev.event_stream(spark, src, 1), 2)
+    for part in ([0, 0, 1, 2, 3, 4], [4, 5, 5000, 9], [6, 7, 8, 3]):
+        land(spark, [row(s) for s in part], ev.EVENTS, src)
+    replay.fan_out(open_(), out_, cp, ["repo", "run_id"], once_only=True)
+    half = replay.delivered(spark, out_, ev.EVENTS).count()
+    replay.fan_out(open_(), out_, cp, ["repo", "run_id"])
+    land(spark, [row(s) for s in range(1, 12)], ev.EVENTS, src)  # live, with all that was before
+    replay.fan_out(open_(), out_, cp, ["repo", "run_id"])
+    got = replay.delivered(spark, out_, ev.EVENTS)
+    assert 0 < half < got.count()
+    assert sorted((r.seq, r.run_id, r.repo) for r in got.collect()) == sorted((s, f"run{s % 3}", "ab"[s % 2]) for s in [*range(3, 12), 5000])
+    assert [tuple(r) for r in replay.gaps(got.withColumn("all", F.lit(1)), ["all"]).collect()] == [(1, 11, 5000)]
+    full = spark.createDataFrame([(s,) for s in range(replay.BLOCK)], "seq LONG")
+    full.write.parquet(f"{tmp_path}/full/a")
+    full.limit(10).write.parquet(f"{tmp_path}/full/b")
+    s = spark.readStream.schema("seq LONG").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/full")
+    replay.fan_out(replay.once(s).withColumn("one", F.lit(1)), f"{tmp_path}/fo", f"{tmp_path}/fc", ["one"])
+    assert replay.delivered(spark, f"{tmp_path}/fo", "seq LONG, one INT").count() == replay.BLOCK
+
+
+def test_buffers_fill_and_drain(spark, tmp_path):
+    ddl = "subscriber STRING, arrival LONG, kind STRING, seq LONG"
+    rng = random.Random(5)
+    log = [(rng.choice("ab"), i, *rng.choice([("event", i), ("event", i), ("event", i), ("taken", 2)])) for i in range(120)]
+    for part in range(4):
+        land(spark, log[30 * part : 30 * part + 30], ddl, f"{tmp_path}/b")
+    ev.run_available(ev.buffered(stream(spark, ddl, f"{tmp_path}/b"), 3), f"{tmp_path}/bo", f"{tmp_path}/bc")
+    want, held, lost = [], {"a": [], "b": []}, {"a": 0, "b": 0}
+    for who, at, kind, n in log:
+        if kind == "event":
+            if len(held[who]) < 3:
+                held[who].append(n)
+            else:
+                lost[who] += 1
+        else:
+            given, held[who] = held[who][:n], held[who][n:]
+            if given or lost[who]:
+                want += [(who, at, x, lost[who] if k == 0 else 0) for k, x in enumerate(given or [None])]
+            lost[who] = 0
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/bo").collect()), key=repr) == sorted(want, key=repr)
+    assert any(x[3] for x in want)
