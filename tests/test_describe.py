@@ -102,11 +102,11 @@ def test_commands_tools_norms(spark, files):
 def test_manifests():
     assert [f[:2] for f in metadata.go_mod("module x/y\ngo 1.2\nrequire (\n a/B v1\n c v2 // indirect\n)\nrequire d v1\n")] == [("name", "x/y"), ("target", "Go 1.2"), ("dependency", "a/b"), ("dependency", "d")]
     cargo = '[package]\nname = "k"\nversion = "0.1"\nrust-version = "1.70"\n[dependencies]\nSerde = "1"\n[[bin]]\nname = "kk"\n'
-    assert [f[:2] for f in metadata.cargo(cargo)] == [("name", "k"), ("version", "0.1"), ("target", "Rust 1.70"), ("dependency", "serde"), ("entry_point", "kk = src/main.rs")]
+    assert [f[:2] for f in metadata.MANIFESTS["Cargo.toml"](cargo)] == [("name", "k"), ("version", "0.1"), ("target", "Rust 1.70"), ("dependency", "serde"), ("entry_point", "kk = src/main.rs")]
     cfg = "[metadata]\nname = n\ndescription = d\n[options]\npython_requires = >=3\ninstall_requires =\n  A_b>1\n  c\n"
-    assert [f[:2] for f in metadata.setup_cfg(cfg)] == [("name", "n"), ("summary", "d"), ("target", "Python >=3"), ("dependency", "a-b"), ("dependency", "c")]
-    assert list(metadata.setup_cfg("no section")) == [] and list(metadata.package_json("[")) == [] and list(metadata.cargo("")) == []
-    req = lambda name, spec: list(metadata.requirement_lines(name, spec))
+    assert [f[:2] for f in metadata.MANIFESTS["setup.cfg"](cfg)] == [("name", "n"), ("summary", "d"), ("target", "Python >=3"), ("dependency", "a-b"), ("dependency", "c")]
+    assert list(metadata.MANIFESTS["setup.cfg"]("no section")) == [] and list(metadata.MANIFESTS["package.json"]("[")) == [] and list(metadata.MANIFESTS["Cargo.toml"]("")) == []
+    req = lambda name, spec: [r.line for r in metadata.requirements(name, spec)]
     assert req("x", {"version": "~1.2", "extras": ["q"], "python": ">=3.8", "markers": "os_name == 'nt'"}) == ["x[q]>=1.2,<1.3 ; (python_full_version >= '3.8') and (os_name == 'nt')"]
     assert req("python", "^3.8") == req("y", {"git": "u"}) == [] and req("z", ["*", {"version": "1"}]) == ["z", "z==1"]
 
