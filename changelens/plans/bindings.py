@@ -649,4 +649,4 @@ def callers_one_hop(spark, d):
     return lookups.callers_of(edges, s.select("repo", "fqn"), "r", "x", 50).select(F.col("fqn").alias("id"))
 
 
-from changelens.plans import further  # noqa: E402, F401  (registers its queries)
+from changelens.plans import deeper, further  # noqa: E402, F401  (they register their queries)

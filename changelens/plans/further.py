@@ -359,17 +359,6 @@ def signature_delta(spark, d):
     return deltas.signature_delta(side("p_size < 30"), side("p_size > 10")).select("fqn", "change")
 
 
-@query("""
-with c as (select l_partkey as fqn, list(distinct l_linenumber) as lines from lineitem group by 1)
-select p_partkey as fqn, p_size as line_end from part left join c on fqn = p_partkey
-where p_size > 2 and len(list_filter(coalesce(lines, []), lambda x: x > 2 and x <= p_size)) = 0
-""")
-def coverage_gaps(spark, d):
-    s = read(spark, d, "part").select(F.col("p_partkey").alias("fqn"), F.lit(2).alias("line_start"), F.col("p_size").alias("line_end"))
-    c = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("fqn")).agg(F.collect_set("l_linenumber").alias("lines"))  # seven line numbers at most
-    return lookups.coverage_gaps(s, c).select("fqn", "line_end")
-
-
 @query(f"""
 with {_OBS} select id, case kind when 'api_change' then 'n1' when 'timeout' then null else null end as norm_id from obs
 """)
@@ -587,14 +576,20 @@ def comparable_lint(spark, d):
 
 
 @query("""
-with o as (select o_custkey as run_id, max(case when o_orderkey % 2 = 0 then x end) as base, max(case when o_orderkey % 2 = 1 then x end) as head
+with o as (select o_custkey as run_id, max(case when o_orderkey % 2 = 0 then x end) as base, max(case when o_orderkey % 2 = 1 then x end) as head,
+    max(case when o_orderkey % 2 = 1 then o_orderkey % 50 end) as s, max(case when o_orderkey % 2 = 1 then o_orderkey end) as mb
   from (select *, case o_orderstatus when 'F' then 'passed' when 'O' then 'timeout' else 'oom' end as x from orders) group by 1)
-select run_id, head as kind, base from o where head in ('timeout', 'oom') and base is distinct from head
+select run_id || '-' || substr(sha256(concat(head, chr(0), '(suite)', chr(0), 'outcome:' || head)), 1, 16) as id, run_id, head as kind, '(suite)' as symbol,
+  case head when 'oom' then 'the suite was killed for exceeding its memory limit at head' else 'the suite did not finish within its time limit at head' end as what_changed,
+  'base run outcome ' || coalesce(base, 'unknown') || ', head run outcome ' || head || '; head ran for ' || s || '.5s' || ', peak memory ' || mb || ' MB' as how_we_know,
+  'outcome:' || head as evidence_ref, cast(0.9 as double) as severity, cast(0.95 as double) as confidence, base
+from o where head in ('timeout', 'oom') and base is distinct from head
 """)
 def outcome_delta(spark, d):
     x = F.when(F.col("o_orderstatus") == "F", "passed").when(F.col("o_orderstatus") == "O", "timeout").otherwise("oom")
     side = F.when(F.col("o_orderkey") % 2 == 0, "base").otherwise("head")
-    return deltas.outcome_delta(read(spark, d, "orders").select(F.col("o_custkey").alias("run_id"), side.alias("side"), x.alias("outcome")))
+    took = (F.col("o_orderkey") % 50 + 0.5).cast("double").alias("duration_s")
+    return deltas.outcome_delta(read(spark, d, "orders").select(F.col("o_custkey").alias("run_id"), side.alias("side"), x.alias("outcome"), took, F.col("o_orderkey").alias("peak_rss_mb")))
 
 
 # ---- ranking ----------------------------------------------------------------
