@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, components, dropped, map_rows, written
+from .parity import flipped, mixed, names, parities, unpacked
 from .simhash import _leaders, _mixed, shingle_hashes
 
 #: Upper end of a level over that of the level below it.
@@ -50,8 +51,6 @@ SPARE_PARTS = 8
 LEAST_PARTS = 3
 #: Keys that a join side may have to be broadcast; there is a shuffle beyond it.
 BROADCAST_ROWS = 1 << 20
-#: Long words of a set's parities.
-WORDS = 16
 #: Pairs that are multiplied at once, and counts that are added up at once.
 BLOCK_PAIRS, BLOCK_COUNTS = 256, 1 << 22
 
@@ -72,48 +71,34 @@ def levels_of(n: int, per_cent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
 def signatures(u: np.ndarray, per_cent: int) -> tuple[int, list[int]]:
     """(need, keys) of a set of distinct hashes: two linked sets have `need` keys of the lower
     need in common, at least LEAST_PARTS."""
     keys: list[np.ndarray] = []
     need = 0
-    mixed = _mix(u ^ np.uint64(0x9E3779B97F4A7C15))
+    spread = mixed(u ^ np.uint64(0x9E3779B97F4A7C15))
     for level, high in levels_of(len(u), per_cent):
         apart = most_apart(2 * high, per_cent)
         if not apart:
             continue  # linked sets of these sizes are equal
         spare = SPARE_PARTS + apart // 50
         parts = apart + 1 + spare
-        part = (mixed % np.uint64(parts)).astype(np.int64)
+        part = (spread % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         sizes = np.bincount(part, minlength=parts)
         full = np.flatnonzero(sizes)
         sums = np.zeros(parts, np.uint64)
         starts = (np.cumsum(sizes) - sizes)[full]
-        sums[full] = np.add.reduceat(_mix(mixed[order]), starts)
+        sums[full] = np.add.reduceat(mixed(spread[order]), starts)
         # parts that are empty count as common only where too few others are left
         empty = parts - len(full)
         own = full if spare + 1 - empty >= LEAST_PARTS else np.arange(parts)
         common = spare + 1 - (empty if own is full else 0)
         need = min(need or common, common)
-        keys.append(_mix(sums[own] ^ _mix((np.uint64(level << 40) + own.astype(np.uint64)))))
+        keys.append(mixed(sums[own] ^ mixed((np.uint64(level << 40) + own.astype(np.uint64)))))
     return need, np.concatenate(keys).view(np.int64).tolist() if keys else []
 
 
-def parities(u: np.ndarray) -> list[int]:
-    """Of 64 * WORDS buckets of a set whether each holds an odd number of elements. Two sets have other
-    parities in no more buckets than they differ in elements."""
-    bucket = (_mix(u ^ np.uint64(0xBF58476D1CE4E5B9)) % np.uint64(64 * WORDS)).astype(np.int64)
-    odd = np.bincount(bucket, minlength=64 * WORDS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
-
-
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """The sparse product of two blocks of rows: sizes of all intersections."""
     out = np.zeros(len(left) * len(right), np.int64)
@@ -177,8 +162,7 @@ def _rest(rows: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     each = own.select("tkey", F.explode("shingles").alias("shingle"))
     alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("tkey").alias("tkey")).where("c = 1")
     alone = alone.groupBy("tkey").agg(F.count(F.lit(1)).alias("alone"))
-    words = [f"p{i}" for i in range(WORDS)]
-    info = own.select("tkey", "n", "need", *(F.element_at("parity", i + 1).alias(w) for i, w in enumerate(words)))
+    info = own.select("tkey", "n", "need", *unpacked("parity"))
     info = info.join(alone.hint("merge"), "tkey", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
     info = info.where(F.col("alone") * 100 <= F.col("n") * (100 - per_cent))
     open_ = written(sets.sparkSession, rows.join(info.hint("merge"), "tkey"), "jaccard-open")
@@ -186,10 +170,9 @@ def _rest(rows: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     major = of_root.groupBy("bag").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
     major = major.select("bag", F.col("m.root").alias("major"))
     asks = open_.join(major.hint("merge"), "bag").where("root <> major")
-    asks = asks.select("bag", "major", *(F.col(c).alias(f"a_{c}") for c in ("tkey", "n", "need", "alone", "root", *words)))
+    asks = asks.select("bag", "major", *(F.col(c).alias(f"a_{c}") for c in ("tkey", "n", "need", "alone", "root", *names())))
     apart = _apart(F.col("n") + F.col("a_n"), per_cent)
     shared = (F.col("n") + F.col("a_n") - apart) / 2  # at least, if they differ in no more
-    flipped = reduce(Column.__add__, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"a_{w}"))) for w in words))
     fits = (
         (F.col("root") != F.col("a_root"))
         & ((F.col("root") == F.col("major")) | (F.col("tkey") > F.col("a_tkey")))
@@ -197,7 +180,7 @@ def _rest(rows: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
         & (F.col("n") - F.col("alone") >= shared)
         & (F.col("a_n") - F.col("a_alone") >= shared)
         & (F.col("alone") + F.col("a_alone") <= apart)
-        & (flipped <= apart)
+        & (flipped("a_") <= apart)
     )
     met = open_.join(asks.hint("merge"), "bag").where(fits)
     low, high = F.least("tkey", "a_tkey").alias("tkey"), F.greatest("tkey", "a_tkey").alias("other")

@@ -25,7 +25,7 @@ Buckets are not worked off as pairs. Two rounds compare each member with one or
 representatives, those that most texts meet, and components join what is verified. In
 buckets that still hold several components a link can only be found in what members
 share besides the common part: there the prefix filter over all shingles of these
-texts, rarest first, with the bounds that sizes and positions set, gives every
+texts, rarest first, with the bounds that sizes, positions and parities set, gives every
 remaining candidate exactly. Every candidate is verified on whole shingle sets.
 
 Cases: null and empty texts have no words, fingerprint zero and an empty shingle
@@ -47,12 +47,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, components, dropped, map_rows, shuffles, spare, written
+from .parity import flipped, names, parities, unpacked
 
 SEGMENTS, SEGMENT_BITS = 16, 4
 #: Sub-bag fingerprints of a text, and shingles in each.
 TABLES, SUB_BAG = 20, 5
 #: Pairs whose smaller set has so many shingles at most are found exactly.
 SHORT = 40
+#: Long words of the parities by which candidates of the prefix filter are told apart.
+PARITY_WORDS = 8
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -227,18 +230,23 @@ def _leaders(rows: DataFrame) -> DataFrame:
 
 
 def _rest(open_sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(tkey, other): all pairs of open_sets(tkey, shingles) with different roots that may
-    have this similarity, by the prefix filter with size and position bounds."""
+    """(tkey, other): all pairs of open_sets(tkey, shingles, parity) with different roots that may
+    have this similarity, by the prefix filter with size and position bounds, and by parities: two sets
+    have other parities in no more buckets than they may differ in shingles. Texts that are put together
+    from common passages meet in these, but their parities tell them apart before they become pairs."""
     own = prefixes(open_sets, similarity).join(roots.hint("merge"), "tkey")
+    own = own.join(open_sets.select("tkey", *unpacked("parity", PARITY_WORDS)).hint("merge"), "tkey")
     own = written(open_sets.sparkSession, own, "simhash-prefixes")
     by_root = own.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"))
     major = by_root.groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
     # what the largest component of a shingle shares with itself needs no pair
     asks = own.join(major.select("shingle", F.col("m.root").alias("major")).hint("merge"), "shingle").where("root <> major")
-    asks = asks.select("shingle", *(F.col(c).alias(f"a_{c}") for c in ("tkey", "n", "pos", "root")))
+    asks = asks.select("shingle", *(F.col(c).alias(f"a_{c}") for c in ("tkey", "n", "pos", "root", *names(PARITY_WORDS))))
     both = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("a_n")) - 1e-9)  # shingles in common, at least
     most = F.least(F.col("n") - F.col("pos"), F.col("a_n") - F.col("a_pos")) + 1  # if this one is the first
-    found = own.join(asks.hint("merge"), "shingle").where((F.col("root") != F.col("a_root")) & (most >= both))
+    apart = F.col("n") + F.col("a_n") - 2 * both
+    close = (most >= both) & (flipped("a_", PARITY_WORDS) <= apart)
+    found = own.join(asks.hint("merge"), "shingle").where((F.col("root") != F.col("a_root")) & close)
     pairs = found.select(F.least("tkey", "a_tkey").alias("tkey"), F.greatest("tkey", "a_tkey").alias("other")).distinct()
     out = written(open_sets.sparkSession, pairs, "simhash-pairs")
     dropped(open_sets.sparkSession, own)
@@ -321,7 +329,7 @@ def near_duplicates(
         ends = _leaders(rows)
     roots = written(spark, rows.select("tkey", "root").distinct(), "simhash-open")
     open_sets = sets.join(roots.select("tkey").hint("merge"), "tkey", "left_semi")
-    list_pa = pa.schema([("tkey", pa.binary()), ("shingles", longs)])
+    list_pa = pa.schema([("tkey", pa.binary()), ("shingles", longs), ("parity", longs)])
 
     def to_lists(batches):
         for b in batches:
@@ -330,9 +338,10 @@ def near_duplicates(
                 own = [np.frombuffer(x.as_buffer(), np.int64) for x in raw]
                 ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))
-                yield pa.RecordBatch.from_arrays([keys, lists], schema=list_pa)
+                odd = pa.array([parities(x.view(np.uint64), PARITY_WORDS) for x in own], longs)
+                yield pa.RecordBatch.from_arrays([keys, lists, odd], schema=list_pa)
 
-    open_sets = open_sets.mapInArrow(to_lists, "tkey binary, shingles array<long>")
+    open_sets = open_sets.mapInArrow(to_lists, "tkey binary, shingles array<long>, parity array<long>")
     open_sets = written(spark, open_sets, "simhash-lists")
     good.append(verified(_rest(open_sets, roots, similarity)))
     edges = reduce(DataFrame.union, good).select(F.col("tkey").alias("a"), F.col("other").alias("b"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from changelens.llm import fill_middle, hard_negatives, jaccard_join
+from changelens.llm import fill_middle, hard_negatives, jaccard_join, parity, simhash
 
 ODD = [(1, None), (2, ""), (3, "a"), (4, " \n\t "), (5, "Same text here. " * 20), (6, "Same text here. " * 20), (None, "no id é"), (7, "x1 " * 20_000), (8, "\x00\x1c ▁<s>日本 😀"), (5, "Same text here. " * 20)]
 CLASH = ("output", "n", "form", "x", "uid", "v", "tkey", "bag", "root", "skey", "need", "parts", "shingles", "text_key", "score")
@@ -217,13 +217,17 @@ def test_products_of_blocks(monkeypatch):
     assert jaccard_join.overlaps(left, right).tolist() == want
 
 
-def test_templates_meet_in_few_parts():
-    """Texts of 15 of 30 passages, none near another: the pairs that share enough parts stay few."""
+def test_templates_become_few_pairs():
+    """Texts of 15 of 30 passages, none near another: of the pairs that share enough parts almost none has parities near enough."""
     rng = np.random.default_rng(6)
     passages = [rng.integers(0, 2**63, 40).astype(np.uint64) for _ in range(30)]
-    keys = [set(jaccard_join.signatures(np.unique(np.concatenate([passages[i] for i in rng.choice(30, 15, False)])), 90)[1]) for _ in range(400)]
-    pairs = sum(len(a & b) >= jaccard_join.LEAST_PARTS for i, a in enumerate(keys) for b in keys[:i])
-    assert pairs <= 0.01 * 400 * 399 / 2
+    sets = [np.unique(np.concatenate([passages[i] for i in rng.choice(30, 15, False)])) for _ in range(400)]
+    keys = [set(jaccard_join.signatures(u, 90)[1]) for u in sets]
+    odd = [parity.parities(u) for u in sets]
+    flips = lambda x, y: sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(x, y))
+    met = [(i, j) for i in range(400) for j in range(i) if len(keys[i] & keys[j]) >= jaccard_join.LEAST_PARTS]
+    left = [(i, j) for i, j in met if flips(odd[i], odd[j]) <= jaccard_join.most_apart(len(sets[i]) + len(sets[j]), 90)]
+    assert met and len(left) <= 4
 
 
 def test_parities_bound_the_difference():
@@ -231,5 +235,19 @@ def test_parities_bound_the_difference():
     for _ in range(100):
         a = np.unique(rng.integers(0, 2**63, rng.integers(1, 300)).astype(np.uint64))
         b = np.unique(np.concatenate([a[rng.integers(0, 20) :], rng.integers(0, 2**63, rng.integers(0, 20)).astype(np.uint64)]))
-        flipped = sum((x ^ y).bit_count() if (x ^ y) >= 0 else ((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(jaccard_join.parities(a), jaccard_join.parities(b)))
+        flipped = sum((x ^ y).bit_count() if (x ^ y) >= 0 else ((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(parity.parities(a), parity.parities(b)))
         assert len(np.setxor1d(a, b)) - 12 <= flipped <= len(np.setxor1d(a, b))
+
+
+def test_candidates_of_templates_do_not_grow_with_their_square(spark):
+    """Texts of 15 of 30 common passages: no pair is near 0.8, and almost none becomes a candidate."""
+    rng = np.random.default_rng(4)
+    passages = [rng.integers(0, 2**62, 40) for _ in range(30)]
+    for n in (100, 200):
+        sets = [np.unique(np.concatenate([passages[i] for i in rng.choice(30, 15, False)])) for _ in range(n)]
+        rows = [(bytes([i // 256, i % 256]), s.tolist(), parity.parities(s.view(np.uint64), simhash.PARITY_WORDS)) for i, s in enumerate(sets)]
+        open_ = spark.createDataFrame(rows, "tkey BINARY, shingles ARRAY<LONG>, parity ARRAY<LONG>")
+        roots = open_.select("tkey", F.col("tkey").alias("root"))
+        got = {(bytes(r.tkey), bytes(r.other)) for r in simhash._rest(open_, roots, 0.8).collect()}
+        near = {(rows[i][0], rows[j][0]) for i in range(n) for j in range(i + 1, n) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+        assert near <= got and len(got) <= len(near) + n // 10
