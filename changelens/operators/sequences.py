@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -96,69 +96,104 @@ def running_before(df: DataFrame, keys: list[str], order: list[str], value: str)
     return df.withColumn("committed", F.coalesce(F.sum(value).over(w), F.lit(0.0)))
 
 
+class Fold:
+    """What a sequence is folded into: take() is given its rows in order, done() follows the last one."""
+
+    def take(self, row) -> Iterator[tuple]:
+        return iter(())
+
+    def done(self) -> Iterator[tuple]:
+        return iter(())
+
+
+def folded(df: DataFrame, keys: list[str], order: list[str], begin: Callable[[], Fold], out: str) -> DataFrame:
+    """Rows of each key, in order, through a fold of its own. Partitions are sorted by Spark, which spills, and
+    read in Arrow batches over which the fold is carried, so a key of any length takes the memory of one batch and its fold."""
+    names = [x.split()[0] for x in out.split(", ")]
+    # sequences of equal keys are whole in a partition; a key is one sequence by definition
+    own = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, fold = None, None
+        for frame in frames:
+            rows: list[tuple] = []
+            for r in frame.itertuples(index=False):
+                at = tuple(getattr(r, k) for k in keys)
+                if fold is None or at != key:
+                    if fold is not None:
+                        rows += fold.done()
+                    key, fold = at, begin()
+                rows += fold.take(r)
+            yield pd.DataFrame(rows, columns=names)
+        if fold is not None:
+            yield pd.DataFrame(list(fold.done()), columns=names)
+
+    return own.mapInPandas(run, out)
+
+
 RESERVED = "id LONG, granted BOOLEAN, refused_by STRING"
 
 
 def reservations(calls: DataFrame, total_cap: float, day_cap: float, run_cap: float) -> DataFrame:
     """calls(ledger, id, repo, day, run_id, usd) in order of id: a call is refused by the
-    first cap it would exceed (total, repository and day, run), and then adds nothing.
-    Each ledger is one sequence, so it is folded by one task."""
-
-    def fold(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("id")
-        total, days, runs = 0.0, {}, {}
-        out = []
-        for r in rows.itertuples(index=False):
-            day = (r.repo, r.day)
-            why = None
-            if total + r.usd > total_cap:
-                why = "total"
-            elif days.get(day, 0.0) + r.usd > day_cap:
-                why = "repo_day"
-            elif runs.get(r.run_id, 0.0) + r.usd > run_cap:
-                why = "run"
-            else:
-                total += r.usd
-                days[day] = days.get(day, 0.0) + r.usd
-                runs[r.run_id] = runs.get(r.run_id, 0.0) + r.usd
-            out.append((r.id, why is None, why))
-        yield pd.DataFrame(out, columns=["id", "granted", "refused_by"])
+    first cap it would exceed (total, repository and day, run), and then adds nothing."""
+
+    class Ledger(Fold):
+        def __init__(self) -> None:
+            self.spent: dict[tuple, float] = {}
 
-    return calls.groupBy("ledger").applyInPandas(lambda key, df: next(fold(key, iter([df]))), RESERVED)
+        def take(self, r):
+            scopes = (("total",), total_cap), (("repo_day", r.repo, r.day), day_cap), (("run", r.run_id), run_cap)
+            over = [scope[0] for scope, cap in scopes if self.spent.get(scope, 0.0) + r.usd > cap]
+            if not over:
+                self.spent |= {scope: self.spent.get(scope, 0.0) + r.usd for scope, _ in scopes}
+            yield r.id, not over, next(iter(over), None)
+
+    return folded(calls, ["ledger"], ["id"], Ledger, RESERVED)
 
 
 def excerpts(windows: DataFrame, budget: int) -> DataFrame:
     """windows(packet, side, pos, text): of each packet head windows, then base ones, while
     they fit the budget the sides share; a side ends at its first that does not."""
 
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        left, keep = budget, []
-        for side in ("head", "base"):
-            for r in df[df.side == side].sort_values("pos").itertuples(index=False):
-                if len(r.text) > left:
-                    break
-                left -= len(r.text)
-                keep.append((r.packet, r.side, r.pos, r.text))
-        return pd.DataFrame(keep, columns=["packet", "side", "pos", "text"])
+    class Packet(Fold):
+        def __init__(self) -> None:
+            self.left, self.ended = budget, set()
 
-    return windows.select("packet", "side", "pos", "text").groupBy("packet").applyInPandas(fold, windows.select("packet", "side", "pos", "text").schema)
+        def take(self, r):
+            if r.side not in self.ended and len(r.text) <= self.left:
+                self.left -= len(r.text)
+                yield r.packet, r.side, r.pos, r.text
+            else:
+                self.ended.add(r.side)
+
+    own = windows.select("packet", "side", "pos", "text").where(F.col("side").isin("head", "base"))
+    ddl = ", ".join(f"{c} {kind}" for c, kind in own.dtypes)
+    return folded(own.withColumn("_last", F.col("side") == "base"), ["packet"], ["_last", "pos"], Packet, ddl)
 
 
 def debounced(pushes: DataFrame, key: str, at: str, head: str, window_seconds: float) -> DataFrame:
     """Runs of pushes(key, at, head): a window opens at a push, stays open for its length
-    and runs the last head pushed in it; the next push opens another."""
-    out = f"{key} STRING, queued_at DOUBLE, {head} STRING, pushes INT"
-
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        rows: list[list] = []
-        for r in df.sort_values(at).to_dict("records"):
-            if rows and r[at] - rows[-1][1] < window_seconds:
-                rows[-1][2], rows[-1][3] = r[head], rows[-1][3] + 1
-            else:
-                rows.append([r[key], r[at], r[head], 1])
-        return pd.DataFrame(rows, columns=[key, "queued_at", head, "pushes"])
-
-    return pushes.select(key, at, head).groupBy(key).applyInPandas(fold, out)
+    and runs the last head pushed in it; the next push opens another. Of pushes at one time
+    the last by head is the last."""
+
+    class Windows(Fold):
+        def __init__(self) -> None:
+            self.held: tuple | None = None
+
+        def take(self, r):
+            own, now, last = getattr(r, key), getattr(r, at), getattr(r, head)
+            if self.held is not None and now - self.held[1] < window_seconds:
+                self.held = (*self.held[:2], last, self.held[3] + 1)
+                return
+            yield from self.done()
+            self.held = (own, now, last, 1)
+
+        def done(self):
+            if self.held is not None:
+                yield self.held
+
+    return folded(pushes.select(key, at, head), [key], [at, head], Windows, f"{key} STRING, queued_at DOUBLE, {head} STRING, pushes INT")
 
 
 def by_widest(df: DataFrame, value: str, out: str, keys: list[str]) -> DataFrame:

@@ -602,7 +602,17 @@ def superseded_runs(spark, d):
     return sequences.superseded(own).select("id", "superseded_by")
 
 
-@query()
+@query("""
+with recursive c as (
+  select user_id % 16 as ledger, event_id as id, user_id || '|' || cast(ts::date as varchar) as day, event_id % 50 as run, value as usd, row_number() over (partition by user_id % 16 order by event_id) as n from events),
+r as (
+  select ledger, cast(0 as bigint) as n, cast(0 as double) as total, map(cast([] as varchar[]), cast([] as double[])) as spent, cast(null as varchar) as why from (select distinct ledger from c)
+  union all
+  select ledger, n, case when w is null then total + usd else total end, case when w is null then map_concat(spent, map([day, 'r' || run], [d + usd, s + usd])) else spent end, coalesce(w, '')
+  from (select *, case when total + usd > 20000 then 'total' when d + usd > 400 then 'repo_day' when s + usd > 900 then 'run' end as w from (
+    select c.*, r.total, r.spent, coalesce(r.spent[c.day], 0) as d, coalesce(r.spent['r' || c.run], 0) as s from r join c on c.ledger = r.ledger and c.n = r.n + 1)))
+select c.id, r.why = '' as granted, nullif(r.why, '') as refused_by from r join c using (ledger, n)
+""")
 def budget_reservations(spark, d):
     own = read(spark, d, "events").select((F.col("user_id") % 16).alias("ledger"), F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("repo"), F.col("ts").cast("date").cast("string").alias("day"), (F.col("event_id") % 50).alias("run_id"), F.col("value").alias("usd"))
     return sequences.reservations(own, 20_000.0, 400.0, 900.0)
@@ -618,7 +628,14 @@ def token_cost(spark, d):
     return parts.select("id", usd.alias("usd"))
 
 
-@query()
+@query("""
+with recursive p as (
+  select cast(user_id as varchar) as key, floor(epoch(ts)) as t, cast(event_id as varchar) as head, row_number() over (partition by user_id order by floor(epoch(ts)), cast(event_id as varchar)) as n from events),
+r as (
+  select key, n, t as opened from p where n = 1
+  union all select p.key, p.n, case when p.t - r.opened < 3600 then r.opened else p.t end from r join p on p.key = r.key and p.n = r.n + 1)
+select key, cast(opened as double) as queued_at, arg_max(head, n) as head, cast(count(*) as integer) as pushes from r join p using (key, n) group by key, opened
+""")
 def debounced_pushes(spark, d):
     own = read(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.col("event_id").cast("string").alias("head"))
     return sequences.debounced(own, "key", "at", "head", 3600.0)

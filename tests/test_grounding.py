@@ -214,3 +214,38 @@ def test_reach_of_each_seed(spark):
             want |= {(s, n, h) for n, h in seen.items()}
         got = ancestry.reach_of_each(spark.createDataFrame(e, "caller STRING, callee STRING"), spark.createDataFrame([(s,) for s in seeds], "seed STRING"), hops)
         assert rows(got, "seed", "node", "hop") == sorted(want, key=repr)
+
+
+def test_folds_carry_over_batches(spark):
+    """Sequences longer than a batch, many keys in a partition, a key that ends with a batch."""
+    from changelens.operators import sequences
+
+    rng = random.Random(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        calls = [(f"l{i % 5}", i, f"r{rng.randint(0, 2)}", f"d{rng.randint(0, 3)}", f"u{rng.randint(0, 9)}", rng.randint(1, 9) / 2) for i in range(300)]
+        got = sequences.reservations(spark.createDataFrame(calls, "ledger STRING, id LONG, repo STRING, day STRING, run_id STRING, usd DOUBLE").repartition(3), 120.0, 40.0, 25.0)
+        want, spent = [], {}
+        for ledger, i, repo, day, run, usd in calls:
+            caps = {"total": (ledger, 120.0), "repo_day": ((ledger, repo, day), 40.0), "run": ((ledger, "run", run), 25.0)}
+            why = next((k for k, (s, cap) in caps.items() if spent.get(s, 0.0) + usd > cap), None)
+            for s, _ in caps.values():
+                spent[s] = spent.get(s, 0.0) + (usd if why is None else 0.0)
+            want.append((i, why is None, why))
+        assert rows(got, "id", "granted", "refused_by") == sorted(want, key=repr)
+        pushes = [(f"k{i % 3}", float(rng.randint(0, 400)), f"h{i:03}") for i in range(200)]
+        want = []
+        for k in ("k0", "k1", "k2"):
+            held = None
+            for _, at, head in sorted(p for p in pushes if p[0] == k):
+                if held and at - held[1] < 30:
+                    held = (k, held[1], head, held[3] + 1)
+                else:
+                    want += [held] if held else []
+                    held = (k, at, head, 1)
+            want.append(held)
+        got = sequences.debounced(spark.createDataFrame(pushes, "key STRING, at DOUBLE, head STRING"), "key", "at", "head", 30.0)
+        assert rows(got, "key", "queued_at", "head", "pushes") == sorted(want, key=repr)
+        assert sequences.debounced(spark.createDataFrame([], "key STRING, at DOUBLE, head STRING"), "key", "at", "head", 30.0).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
