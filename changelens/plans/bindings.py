@@ -362,12 +362,33 @@ def redact_email(spark, d):
     return own.select("doc_id", F.regexp_replace("text", text.EMAIL, "[REDACTED_EMAIL]").alias("text"))
 
 
-@query()
+def _masked(sql: str) -> str:
+    """The masks in SQL. Its patterns have no negative look-ahead, so for the one that has, a mark splits words of 40 hex digits."""
+    ahead = "(?![0-9a-f]{40}\\b)"
+    for pattern, mask in text.MASKS:
+        if ahead in pattern:
+            sql = f"regexp_replace({sql}, '\\b([0-9a-f]{{20}})([0-9a-f]{{20}})\\b', '\\1\u00a7\\2', 'g')"
+        pattern, mask, marked = pattern.replace(ahead, "").replace("'", "''"), mask.replace("$1", "\\1"), ahead in pattern
+        sql = f"regexp_replace({sql}, '{pattern}', '{mask}', 'g')"
+        sql = f"replace({sql}, '\u00a7', '')" if marked else sql
+    return sql
+
+
+@query(f"select doc_id, {_masked('text')} as text from documents")
 def redact(spark, d):
     return read(spark, d, "documents").select("doc_id", text.redact(F.col("text")).alias("text"))
 
 
-@query()
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+@query(rf"""
+with l as (select conv_id, turn, text, array_to_string([x for x in string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) if not starts_with(ltrim(x), '>')], chr(10)) as p from conversations),
+s as (select *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '(?s)```.*?```', ' ', 'g'), '@[\w-]+', ' ', 'g'), 'https?://\S+', ' ', 'g'), '\s+', ' ', 'g')) as c,
+  [w for w in regexp_extract_all(lower(regexp_replace(text, '`[^`]*`', ' ', 'g')), '[a-z][a-z0-9_]+') if w not in ({_STOP})] as stems from l)
+select conv_id, turn, case when regexp_matches(c, '{text.ACKNOWLEDGEMENT}') or len([w for w in string_split(trim(regexp_replace(regexp_replace(c, '`[^`]*`', ' ', 'g'), '\s+', ' ', 'g')), ' ') if w <> '']) < 4 then '' else c end as text,
+  cast(case when text is null then null else len(stems) + greatest(len(stems) - 1, 0) end as integer) as n_terms from s
+""")
 def clean_comments(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", text.clean_comment(F.col("text")).alias("text"), F.size(text.terms(F.col("text"))).alias("n_terms"))
 
