@@ -103,7 +103,7 @@ def lint_delta(base: DataFrame, head: DataFrame, cap: int | None = 25) -> DataFr
 
 
 def lint_set_delta(base: DataFrame, head: DataFrame) -> DataFrame:
-    return head.select(*LINT).subtract(base.select(*LINT)).orderBy(*LINT)
+    return head.select(*LINT).subtract(base.select(*LINT))
 
 
 def comparable_lint(sides: DataFrame) -> DataFrame:

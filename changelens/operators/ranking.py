@@ -107,7 +107,7 @@ def toolchain(markers: DataFrame, known: DataFrame) -> DataFrame:
     """(repo, toolchain): markers(repo, file, depth) against known(toolchain, pos, file); a
     marker at the root is worth 2, one level down 1; nothing found is generic."""
     worth = F.when(F.col("depth") == 0, 2).when(F.col("depth") == 1, 1).otherwise(0)
-    score = markers.join(F.broadcast(known), "file").groupBy("repo", "toolchain", "pos").agg(F.sum(worth).alias("s")).where("s > 0")
+    score = markers.join(known, "file").groupBy("repo", "toolchain", "pos").agg(F.sum(worth).alias("s")).where("s > 0")
     best = score.groupBy("repo").agg(F.max_by("toolchain", F.struct("s", -F.col("pos"))).alias("toolchain"))
     return markers.select("repo").distinct().join(best, "repo", "left").fillna("generic", ["toolchain"])
 

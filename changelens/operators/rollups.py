@@ -75,16 +75,17 @@ def module_rollup(files: DataFrame, commits: DataFrame, symbols: DataFrame, most
         F.sum("loc").alias("loc"),
         F.count(F.lit(1)).alias("files"),
         F.count_if("is_test").alias("test_files"),
-        F.slice(F.sort_array(F.collect_list("path")), 1, most_paths).alias("paths"),
     )
+    first = own.select("name", "path").withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("path"))).where(F.col("_n") <= most_paths)
+    paths = first.groupBy("name").agg(F.sort_array(F.collect_list("path")).alias("paths"))  # most_paths at most
     by_language = own.groupBy("name", "language").agg(F.sum("loc").alias("l"))
     language = by_language.groupBy("name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "l")))).alias("languages"))
     touched = own.select("name", "path").join(commits, "path")
     once = touched.groupBy("name", "path", "commit").agg(F.max(F.nullif("author", F.lit(""))).alias("author"))
     change = once.groupBy("name").agg(F.count(F.lit(1)).alias("commits"), F.countDistinct("author").alias("authors"))
     named = symbols.groupBy(module_of(F.col("file")).alias("name")).agg(F.count(F.lit(1)).alias("symbols"))
-    out = size.join(language, "name").join(change, "name", "left").join(named, "name", "left")
-    return out.fillna(0, ["commits", "authors", "symbols"]).orderBy(F.desc("loc"), "name")
+    out = size.join(language, "name").join(paths, "name").join(change, "name", "left").join(named, "name", "left")
+    return out.fillna(0, ["commits", "authors", "symbols"])
 
 
 def language_totals(files: DataFrame) -> DataFrame:

@@ -161,7 +161,11 @@ def lint_delta(spark, d):
 @query(_PERIODS + "(select fqn from h except select fqn from b) union (select fqn from b except select fqn from h)")
 def symmetric_difference(spark, d):
     base, head = _periods(spark, d)
-    return head.select("fqn").subtract(base.select("fqn")).union(base.select("fqn").subtract(head.select("fqn")))
+    kind = F.substring_index("fqn", ".", 1).alias("kind")  # a type, which has a name for each brand at most
+    sets = lambda x, name: x.groupBy(kind).agg(F.collect_set("fqn").alias(name))
+    both = sets(base, "b").join(sets(head, "h"), "kind", "full_outer")
+    none = F.array().cast("array<string>")
+    return both.select(F.explode(deltas.symmetric_difference(F.coalesce("b", none), F.coalesce("h", none))).alias("fqn"))
 
 
 @query("""
@@ -208,9 +212,16 @@ m as (select s.*, coalesce(commits, 0) as commits, coalesce(authors, 0) as autho
 """
 
 
-@query(_MODULES + "select name, loc, files, test_files, commits, authors, symbols from m")
+@query(_MODULES + """,
+l as (select name, string_agg(language || '=' || loc, ',' order by language) as languages from (
+  select name, case when loc % 2 = 0 then 'Python' else 'Go' end as language, sum(loc) as loc from f group by 1, 2) group by 1),
+p as (select name, array_to_string(list_sort(list(name || '/' || p_partkey || '.py'))[1:200], ',') as paths from f group by 1)
+select name, loc, files, test_files, commits, authors, symbols, languages, paths from m join l using (name) join p using (name)
+""")
 def module_rollup(spark, d):
-    return rollups.module_rollup(*_modules(spark, d)).select("name", "loc", "files", "test_files", "commits", "authors", "symbols")
+    pairs = F.transform(F.array_sort(F.map_entries("languages")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))
+    own = rollups.module_rollup(*_modules(spark, d))
+    return own.select("name", "loc", "files", "test_files", "commits", "authors", "symbols", F.array_join(pairs, ",").alias("languages"), F.array_join("paths", ",").alias("paths"))
 
 
 @query(_MODULES + """
@@ -336,11 +347,11 @@ def running_commitment(spark, d):
 
 @query("""
 with r as (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) as n,
-  min((ts, event_id)) over (partition by user_id) as first from events where event_type = 'error')
+  min((ts, event_id)) over (partition by user_id) as first from events)
 select event_id, user_id, row_number() over (order by n, first) as turn from r
 """)
 def round_robin(spark, d):
-    e = read(spark, d, "events").where("event_type = 'error'").select("event_id", "user_id", "ts")
+    e = read(spark, d, "events").select("event_id", "user_id", "ts")
     return sequences.round_robin(e, "user_id", ["ts", "event_id"]).select("event_id", "user_id", F.col("turn").cast("long").alias("turn"))
 
 

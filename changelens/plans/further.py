@@ -626,13 +626,13 @@ def touched_first(spark, d):
 
 
 @query("""
-with m as (select p_brand as repo, (['a', 'b', 'c'])[p_size % 3 + 1] as file, case when p_partkey % 5 = 0 then 0 when p_partkey % 5 = 1 then 1 else 2 end as depth from part where p_size <> 50),
+with m as (select p_brand as repo, (['a', 'b', 'c'])[p_size % 3 + 1] as file, case when p_partkey % 5 = 0 then 0 when p_partkey % 5 = 1 then 1 else 2 end as depth from part),
 s as (select repo, case file when 'a' then 'python' when 'b' then 'go' end as toolchain, case file when 'a' then 0 else 1 end as pos, sum(case depth when 0 then 2 when 1 then 1 else 0 end) as s from m where file <> 'c' group by 1, 2, 3),
 b as (select repo, arg_max(toolchain, s * 10 - pos) as toolchain from s where s > 0 group by 1)
 select distinct m.repo, coalesce(b.toolchain, 'generic') as toolchain from m left join b using (repo)
 """)
 def toolchain(spark, d):
-    p = read(spark, d, "part").where("p_size <> 50")
+    p = read(spark, d, "part")
     file = F.element_at(F.array(*map(F.lit, "abc")), F.col("p_size") % 3 + 1)
     depth = F.when(F.col("p_partkey") % 5 == 0, 0).when(F.col("p_partkey") % 5 == 1, 1).otherwise(2)
     known = spark.createDataFrame([("python", 0, "a"), ("go", 1, "b")], "toolchain STRING, pos INT, file STRING")
