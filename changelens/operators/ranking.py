@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -112,8 +114,27 @@ def toolchain(markers: DataFrame, known: DataFrame) -> DataFrame:
     return markers.select("repo").distinct().join(best, "repo", "left").fillna("generic", ["toolchain"])
 
 
-def finding_rows(observations: DataFrame, nodes: dict[str, str]) -> DataFrame:
-    """Findings of a report in order: f0, f1, ... A run has a few hundred at most."""
+# Where in the code a finding's link points.
+PLACE = ("file", "line_start", "line_end", "url", "excerpt")
+LINK = "pr INT, run STRING, log_line INT, declared BOOLEAN, evidence_urls MAP<STRING, STRING>, file STRING, line_start INT, line_end INT, url STRING, excerpt STRING"
+
+
+def finding_rows(observations: DataFrame, nodes: dict[str, str], links: DataFrame | None = None) -> DataFrame:
+    """Findings of a report in order: f0, f1, ... A run has a few hundred at most. links(run_id, id, node, and the
+    columns of LINK as far as they are known) say for findings where they come from: their node comes
+    before that of the finding's kind, and their place becomes `where`."""
     w = Window.partitionBy("run_id").orderBy(F.desc("rank_score"), "id")
-    own = observations.withColumn("id", F.concat(F.lit("f"), (F.row_number().over(w) - 1).cast("string")))
-    return own.withColumn("node", F.try_element_at(literal_map(nodes), F.col("kind")))
+    own = observations.withColumn("_n", F.row_number().over(w) - 1)
+    node = F.try_element_at(literal_map(nodes), F.col("kind"))
+    if links is not None:
+        kinds = dict(part.strip().split(" ", 1) for part in re.split(r",\s(?=\w+ )", LINK))
+        known = [F.col(c).cast(k) if c in links.columns else F.lit(None).cast(k) for c, k in kinds.items()]
+        their = F.col("node") if "node" in links.columns else F.lit(None).cast("string")
+        link = links.select("run_id", "id", their.alias("_node"), *(k.alias(f"_{c}") for c, k in zip(kinds, known)))
+        own = own.join(link, ["run_id", "id"], "left").withColumn("where", F.struct(*(F.col(f"_{c}").alias(c) for c in PLACE)))
+        own = own.withColumns({c: F.col(f"_{c}") for c in kinds if c not in PLACE})
+        node = F.coalesce("_node", node)
+    own = own.withColumn("node", node).withColumn("id", F.concat(F.lit("f"), F.col("_n").cast("string")))
+    own = own.withColumns({c: F.round(c, 4) for c in ("confidence", "severity") if c in own.columns})
+    return own.drop(*(c for c in own.columns if c.startswith("_")))
+

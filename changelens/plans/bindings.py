@@ -599,12 +599,13 @@ def partial_upsert(spark, d):
 
 
 @query("""
-select o_custkey as nodeid, count(*) as total, count(*) filter (o_orderstatus = 'F') as failed, count(*) filter (o_orderstatus = 'O') as passed from orders group by 1
+select o_custkey as nodeid, count(*) as total, count(*) filter (o_orderstatus = 'F') as failed, count(*) filter (o_orderstatus = 'O') as passed, count(*) filter (o_orderstatus not in ('F', 'O')) as skipped,
+  coalesce(string_agg(cast(o_orderkey as varchar), ',' order by cast(o_orderkey as varchar)) filter (o_orderstatus = 'F'), '') as failed_ids from orders group by 1
 """)
 def sandbox_rollup(spark, d):
     status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "passed").otherwise("skipped")
     own = read(spark, d, "orders").select(F.col("o_custkey").alias("run_id"), F.lit("head").alias("side"), status.alias("status"), F.col("o_orderkey").cast("string").alias("nodeid"))
-    return rollups.sandbox_rollup(own).select(F.col("run_id").alias("nodeid"), "total", "failed", "passed")
+    return rollups.sandbox_rollup(own).select(F.col("run_id").alias("nodeid"), "total", "failed", "passed", "skipped", F.array_join("failed_ids", ",").alias("failed_ids"))
 
 
 @query("""

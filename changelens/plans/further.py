@@ -640,12 +640,17 @@ def toolchain(spark, d):
 
 
 @query(f"""
-with {_OBS}, o as (select run_id, id, max(kind) as kind, max(rank_score) as rank_score from obs group by 1, 2)
-select run_id, 'f' || (row_number() over (partition by run_id order by rank_score desc, id) - 1) as id, kind, case kind when 'timeout' then 'suite' end as node from o
+with {_OBS}, o as (select run_id, id, max(kind) as kind, max(rank_score) as rank_score, max(confidence) as confidence from obs group by 1, 2)
+select run_id, 'f' || (row_number() over (partition by run_id order by rank_score desc, id) - 1) as id, kind, confidence,
+  case when id % 3 = 0 then 'seen' when kind = 'timeout' then 'suite' end as node, case when id % 3 = 0 then cast(run_id % 1000 as integer) end as pr,
+  case when id % 3 = 0 then 'src/' || id || '.py' end as file, case when id % 3 = 0 then cast(id % 90 as integer) end as line_start from o
 """)
 def finding_rows(spark, d):
-    own = _obs(spark, d).groupBy("run_id", "id").agg(F.max("kind").alias("kind"), F.max("rank_score").alias("rank_score"))
-    return ranking.finding_rows(own, {"timeout": "suite"}).select("run_id", "id", "kind", "node")
+    own = _obs(spark, d).groupBy("run_id", "id").agg(F.max("kind").alias("kind"), F.max("rank_score").alias("rank_score"), F.max("confidence").alias("confidence"))
+    file = F.concat(F.lit("src/"), F.col("id").cast("string"), F.lit(".py"))
+    links = own.where("id % 3 = 0").select("run_id", "id", F.lit("seen").alias("node"), (F.col("run_id") % 1000).alias("pr"), file.alias("file"), (F.col("id") % 90).alias("line_start"))
+    out = ranking.finding_rows(own, {"timeout": "suite"}, links)
+    return out.select("run_id", "id", "kind", "confidence", "node", "pr", F.col("where.file").alias("file"), F.col("where.line_start").alias("line_start"))
 
 
 # ---- findings ---------------------------------------------------------------
