@@ -515,8 +515,8 @@ j as (select repo, b.v as bv, a.v as av, len(b.api) as had,
   len(list_filter(b.dep, lambda x: not list_contains(a.dep, x))) as gone, len(list_filter(a.dep, lambda x: not list_contains(b.dep, x))) as new,
   len(list_filter(b.std, lambda x: not list_contains(a.std, x))) + len(list_filter(a.std, lambda x: not list_contains(b.std, x))) as tools
   from b join a using (repo))
-select repo, 'public_api_removed' as kind, case when lost / had >= 0.1 or lost >= 10 then 'major' else 'notable' end as level from j where lost > 0 union all
-select repo, 'public_api_added', case when won / had >= 0.25 then 'notable' else 'minor' end from j where won > 0 union all
+select repo, 'public_api_removed' as kind, case when lost / had >= 0.2 or lost >= 10 then 'major' else 'notable' end as level from j where lost > 0 union all
+select repo, 'public_api_added', case when won / had >= 0.3 then 'notable' else 'minor' end from j where won > 0 union all
 select repo, 'dependencies_removed', 'notable' from j where gone > 0 union all
 select repo, 'dependencies_added', case when new >= 3 then 'notable' else 'minor' end from j where new > 0 union all
 select repo, 'standards', 'minor' from j where tools > 0 union all

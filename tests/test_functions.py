@@ -157,3 +157,16 @@ def test_failure_blocks_and_split_tests(spark):
 def test_config():
     s = load('unknown = 1\nmax_comments = 3\n[prices]\nm = [1.0, 2.0]\n[limits]\napi_removed_major_count = 2\nother = 1')
     assert s.max_comments == 3 and s.prices == {"m": (1.0, 2.0)} and s.limits.api_removed_major_count == 2
+
+
+def test_settings():
+    from changelens.sources import config
+
+    plain = config.load()
+    assert (plain.charter.api_removed_major_fraction, plain.charter.purpose_notable_similarity, plain.server.max_queue_depth, plain.brain.max_comments) == (0.2, 0.9, 200, 1500)
+    text = '[charter]\nwebhook_min_level = "notable"\nnew_key = 1\n[models.prices]\na = [1, 2]\nb = [1]\n[[repos]]\nslug = "o/r"\npackage_roots = "src/r"\n[[repos]]\nnote = 1\n[target]\nslug = "o/t"\npackage_root = ["p"]\n'
+    own = config.load(text, config.Settings(models=config.Models(prices={"a": (9.0, 9.0), "c": (3.0, 4.0)})))
+    assert own.charter.webhook_min_level == "notable" and own.charter.api_removed_major_count == 10
+    assert own.models.prices == {"a": (1.0, 2.0), "c": (3.0, 4.0)}
+    assert [(r.slug, r.package_roots) for r in own.repos] == [("o/r", ("src/r",)), ("o/t", ("p",))]
+    assert own.repo("o/x") == config.Repository("o/x") and own.repo("o/r").watch
