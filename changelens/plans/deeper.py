@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from changelens.operators import ancestry, charter, graph, grounding, lookups
+from changelens.functions import text
+from changelens.operators import ancestry, charter, graph, grounding, lookups, mining
 from changelens.plans.bindings import query, read
 from changelens.session import scratch
 from changelens.sources import files
@@ -341,3 +342,69 @@ def raised_once(spark, d):
         stream = spark.readStream.schema(signals.schema).parquet(f"{place}/in")
         events.run_available(events.raised(stream, stored, "major"), f"{place}/out", f"{place}/state")
     return spark.read.schema("id STRING, deliver BOOLEAN").parquet(f"{place}/out")
+
+
+@query("""
+with c as (select c_custkey as repo, c_custkey as n from customer)
+select repo, 'toolchain' as kind, 'major' as level from c where n % 3 = 0
+union all select repo, 'license', 'major' from c where n % 4 = 0
+union all select repo, 'version', case n % 5 when 0 then 'major' when 1 then 'minor' else 'notable' end from c where n % 5 < 3
+union all select repo, 'entry_points', 'major' from c where n % 2 = 0
+union all select repo, 'entry_points', 'notable' from c where n % 7 = 0
+union all select repo, 'purpose', case n % 6 when 0 then 'notable' else 'major' end from c where n % 6 < 2
+union all select repo, 'public_api_removed', case when n % 4 >= 2 then 'major' else 'notable' end from c where n % 4 > 0
+union all select repo, 'public_api_added', case when n % 6 >= 3 then 'notable' else 'minor' end from c where n % 6 > 0
+union all select repo, 'modules_removed', case when n % 4 >= 3 then 'major' else 'notable' end from c where n % 4 > 0
+union all select repo, 'modules_added', case when n % 5 >= 3 then 'notable' else 'minor' end from c where n % 5 > 0
+union all select repo, 'dependencies_removed', 'notable' from c where n % 8 = 0
+union all select repo, 'dependencies_added', case when n % 5 >= 3 then 'notable' else 'minor' end from c where n % 5 > 0
+union all select repo, 'standards', 'minor' from c where n % 9 = 0
+union all select repo, 'non_goals', 'notable' from c where n % 10 = 0
+union all select repo, 'non_goals', 'minor' from c where n % 11 = 0
+union all select repo, 'constraints', 'notable' from c where n % 12 = 0
+union all select repo, 'constraints', 'minor' from c where n % 13 = 0
+""")
+def drift_of_all_kinds(spark, d):
+    """Each customer is a repository whose description departs in every way that there is, by its key."""
+    n = F.col("c_custkey")
+    c = read(spark, d, "customer")
+
+    def some(name, least, count, extra=None):
+        """name least, ..., as many as count says."""
+        own = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit(name), (i + least).cast("string")))
+        own = F.filter(own, lambda x, i: i < count)
+        return own if extra is None else F.concat(own, extra)
+
+    module = lambda names: F.transform(names, lambda m: F.struct(m.alias("module"), F.lit("d").alias("doc"), F.lit("s").alias("source")))
+    said = lambda when, text: F.when(when, F.array(F.struct(F.lit("constraint").alias("kind"), F.lit(text).alias("text"), F.lit("s").alias("source")))).otherwise(F.array())
+    always, none = F.lit(True), F.array().cast("array<string>")
+    version = F.element_at(F.array(*map(F.lit, ("2.0.0", "1.3.0", "1.1.0", "1.2.0", "1.2.0"))), (n % 5 + 1).cast("int"))
+    before = c.select(
+        n.alias("repo"), F.lit("a").alias("sha"), F.lit("python").alias("toolchain"), F.lit("MIT").alias("license"), F.lit("1.2.0").alias("version"),
+        F.array(F.lit("a = m:f"), F.lit("b = m:g")).alias("entry_points"), some("api", 0, F.lit(10)).alias("public_api"), F.lit("aaaa").alias("summary"),
+        F.concat(said(always, "Not a goal: x"), said(always, "rule a")).alias("claims"), module(some("m", 0, F.lit(4))).alias("modules"),
+        F.array(F.lit("x"), F.lit("y")).alias("dependencies"), F.array(F.lit("ruff")).alias("standards"),
+    )
+    points = F.concat(F.array(F.lit("a = m:f")), F.when(n % 2 != 0, F.array(F.lit("b = m:g"))).otherwise(none), F.when(n % 7 == 0, F.array(F.lit("c = m:h"))).otherwise(none))
+    after = c.select(
+        n.alias("repo"), F.lit("b").alias("sha"), F.when(n % 3 == 0, "node").otherwise("python").alias("toolchain"),
+        F.when(n % 4 == 0, "BSD").when(n % 4 == 1, "").otherwise("MIT").alias("license"), version.alias("version"), points.alias("entry_points"),
+        some("api", 0, 10 - n % 4, some("new", 0, n % 6)).alias("public_api"), F.when(n % 6 == 0, "").when(n % 6 == 1, "zzzz").otherwise("aaaa").alias("summary"),
+        F.concat(said(n % 10 != 0, "Not a goal: x"), said(n % 11 == 0, "Not a goal: y"), said(n % 12 != 0, "rule a"), said(n % 13 == 0, "rule b")).alias("claims"),
+        module(some("m", 0, 4 - n % 4, some("new", 0, n % 5))).alias("modules"),
+        F.concat(F.array(F.lit("x")), F.when(n % 8 != 0, F.array(F.lit("y"))).otherwise(none), some("dep", 0, n % 5)).alias("dependencies"),
+        F.when(n % 9 == 0, F.array(F.lit("ruff"), F.lit("mypy"))).otherwise(F.array(F.lit("ruff"))).alias("standards"),
+    )
+    return charter.drift(before, after).select("repo", "kind", "level")
+
+
+@query(f"""
+with t as (select conv_id, turn, [case when length(w) > 4 then regexp_replace(w, '(ing|ed|es|s)$', '') else w end
+    for w in regexp_extract_all(lower(regexp_replace(text, '`[^`]*`', ' ', 'g')), '[a-z][a-z0-9_]+') if w not in ({', '.join(f"'{w}'" for w in text.STOP_WORDS)})] as s from conversations),
+e as (select conv_id * 1000 + turn as id, unnest(list_concat(s, [s[i] || ' ' || s[i + 1] for i in range(1, len(s))])) as term from t),
+tf as (select id, term, count(*) as tf from e group by 1, 2), df as (select term, count(*) as df from tf group by 1)
+select id, term, round((1 + ln(tf)) * (ln((1 + (select count(*) from conversations)) / (1 + df)) + 1), 6) as weight from tf join df using (term)
+""")
+def terms_of_turns(spark, d):
+    own = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return mining.tfidf(own, key="id").withColumn("weight", F.round("weight", 6))
