@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from changelens.functions import text
+from changelens.functions import parse, text
 from changelens.operators import ancestry, charter, graph, grounding, lookups, mining
 from changelens.plans.bindings import query, read
 from changelens.session import scratch
@@ -408,3 +408,76 @@ select id, term, round((1 + ln(tf)) * (ln((1 + (select count(*) from conversatio
 def terms_of_turns(spark, d):
     own = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return mining.tfidf(own, key="id").withColumn("weight", F.round("weight", 6))
+
+
+# ---- outputs of tools -------------------------------------------------------
+
+
+@query("""
+select p_partkey as id, 't.py::a' || p_partkey as nodeid, 'passed' as status from part where p_partkey % 3 = 0
+union all select p_partkey, 't.py::b', case when p_size % 2 = 0 then 'failed' else 'error' end from part where p_partkey % 3 = 0
+union all select p_partkey, 'pkg::T' || p_size, 'failed' from part where p_partkey % 3 = 1
+union all select p_partkey, 'f' || p_size || '.js::suite > does', 'skipped' from part where p_partkey % 3 = 2
+""")
+def parsed_tests(spark, d):
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    status = F.when(F.col("p_size") % 2 == 0, "failed").otherwise("error")
+    pytest = F.concat(F.lit('collected {2} items\n{"x": 1} {"tests": [{"nodeid": "t.py::a'), k, F.lit('", "outcome": "passed"}, {"nodeid": "t.py::b", "outcome": "'), status, F.lit('"}]}\ndone'))
+    go = F.concat(F.lit('{"Action":"run","Package":"pkg","Test":"T'), size, F.lit('"}\nno json\n{"Action":"pass","Package":"pkg"}\n{"Action":"fail","Package":"pkg","Test":"T'), size, F.lit('"}'))
+    jest = F.concat(F.lit('> run\n{"testResults":[{"name":"f'), size, F.lit('.js","assertionResults":[{"ancestorTitles":["suite"],"title":"does","status":"pending"}]}]}'))
+    turn = F.col("p_partkey") % 3
+    own = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(turn == 0, "pytest").when(turn == 1, "go").otherwise("jest").alias("parser"), F.when(turn == 0, pytest).when(turn == 1, go).otherwise(jest).alias("raw"))
+    return parse.parsed(own, "test")
+
+
+@query("""
+select p_partkey as id, 'a' || p_size || '.py' as path, 'E' || p_size as code, p_name as message from part where p_partkey % 5 = 0
+union all select p_partkey, 'b.js', case when p_size % 2 = 0 then 'rule-' || p_size else 'eslint' end, 'said' from part where p_partkey % 5 = 1
+union all select p_partkey, 'c' || p_size || '.ts', 'TS' || (1000 + p_size), 'wrong type' from part where p_partkey % 5 = 2
+union all select p_partkey, 'd.py', case when p_size % 2 = 0 then 'arg-type' else 'error' end, 'bad' from part where p_partkey % 5 = 3
+union all select p_partkey, 'e.go', 'vet', 'unreachable [code]' from part where p_partkey % 5 = 4
+""")
+def parsed_lints(spark, d):
+    size, even = F.col("p_size").cast("string"), F.col("p_size") % 2 == 0
+    raws = (
+        ("ruff", F.concat(F.lit('[{"filename": "a'), size, F.lit('.py", "code": "E'), size, F.lit('", "message": "'), F.col("p_name"), F.lit('"}]'))),
+        ("eslint", F.concat(F.lit('[{"filePath": "b.js", "messages": [{"ruleId": '), F.when(even, F.concat(F.lit('"rule-'), size, F.lit('"'))).otherwise("null"), F.lit(', "message": "said"}]}, {"filePath": "z.js"}]'))),
+        ("tsc", F.concat(F.lit("Starting\nc"), size, F.lit(".ts(3,14): error TS"), (F.col("p_size") + 1000).cast("string"), F.lit(": wrong type\n"))),
+        ("mypy", F.concat(F.lit("d.py:7:1: error: bad"), F.when(even, "  [arg-type]").otherwise(""), F.lit("\nd.py:8: note: see\nFound 1 error"))),
+        ("vet", F.lit("# pkg\ne.go:3:4: unreachable [code]\n")),
+    )
+    turn = F.col("p_partkey") % 5
+    pick = lambda i: F.element_at(F.array(*(F.lit(r[i]) if isinstance(r[i], str) else r[i] for r in raws)), (turn + 1).cast("int"))
+    return parse.parsed(read(spark, d, "part").select(F.col("p_partkey").alias("id"), pick(0).alias("parser"), pick(1).alias("raw")), "lint")
+
+
+@query("""
+select p_partkey as id, case p_partkey % 6 when 0 then '>=' || v || ',<' || (p_size + 1) when 1 then '>=' || v || ',<' || p_size || '.3' when 2 then '==' || v when 3 then '>=' || v || ',<99' when 4 then '' else '==' || v || '.1' end as specifier
+from (select *, p_size || '.2' as v from part)
+""")
+def specifiers(spark, d):
+    v = F.concat(F.col("p_size").cast("string"), F.lit(".2"))
+    forms = (F.concat(F.lit("^"), v), F.concat(F.lit("~"), v, F.lit("")), v, F.concat(F.lit(" >="), v, F.lit(", <99")), F.lit("*"), F.concat(F.lit("= "), v, F.lit(".1")))
+    spec = F.element_at(F.array(*forms), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), parse.specifier(spec).alias("specifier"))
+
+
+@query("""
+select o_orderkey as id, 'test_' || o_custkey as name, 'E  ' || o_orderstatus || chr(10) || 'f.py:' || (o_orderkey % 50) as text from orders
+union all select o_orderkey, 'T.second', 'boom' from orders where o_orderkey % 3 = 0
+""")
+def failures_of_logs(spark, d):
+    key = F.col("o_orderkey")
+    second = F.when(key % 3 == 0, "\n_____ T.second _____\nboom").otherwise("")
+    text = F.concat(F.lit("=== FAILURES ===\n______ test_"), F.col("o_custkey").cast("string"), F.lit(" ______\nE  "), F.col("o_orderstatus"), F.lit("\nf.py:"), (key % 50).cast("string"), second, F.lit("\n==== short summary ====\nFAILED x"))
+    return parse.failure_blocks(read(spark, d, "orders").select(key.alias("id"), text.alias("text")), "id").select("id", "name", "text")
+
+
+@query("""
+select event_id, '{"a":' || event_id || ',"b":["' || event_type || '"]}' as answer from events where event_id % 4 <> 3 union all select event_id, null from events where event_id % 4 = 3
+""")
+def answers_in_text(spark, d):
+    own = F.concat(F.lit('{"b": ["'), F.col("event_type"), F.lit('"], "a": '), F.col("event_id").cast("string"), F.lit("}"))
+    turn = F.col("event_id") % 4
+    text = F.when(turn == 0, own).when(turn == 1, F.concat(F.lit("So {that} is\n```json\n"), own, F.lit("\n```\n{}"))).when(turn == 2, F.concat(F.lit("[1] { no } "), own, F.lit(" {")))
+    return read(spark, d, "events").select("event_id", parse.first_json(F.coalesce(text, F.lit("nothing {here"))).alias("answer"))
