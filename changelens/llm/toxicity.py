@@ -193,6 +193,8 @@ def _word_sums(words: list[str], keys: np.ndarray, ratios: np.ndarray) -> np.nda
     is unknown, by keys (sorted XXH64, seed 42) and their ratios."""
     from xxhash import xxh64_intdigest as xxh
 
+    if not len(keys):  # a block that no history was dealt to
+        return np.zeros(len(words))
     grams = [g for w in words for g in _grams(w)]
     of = np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
     h = np.array([xxh(g.encode(), 42) for g in grams], np.uint64)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from changelens.llm import fill_middle, hard_negatives, jaccard_join, parity, simhash
+from changelens.llm import fill_middle, hard_negatives, jaccard_join, parity, simhash, toxicity
 
 ODD = [(1, None), (2, ""), (3, "a"), (4, " \n\t "), (5, "Same text here. " * 20), (6, "Same text here. " * 20), (None, "no id é"), (7, "x1 " * 20_000), (8, "\x00\x1c ▁<s>日本 😀"), (5, "Same text here. " * 20)]
 CLASH = ("output", "n", "form", "x", "uid", "v", "tkey", "bag", "root", "skey", "need", "parts", "shingles", "text_key", "score")
@@ -251,3 +251,14 @@ def test_candidates_of_templates_do_not_grow_with_their_square(spark):
         got = {(bytes(r.tkey), bytes(r.other)) for r in simhash._rest(open_, roots, 0.8).collect()}
         near = {(rows[i][0], rows[j][0]) for i in range(n) for j in range(i + 1, n) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
         assert near <= got and len(got) <= len(near) + n // 10
+
+
+def test_blocks_without_grams_add_nothing(spark, monkeypatch):
+    """Many blocks and few histories: most blocks are empty, and the sums stay as they are."""
+    none = np.zeros(0, np.uint64)
+    assert toxicity._word_sums(["a", "bcd"], none, np.zeros(0)).tolist() == [0.0, 0.0]
+    docs = spark.createDataFrame([(i, "aa ab " * 3 if i % 2 else "ba bb " * 3) for i in range(40)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    want = sorted((r.doc_id, round(r.score, 9)) for r in toxicity.score(docs, labels).collect())
+    monkeypatch.setattr(toxicity, "BLOCK_GRAMS", 1)
+    assert sorted((r.doc_id, round(r.score, 9)) for r in toxicity.score(docs, labels).collect()) == want
