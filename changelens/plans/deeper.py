@@ -481,3 +481,65 @@ def answers_in_text(spark, d):
     turn = F.col("event_id") % 4
     text = F.when(turn == 0, own).when(turn == 1, F.concat(F.lit("So {that} is\n```json\n"), own, F.lit("\n```\n{}"))).when(turn == 2, F.concat(F.lit("[1] { no } "), own, F.lit(" {")))
     return read(spark, d, "events").select("event_id", parse.first_json(F.coalesce(text, F.lit("nothing {here"))).alias("answer"))
+
+
+# ---- more streams -----------------------------------------------------------
+
+
+def _landed(spark, own, parts, name):
+    """own in as many appended parts as there are conditions, and a stream of them, a file at a time."""
+    place = scratch(spark, name)
+    for part in parts:
+        own.where(part).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    return place, spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+
+
+@query("""
+select o_orderpriority as repo, cast(o_custkey as integer) as number, o_orderstatus as head_sha, before as previous from (
+  select *, lag(o_orderstatus) over (partition by o_orderpriority, o_custkey order by o_orderkey) as before from orders)
+where before is null or before <> o_orderstatus
+""")
+def heads_that_moved(spark, d):
+    """Polls land in three parts, so the last head of each pull is carried from batch to batch."""
+    own = read(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("repo"), F.col("o_custkey").cast("int").alias("number"), F.col("o_orderstatus").alias("head_sha"), F.col("o_orderkey").cast("double").alias("seen_at"),
+    )
+    low, high = (own.agg(F.expr(f"percentile_approx(seen_at, {p})")).first()[0] for p in (0.3, 0.7))
+    place, stream = _landed(spark, own, (F.col("seen_at") <= low, (F.col("seen_at") > low) & (F.col("seen_at") <= high), F.col("seen_at") > high), "polls")
+    events.run_available(events.moved_heads(stream), f"{place}/out", f"{place}/state")
+    return spark.read.schema("repo STRING, number INT, head_sha STRING, previous STRING").parquet(f"{place}/out")
+
+
+@query("""
+with recursive s as (
+  select cast(o_custkey as varchar) as run_id, o_orderkey as seq, case o_orderstatus when 'F' then 'done' when 'O' then 'queued' else 'base_run' end as state,
+    case o_orderstatus when 'F' then 8 when 'O' then 0 else 3 end as place, row_number() over (partition by o_custkey order by o_orderkey) as n from orders),
+r as (
+  select run_id, n, seq, cast(null as varchar) as prior, state, true as legal, state as now, place as at_place from s where n = 1
+  union all
+  select s.run_id, s.n, s.seq, r.now, s.state, r.now <> 'done' and s.place > r.at_place,
+    case when r.now <> 'done' and s.place > r.at_place then s.state else r.now end, case when r.now <> 'done' and s.place > r.at_place then s.place else r.at_place end
+  from r join s on s.run_id = r.run_id and s.n = r.n + 1)
+select run_id, seq, prior, state, legal from r
+""")
+def states_of_runs(spark, d):
+    own = read(spark, d, "orders").select(
+        F.col("o_custkey").cast("string").alias("run_id"), F.col("o_orderkey").cast("long").alias("seq"),
+        F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "queued").otherwise("base_run").alias("state"),
+    )
+    middle = own.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
+    place, stream = _landed(spark, own, (F.col("seq") <= middle, F.col("seq") > middle), "steps")
+    events.run_available(events.run_states(stream), f"{place}/out", f"{place}/state")
+    return spark.read.schema("run_id STRING, seq LONG, prior STRING, state STRING, legal BOOLEAN").parquet(f"{place}/out")
+
+
+@query("""
+select date_trunc('day', ts) as start, event_type, count(*) as n from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 hour from events) group by 1, 2
+""")
+def windows_that_closed(spark, d):
+    own = read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    middle = own.agg(F.expr("percentile_approx(ts, 0.5)")).first()[0]
+    place, stream = _landed(spark, own, (F.col("ts") <= F.lit(middle), F.col("ts") > F.lit(middle)), "windows")
+    events.run_available(events.tumbling(stream, "1 day", ["event_type"]), f"{place}/out", f"{place}/state")
+    out = spark.read.schema("start TIMESTAMP, end TIMESTAMP, event_type STRING, n LONG").parquet(f"{place}/out")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
