@@ -28,10 +28,14 @@ def report(observations: DataFrame, adjudications: DataFrame, suggestions: DataF
     return observations.join(a, "id", "left").join(s, "id", "left").join(n, "norm_id", "left").orderBy(F.desc("rank_score"), "id")
 
 
-def changed_symbols(symbols: DataFrame, spans: DataFrame) -> DataFrame:
-    """Symbols whose lines overlap a changed span of their file."""
-    hit = (F.col("s.file") == F.col("r.path")) & (F.col("s.line_start") <= F.col("r.end_line")) & (F.col("r.start_line") <= F.col("s.line_end"))
-    return symbols.alias("s").join(spans.alias("r"), hit, "left_semi")
+def changed_symbols(symbols: DataFrame, spans: DataFrame, cell: int = 128) -> DataFrame:
+    """Symbols whose lines overlap a changed span of their file. Both are filed under the cells of lines that they
+    touch, so that in a long file only neighbours are compared."""
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell)))
+    own = symbols.withColumn("_row", F.monotonically_increasing_id()).withColumn("_cell", cells(F.col("line_start"), F.col("line_end")))
+    their = spans.select("path", "start_line", "end_line").withColumn("_cell", cells(F.col("start_line"), F.col("end_line")))
+    hit = (F.col("s.file") == F.col("r.path")) & (F.col("s._cell") == F.col("r._cell")) & (F.col("s.line_start") <= F.col("r.end_line")) & (F.col("r.start_line") <= F.col("s.line_end"))
+    return own.alias("s").join(their.alias("r"), hit, "left_semi").dropDuplicates(["_row"]).drop("_row", "_cell")
 
 
 def lines_for(symbols: DataFrame, coverage: DataFrame) -> DataFrame:
