@@ -12,7 +12,7 @@ from changelens.functions import parse, text
 from changelens.operators import ancestry, charter, graph, grounding, lookups, mining
 from changelens.plans.bindings import query, read
 from changelens.session import scratch
-from changelens.sources import files
+from changelens.sources import files, metadata
 from changelens.streaming import events, replay
 
 # ---- citations and places ---------------------------------------------------
@@ -543,3 +543,54 @@ def windows_that_closed(spark, d):
     events.run_available(events.tumbling(stream, "1 day", ["event_type"]), f"{place}/out", f"{place}/state")
     out = spark.read.schema("start TIMESTAMP, end TIMESTAMP, event_type STRING, n LONG").parquet(f"{place}/out")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+# ---- manifests and trees ----------------------------------------------------
+
+
+@query("""
+with p as (select 'r' || p_partkey as repo, p_partkey as k, p_size as s, p_name as n from part)
+select repo, 'name' as field, 'n' || k as text, 'pyproject.toml:2' as source from p where k % 2 = 0
+union all select repo, 'version', '1.' || s, 'pyproject.toml:3' from p where k % 2 = 0
+union all select repo, 'summary', n, 'pyproject.toml:4' from p where k % 2 = 0
+union all select repo, 'target', 'Python >=3.' || (s % 10), 'pyproject.toml:5' from p where k % 2 = 0
+union all select repo, 'dependency', 'req-' || s, 'pyproject.toml:1' from p where k % 2 = 0
+union all select repo, 'entry_point', 'run' || s || ' = a:b', 'pyproject.toml:1' from p where k % 2 = 0
+union all select repo, 'capability', 'Command `run' || s || '` runs a:b', 'pyproject.toml:8' from p where k % 2 = 0
+union all select repo, 'name', 'n' || k, 'package.json:2' from p where k % 2 = 1
+union all select repo, 'license', 'L' || s, 'package.json:3' from p where k % 2 = 1
+union all select repo, 'target', 'node >' || s, 'package.json:4' from p where k % 2 = 1
+union all select repo, 'dependency', 'dep' || s, 'package.json:1' from p where k % 2 = 1
+""")
+def facts_of_manifests(spark, d):
+    p, k, s = read(spark, d, "part"), F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    toml = F.concat(
+        F.lit('[project]\nname = "n'), k, F.lit('"\nversion = "1.'), s, F.lit('"\ndescription = "'), F.col("p_name"), F.lit('"\nrequires-python = ">=3.'), (F.col("p_size") % 10).cast("string"),
+        F.lit('"\ndependencies = ["Req_'), s, F.lit('>=1"]\n[project.scripts]\nrun'), s, F.lit(' = "a:b"\n'),
+    )
+    node = F.concat(F.lit('{\n"name": "n'), k, F.lit('",\n"license": "L'), s, F.lit('",\n"engines": {"node": ">'), s, F.lit('"},\n"dependencies": {"Dep'), s, F.lit('": "1"}}'))
+    even = F.col("p_partkey") % 2 == 0
+    own = p.select(F.concat(F.lit("r"), k).alias("repo"), F.when(even, "pyproject.toml").otherwise("package.json").alias("path"), F.when(even, toml).otherwise(node).alias("content"))
+    return metadata.facts(own).select("repo", "field", "text", "source")
+
+
+@query("""
+select 'r' || p_partkey as repo, 'pytest>=' || p_size || ',<' || (p_size + 1) || case when p_partkey % 2 = 0 then '; ' else '' end || case when p_partkey % 2 = 0 then 'x[e]==' || p_size || ' ; (python_full_version >= ''3.8'')' else '' end as lines from part
+""")
+def requirements_of_manifests(spark, d):
+    k, s = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    group = F.when(F.col("p_partkey") % 2 == 0, "[tool.poetry.group.test.dependencies]\n").otherwise("[tool.poetry.dev-dependencies]\n")
+    extra = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('x = {version = "'), s, F.lit('", extras = ["e"], python = ">=3.8"}\n'))).otherwise('y = {path = "."}\n')
+    text = F.concat(group, F.lit('python = "^3.8"\npytest = "^'), s, F.lit('"\n'), extra)
+    own = read(spark, d, "part").select(F.concat(F.lit("r"), k).alias("repo"), F.lit("pyproject.toml").alias("path"), text.alias("content"))
+    return metadata.dev_requirements(own).select("repo", F.array_join("requirements", "; ").alias("lines"))
+
+
+@query("""
+with f as (select o_custkey as repo, case o_orderkey % 5 when 0 then 'ruff' when 1 then 'mypy' when 2 then 'ci' when 3 then 'eslint' end as s from orders)
+select repo, string_agg(distinct s, ',' order by s) as standards from f where s is not null group by 1
+""")
+def standards_of_trees(spark, d):
+    path = F.element_at(F.array(*map(F.lit, (".ruff.toml", "mypy.ini", ".github/workflows/a.yml", "eslint.config.js", "src/ruff.toml"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    own = charter.standards(read(spark, d, "orders").select(F.col("o_custkey").alias("repo"), path.alias("path")))
+    return own.select("repo", F.array_join("standards", ",").alias("standards"))
