@@ -594,3 +594,31 @@ def standards_of_trees(spark, d):
     path = F.element_at(F.array(*map(F.lit, (".ruff.toml", "mypy.ini", ".github/workflows/a.yml", "eslint.config.js", "src/ruff.toml"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
     own = charter.standards(read(spark, d, "orders").select(F.col("o_custkey").alias("repo"), path.alias("path")))
     return own.select("repo", F.array_join("standards", ",").alias("standards"))
+
+
+@query("""
+with o as (select l_orderkey * 10 + l_linenumber as id, l_linenumber as n, p_partkey as k, p_name as s, p_size % 7 <> 0 as there from lineitem join part on l_partkey = p_partkey)
+select id, case when not there then null when n in (1, 2, 5) then 'core' when n = 4 then 'peripheral' else 'supporting' end as relevance,
+  case when not there then null when n = 1 then 'changes what the program does — n' || k || ' is for: “' || substr(s, 1, 90) || '”'
+    when n = 2 then 'part of the public surface n' || k || ' exposes — in pkg' || k || '.core: “core” (s:2)' when n = 3 then 'not in the public surface this charter records'
+    when n = 4 then 'in tests/x.py, outside the product itself' when n = 5 then 'reached from the `run` command — in pkg' || k || ': “all” (s:1)'
+    else 'inside n' || k || '''s own code — in pkg' || k || ': “all” (s:1)' end as relevance_note
+from o
+""")
+def relevance_of_findings(spark, d):
+    k = F.col("p_partkey").cast("string")
+    pkg = F.concat(F.lit("pkg"), k)
+    module = lambda name, doc, source: F.struct(name.alias("module"), F.lit(doc).alias("doc"), F.lit(source).alias("source"))
+    parts = read(spark, d, "part")
+    charters = parts.where("p_size % 7 <> 0").select(
+        k.alias("repo"), F.concat(F.lit("n"), k).alias("name"), F.col("p_name").alias("summary"), F.array(F.concat(F.lit("run = "), pkg, F.lit(".cli:main"))).alias("entry_points"),
+        F.array(module(pkg, "all", "s:1"), module(F.concat(pkg, F.lit(".core")), "core", "s:2")).alias("modules"), F.array(F.concat(pkg, F.lit(".core.total"))).alias("public_api"),
+    )
+    n = F.col("l_linenumber")
+    pick = lambda *xs: F.element_at(F.array(*(F.lit(x) if isinstance(x, str) else x for x in xs)), F.least(n, F.lit(len(xs))).cast("int"))
+    own = read(spark, d, "lineitem").withColumnRenamed("l_partkey", "p_partkey").select(
+        (F.col("l_orderkey") * 10 + n).alias("id"), k.alias("repo"), pick("timeout", "api_change", "api_change", "lint_regression").alias("kind"),
+        pick("x", F.concat(pkg, F.lit(".core.total")), "other.f", "x", F.concat(pkg, F.lit(".cli:main")), F.lit(None).cast("string")).alias("symbol"), F.lit("c").alias("what_changed"),
+        pick("x/y.py::t", F.concat(F.lit("src/"), pkg, F.lit("/core.py:3")), "x.py:1", "tests/x.py:1", "q.py:1", F.concat(F.lit("src/"), pkg, F.lit("/a.py:1"))).alias("evidence_ref"),
+    )
+    return charter.grounded_each(own, charters).select("id", "relevance", "relevance_note")
