@@ -95,8 +95,11 @@ def lint_delta(base: DataFrame, head: DataFrame, cap: int | None = 25) -> DataFr
     from pyspark.sql.window import Window
 
     new = new.select(*keys, *LINT)
-    first = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*LINT)
-    kept = new.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= cap).drop("_n")
+    if keys:
+        first = Window.partitionBy(*keys).orderBy(*LINT)
+        kept = new.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= cap).drop("_n")
+    else:
+        kept = new.orderBy(*LINT).limit(cap)
     more = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
     note = F.format_string("%d more findings", F.col("n") - cap).alias("message")
     return kept.union(more.select(*keys, F.lit("").alias("path"), F.lit("more").alias("code"), note))

@@ -622,3 +622,24 @@ def relevance_of_findings(spark, d):
         pick("x/y.py::t", F.concat(F.lit("src/"), pkg, F.lit("/core.py:3")), "x.py:1", "tests/x.py:1", "q.py:1", F.concat(F.lit("src/"), pkg, F.lit("/a.py:1"))).alias("evidence_ref"),
     )
     return charter.grounded_each(own, charters).select("id", "relevance", "relevance_note")
+
+
+@query("""
+select p_partkey as id, 'Made of ' || p_name || '.' as first, 'see ' || p_name || ' and size ' || p_size as cleaned, 1 + p_size % 3 as line, 'req-' || p_size || '.x' as requirement from part
+""")
+def text_of_manuals(spark, d):
+    size, name = F.col("p_size").cast("string"), F.col("p_name")
+    lines = F.concat(F.repeat(F.lit("row\n"), (F.col("p_size") % 3).cast("int")), F.lit("x needle"), size, F.lit("\nneedle"), size)
+    return read(spark, d, "part").select(
+        F.col("p_partkey").alias("id"),
+        text.first_sentence(F.concat(F.lit("Made  of "), name, F.lit(".\nNot this. Nor that."))).alias("first"),
+        text.markdown_clean(F.concat(F.lit("**see** [`"), name, F.lit("`](http://h/"), size, F.lit(")  and _size_ "), size, F.lit("::"))).alias("cleaned"),
+        text.line_of(lines, F.concat(F.lit("needle"), size)).cast("long").alias("line"),
+        text.requirement_name(F.concat(F.lit("  Req_"), size, F.lit(".X >=1; python"))).alias("requirement"),
+    )
+
+
+@query("select o_custkey as id, 'f' || o_orderkey || '.py' as path from orders union select o_custkey, 'shared.py' from orders")
+def paths_of_diffs(spark, d):
+    name = F.concat(F.lit("f"), F.col("o_orderkey").cast("string"), F.lit(".py\n \nshared.py\n"))
+    return files.changed_paths(read(spark, d, "orders").select(F.col("o_custkey").alias("id"), name.alias("text")))
