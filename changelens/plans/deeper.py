@@ -486,12 +486,14 @@ def answers_in_text(spark, d):
 # ---- more streams -----------------------------------------------------------
 
 
-def _landed(spark, own, parts, name):
-    """own in as many appended parts as there are conditions, and a stream of them, a file at a time."""
+def _landed(spark, own, parts, name, step):
+    """Where the output of step(stream) is: own lands in as many appended parts as there are conditions, and after each
+    the stream takes up its state again and reads the part as one batch."""
     place = scratch(spark, name)
     for part in parts:
-        own.where(part).coalesce(1).write.mode("append").parquet(f"{place}/in")
-    return place, spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+        own.where(part).write.mode("append").parquet(f"{place}/in")
+        events.run_available(step(spark.readStream.schema(own.schema).parquet(f"{place}/in")), f"{place}/out", f"{place}/state")
+    return f"{place}/out"
 
 
 @query("""
@@ -505,9 +507,9 @@ def heads_that_moved(spark, d):
         F.col("o_orderpriority").alias("repo"), F.col("o_custkey").cast("int").alias("number"), F.col("o_orderstatus").alias("head_sha"), F.col("o_orderkey").cast("double").alias("seen_at"),
     )
     low, high = (own.agg(F.expr(f"percentile_approx(seen_at, {p})")).first()[0] for p in (0.3, 0.7))
-    place, stream = _landed(spark, own, (F.col("seen_at") <= low, (F.col("seen_at") > low) & (F.col("seen_at") <= high), F.col("seen_at") > high), "polls")
-    events.run_available(events.moved_heads(stream), f"{place}/out", f"{place}/state")
-    return spark.read.schema("repo STRING, number INT, head_sha STRING, previous STRING").parquet(f"{place}/out")
+    parts = (F.col("seen_at") <= low, (F.col("seen_at") > low) & (F.col("seen_at") <= high), F.col("seen_at") > high)
+    place = _landed(spark, own, parts, "polls", events.moved_heads)
+    return spark.read.schema("repo STRING, number INT, head_sha STRING, previous STRING").parquet(place)
 
 
 @query("""
@@ -528,9 +530,8 @@ def states_of_runs(spark, d):
         F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "queued").otherwise("base_run").alias("state"),
     )
     middle = own.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
-    place, stream = _landed(spark, own, (F.col("seq") <= middle, F.col("seq") > middle), "steps")
-    events.run_available(events.run_states(stream), f"{place}/out", f"{place}/state")
-    return spark.read.schema("run_id STRING, seq LONG, prior STRING, state STRING, legal BOOLEAN").parquet(f"{place}/out")
+    place = _landed(spark, own, (F.col("seq") <= middle, F.col("seq") > middle), "steps", events.run_states)
+    return spark.read.schema("run_id STRING, seq LONG, prior STRING, state STRING, legal BOOLEAN").parquet(place)
 
 
 @query("""
@@ -539,9 +540,8 @@ select date_trunc('day', ts) as start, event_type, count(*) as n from events whe
 def windows_that_closed(spark, d):
     own = read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     middle = own.agg(F.expr("percentile_approx(ts, 0.5)")).first()[0]
-    place, stream = _landed(spark, own, (F.col("ts") <= F.lit(middle), F.col("ts") > F.lit(middle)), "windows")
-    events.run_available(events.tumbling(stream, "1 day", ["event_type"]), f"{place}/out", f"{place}/state")
-    out = spark.read.schema("start TIMESTAMP, end TIMESTAMP, event_type STRING, n LONG").parquet(f"{place}/out")
+    place = _landed(spark, own, (F.col("ts") <= F.lit(middle), F.col("ts") > F.lit(middle)), "windows", lambda s: events.tumbling(s, "1 day", ["event_type"]))
+    out = spark.read.schema("start TIMESTAMP, end TIMESTAMP, event_type STRING, n LONG").parquet(place)
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 

@@ -49,46 +49,67 @@ def sessions(stream: DataFrame, gap: str, key: str, ts: str = "ts", delay: str =
     return own.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, "n")
 
 
+#: Groups whose keys share a call and a state: overhead is by group, not by key.
+GROUPS = 1024
+
+
+def _grouped(stream: DataFrame, *keys: str) -> DataFrame:
+    return stream.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(GROUPS)))
+
+
+def _ordered(frames: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
+    return pd.concat(list(frames)).sort_values(order, kind="stable")
+
+
 def moved_heads(polls: DataFrame) -> DataFrame:
     """polls(repo, number, head_sha, seen_at): a row whenever a pull is new or its head
-    moved; the last head of each pull is the state."""
+    moved; the last head of each pull is the state, kept for a group of pulls at once."""
     out = "repo STRING, number INT, head_sha STRING, previous STRING"
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("seen_at")
+        repos, numbers, heads = state.get if state.exists else ((), (), ())
+        last = dict(zip(zip(repos, numbers), heads))
+        rows = _ordered(frames, "seen_at")
         found = []
-        for r in rows.itertuples(index=False):
-            if r.head_sha != last:
-                found.append((key[0], key[1], r.head_sha, last))
-                last = r.head_sha
-        state.update((last,))
-        yield pd.DataFrame(found, columns=["repo", "number", "head_sha", "previous"])
+        # a column with nulls comes as floats
+        pulls = zip(rows["repo"].tolist(), (None if n != n else int(n) for n in rows["number"].tolist()))
+        for pull, head in zip(pulls, rows["head_sha"].tolist()):
+            before = last.get(pull)
+            if head != before:
+                found.append((*pull, head, before))
+            last[pull] = head
+        state.update(([r for r, _ in last], [n for _, n in last], list(last.values())))
+        yield pd.DataFrame(found, columns=["repo", "number", "head_sha", "previous"]).astype({"number": "Int32"})
 
-    return polls.groupBy("repo", "number").applyInPandasWithState(step, out, "head_sha STRING", "append", GroupStateTimeout.NoTimeout)
+    held = "repo ARRAY<STRING>, number ARRAY<INT>, head_sha ARRAY<STRING>"
+    return _grouped(polls, "repo", "number").groupBy("_group").applyInPandasWithState(step, out, held, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_states(events: DataFrame) -> DataFrame:
     """events(run_id, seq, state): each step with whether it is legal. A step that is not
-    leaves the state as it was; a run that is over stays so."""
+    leaves the state as it was; a run that is over stays so. A group of runs shares a state."""
     out = "run_id STRING, seq LONG, prior STRING, state STRING, legal BOOLEAN"
     place = {s: i for i, s in enumerate(RUN_STATES)}
 
     def step(key, frames, state: GroupState):
-        now = state.get[0] if state.exists else None
-        found = []
-        for r in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
+        held = dict(zip(*state.get)) if state.exists else {}
+        rows = _ordered(frames, "seq")
+        prior, legal = [], []
+        for run, then in zip(rows["run_id"].tolist(), rows["state"].tolist()):
+            now = held.get(run)
             ok = now is None or (
                 now not in TERMINAL_STATES
-                and (r.state in ("failed", "cancelled") or place.get(r.state, -1) > place.get(now, len(place)))
+                and (then in ("failed", "cancelled") or place.get(then, -1) > place.get(now, len(place)))
             )
-            found.append((key[0], r.seq, now, r.state, ok))
+            prior.append(now)
+            legal.append(ok)
             if ok:
-                now = r.state
-        state.update((now,))
-        yield pd.DataFrame(found, columns=["run_id", "seq", "prior", "state", "legal"])
+                held[run] = then
+        state.update((list(held), list(held.values())))
+        yield rows[["run_id", "seq"]].assign(prior=prior, state=rows["state"], legal=legal)
 
-    return events.groupBy("run_id").applyInPandasWithState(step, out, "state STRING", "append", GroupStateTimeout.NoTimeout)
+    own = _grouped(events, "run_id").groupBy("_group")
+    return own.applyInPandasWithState(step, out, "run_id ARRAY<STRING>, state ARRAY<STRING>", "append", GroupStateTimeout.NoTimeout)
 
 
 def debounced(pushes: DataFrame, window_seconds: float, timer: bool = True) -> DataFrame:

@@ -52,6 +52,25 @@ def test_moved_heads_and_queue(spark, tmp_path):
     assert [(r[3], r[4]) for r in out(spark, f"{tmp_path}/qo")] == [("x", True), ("y", False), ("z", True)]
 
 
+def test_many_keys_share_states(spark, tmp_path):
+    """Python is called and a state is kept for a group of keys, not for each key; what is found is the same."""
+    n, shas = ev.GROUPS + 500, random.Random(3)
+    polls = [("r", i, shas.choice("ab"), float(t)) for i in range(n) for t in range(2)]
+    for t in range(2):
+        land(spark, [p for p in polls if p[3] == t], "repo STRING, number INT, head_sha STRING, seen_at DOUBLE", f"{tmp_path}/p")
+    ev.run_available(ev.moved_heads(stream(spark, "repo STRING, number INT, head_sha STRING, seen_at DOUBLE", f"{tmp_path}/p")), f"{tmp_path}/po", f"{tmp_path}/pc")
+    first, second = ({p[1]: p[2] for p in polls if p[3] == t} for t in range(2))
+    want = [("r", i, first[i], None) for i in first] + [("r", i, second[i], first[i]) for i in first if second[i] != first[i]]
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/po").collect()), key=str) == sorted(want, key=str)
+    assert spark.read.format("statestore").load(f"{tmp_path}/pc").count() <= ev.GROUPS
+    steps = [(str(i), 2 * i + t, "done" if t else "queued") for i in range(n) for t in range(2)]
+    land(spark, steps, "run_id STRING, seq LONG, state STRING", f"{tmp_path}/s")
+    ev.run_available(ev.run_states(stream(spark, "run_id STRING, seq LONG, state STRING", f"{tmp_path}/s")), f"{tmp_path}/so", f"{tmp_path}/sc")
+    got = spark.read.parquet(f"{tmp_path}/so")
+    assert got.count() == 2 * n and got.where("legal and (prior is null) = (state = 'queued')").count() == 2 * n
+    assert spark.read.format("statestore").load(f"{tmp_path}/sc").count() <= ev.GROUPS
+
+
 def test_debounce(spark, tmp_path):
     ddl = "repo STRING, number INT, head_sha STRING, at DOUBLE"
     land(spark, [("r", 1, "a", 0.0), ("r", 1, "b", 5.0), ("r", 1, "c", 3700.0)], ddl, f"{tmp_path}/d")
