@@ -123,21 +123,38 @@ def related_norms(files: DataFrame, norms: DataFrame, limit: int = 3) -> DataFra
     directory, and 0.25 for each shared token; a file at the root has no directory. files(path, tokens array),
     norms(id, places array, tokens array), both with `repo` or both without.
 
-    A place meets directories by its own ancestors. Of the norms of a directory that share no token
-    with a file only the first `limit` by id can be among its best, so no directory meets all its files."""
+    A place meets directories by its own ancestors. Files of one directory with the same tokens rank alike but for the
+    norms seen at their own paths, and of norms with the same tokens (of one directory, or of all) only the first `limit`
+    by id can be among the best. So kinds of files meet the first norms of each set of tokens, and only then the files."""
     on = [c for c in ("repo",) if c in files.columns]
+    words = lambda df, *by: df.groupBy(*by).agg(F.sort_array(F.collect_set("t")).alias("tokens"))
     above = F.transform(F.sequence(F.lit(1), F.size("_p") - 1), lambda n: F.array_join(F.slice("_p", F.lit(1), n), "/"))
     place = norms.select(*on, "id", F.explode("places").alias("path")).distinct()
     below = place.withColumn("_p", F.split("path", "/")).where("size(_p) > 1").select(*on, "id", F.explode(above).alias("d")).where("d <> ''").distinct()
+    said = words(norms.select(*on, "id", F.explode_outer("tokens").alias("t")), *on, "id")
     own = files.withColumn("d", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")))
-    exact = own.select(*on, "path").distinct().join(place, [*on, "path"]).select(*on, "path", "id", F.lit(2.0).alias("s"), F.lit(0.0).alias("w"))
-    first = below.withColumn("_n", F.row_number().over(Window.partitionBy(*on, "d").orderBy("id"))).where(F.col("_n") <= limit)
-    near = own.select(*on, "path", "d").distinct().join(first, [*on, "d"]).select(*on, "path", "id", F.lit(1.0).alias("s"), F.lit(0.0).alias("w"))
-    word = own.select(*on, "path", "d", F.explode(F.array_distinct("tokens")).alias("t")).distinct()
-    said = norms.select(*on, "id", F.explode(F.array_distinct("tokens")).alias("t")).distinct()
-    shared = word.join(said.hint("merge"), [*on, "t"]).groupBy(*on, "path", "d", "id").agg((F.count(F.lit(1)) * 0.25).alias("w"))
-    shared = shared.join(below.withColumn("_in", F.lit(1.0)).hint("merge"), [*on, "d", "id"], "left")
-    shared = shared.select(*on, "path", "id", F.coalesce("_in", F.lit(0.0)).alias("s"), "w")
-    both = exact.union(near).union(shared).groupBy(*on, "path", "id").agg((F.max("s") + F.max("w")).alias("score"))
-    w = Window.partitionBy(*on, "path").orderBy(F.desc("score"), "id")
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    own = words(own.select(*on, "path", "d", F.explode_outer("tokens").alias("t")), *on, "path", "d")
+    kind = own.select(*on, "d", "tokens").distinct()
+    first = lambda df, order, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
+    each = lambda df: df.withColumn("t", F.explode("tokens"))
+    w = (F.count(F.lit(1)) * 0.25).alias("w")
+    # by tokens alone, whatever the directory
+    anywhere = each(first(said, ["id"], *on, "tokens")).select(*on, "id", "t")
+    shared = each(kind.select(*on, "tokens").distinct()).join(anywhere, [*on, "t"]).groupBy(*on, "tokens", "id").agg(w)
+    shared = first(shared, [F.desc("w"), "id"], *on, "tokens")
+    shared = kind.join(shared, [*on, "tokens"]).select(*on, "d", "tokens", "id", F.col("w").alias("score"))
+    # by tokens within the directory, and by the directory alone
+    inside = each(first(below.join(said, [*on, "id"]), ["id"], *on, "d", "tokens")).select(*on, "d", "id", "t")
+    both = each(kind).join(inside, [*on, "d", "t"]).groupBy(*on, "d", "tokens", "id").agg(w)
+    both = both.select(*on, "d", "tokens", "id", (F.col("w") + 1).alias("score"))
+    near = kind.join(first(below, ["id"], *on, "d"), [*on, "d"]).select(*on, "d", "tokens", "id", F.lit(1.0).alias("score"))
+    of_kind = shared.union(both).union(near).groupBy(*on, "d", "tokens", "id").agg(F.max("score").alias("score"))
+    # the directory of root files is null: a null key meets none, so it has a name no directory has
+    named = lambda df: df.withColumn("d", F.coalesce("d", F.lit("")))
+    of_kind = first(of_kind, [F.desc("score"), "id"], *on, "d", "tokens")
+    met = named(own).join(named(of_kind), [*on, "d", "tokens"]).select(*on, "path", "id", "score")
+    exact = own.join(place, [*on, "path"]).join(said.withColumnRenamed("tokens", "_t"), [*on, "id"])
+    exact = exact.select(*on, "path", "id", (F.size(F.array_intersect("tokens", "_t")) * 0.25 + 2).alias("score"))
+    out = met.union(exact).groupBy(*on, "path", "id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy(*on, "path").orderBy(F.desc("score"), "id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

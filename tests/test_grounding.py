@@ -110,6 +110,36 @@ def test_related_norms_equal_brute_force(spark):
     assert rows(got, "path", "id", "score", "rank") == sorted((x for f in files for x in best(*f)), key=repr)
 
 
+def _joined(df):
+    """The most rows that a join of df's plan makes."""
+    df.collect()
+
+    def walk(p):
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            yield from walk(p.executedPlan())
+        elif name.endswith("QueryStage"):
+            yield from walk(p.plan())
+        n = p.metrics().get("numOutputRows")
+        if "Join" in name and n.isDefined():
+            yield n.get().value()
+        kids = p.children()
+        for i in range(kids.size()):
+            yield from walk(kids.apply(i))
+
+    return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_files_and_norms_of_one_word_make_no_pairs(spark):
+    n = 1000
+    files = spark.range(n).select(F.format_string("a/f%04d.py", "id").alias("path"), F.array(F.lit("w")).alias("tokens"))
+    norms = spark.range(n).select(F.format_string("n%04d", "id").alias("id"), F.array(F.format_string("a/f%04d.py", "id")).alias("places"), F.array(F.lit("w")).alias("tokens"))
+    got = grounding.related_norms(files, norms)
+    assert _joined(got) <= 10 * n
+    best = {r.path: r.id for r in got.where("rank = 1 and score = 2.25").collect()}
+    assert got.count() == 3 * n and best == {f"a/f{i:04}.py": f"n{i:04}" for i in range(n)}
+
+
 def test_suite_findings_carry_their_evidence(spark):
     ddl = "run_id STRING, side STRING, outcome STRING, duration_s DOUBLE, peak_rss_mb INT"
     o = spark.createDataFrame([("r", "base", "passed", 3.0, 100), ("r", "head", "oom", 12.25, 512), ("q", "base", "timeout", 1.0, 0), ("q", "head", "timeout", 1.0, 0), ("p", "base", "failed", 1.0, 0), ("p", "head", "timeout", 9.0, 0)], ddl)
