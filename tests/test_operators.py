@@ -314,3 +314,21 @@ def test_rollups(spark):
     c = spark.createDataFrame([("c1", "x", "p"), ("c1", "x", "p"), ("c2", "", "p")], "commit STRING, author STRING, path STRING")
     assert rows(rollups.churn(c), "commits", "authors") == [(2, 1)]
     assert text.STOP_WORDS
+
+
+def test_calls_of_one_name_are_dealt_over_tasks(spark):
+    """2,000 callers of one imported function and of one name that all bear: no task gets all of either."""
+    n = 2000
+    calls = spark.range(n).select(F.lit("r").alias("repo"), F.format_string("m%d.py", "id").alias("path"), F.format_string("m%d", "id").alias("module"), F.lit("f").alias("caller"), F.explode(F.array(F.lit("g"), F.lit("h"))).alias("name"), F.lit(None).cast("string").alias("attribute"))
+    imports = spark.range(n).select(F.lit("r").alias("repo"), F.format_string("m%d.py", "id").alias("path"), F.lit("g").alias("alias"), F.lit("top.g").alias("target"))
+    own = spark.range(n).select(F.lit("r").alias("repo"), F.format_string("m%d.K.h", "id").alias("fqn"), F.lit("method").alias("kind"))
+    got = graph.call_edges(calls, imports, own.union(spark.createDataFrame([("r", "top.g", "function")], own.schema)), most=1)
+    assert got.count() == n and got.where("callee = 'top.g'").count() == n
+    few = spark.createDataFrame([("r", "g")], "repo STRING, name STRING")
+    asked = calls.where("name = 'g'").withColumn("caller", F.concat("module", F.lit(".f")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = [r["count"] for r in graph._dealt(asked, few, ["repo", "name"], "inner").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks) == n and max(tasks) < n
