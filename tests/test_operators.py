@@ -332,3 +332,9 @@ def test_calls_of_one_name_are_dealt_over_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(tasks) == n and max(tasks) < n
+
+
+def test_sources_of_one_partition_are_parsed_by_many_tasks(spark):
+    own = spark.range(100).coalesce(1).select(F.lit("r").alias("repo"), F.format_string("m%d.py", "id").alias("path"), F.lit("def f():\n    pass\n").alias("content"), F.lit("").alias("root"))
+    found = graph.python_symbols(own)
+    assert found.rdd.getNumPartitions() > 1 and found.count() == 100
