@@ -338,3 +338,12 @@ def test_sources_of_one_partition_are_parsed_by_many_tasks(spark):
     own = spark.range(100).coalesce(1).select(F.lit("r").alias("repo"), F.format_string("m%d.py", "id").alias("path"), F.lit("def f():\n    pass\n").alias("content"), F.lit("").alias("root"))
     found = graph.python_symbols(own)
     assert found.rdd.getNumPartitions() > 1 and found.count() == 100
+
+
+def test_queries_are_sent_once_as_an_array(spark, monkeypatch):
+    sent, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: sent.append(x) or send(x))
+    e = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id INT, embedding ARRAY<FLOAT>")
+    q = e.where("id < 3").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    assert mining.nearest(q, e, 1).where("id = query_id").count() == 3
+    assert len(sent) == 1 and isinstance(sent[0][1], np.ndarray) and sent[0][1].shape == (3, 2)
