@@ -5,13 +5,16 @@ their sizes, so a cluster is one row: its sum and its size. In a round every clu
 by blocked matrix products, and all pairs that are nearest to each other are joined. For average linkage this gives
 the clusters of joining one best pair after another: joining two clusters never brings them nearer to a
 third than the nearer of them was. A cluster without any neighbour from the threshold up never gets one, and
-takes no part from then on."""
+takes no part from then on. Late rounds join few pairs, so a group whose clusters fit a task is ended in one."""
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +33,38 @@ def _matrix(lists: pa.Scalar) -> np.ndarray:
     return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
 
+def joined_best(sums: np.ndarray, sizes: np.ndarray, threshold: float) -> list[list[int]]:
+    """Clusters of clusters, given by their sums of unit vectors and sizes, by repeatedly joining the two with
+    the largest mean cosine, from the threshold up; of equals those that begin first. A heap holds the
+    candidates, and entries whose clusters are gone are passed over."""
+    s, n = np.array(sums, float), np.array(sizes, float)
+    members = {i: [i] for i in range(len(s))}
+    version = dict.fromkeys(members, 0)  # a cluster is named by its first member
+    heap: list[tuple[float, int, int, int, int]] = []
+
+    def offer(i: int, others: np.ndarray) -> None:
+        near = s[others] @ s[i] / (n[others] * n[i])
+        for k in np.flatnonzero(near >= threshold).tolist():
+            a, b = sorted((i, int(others[k])))
+            heapq.heappush(heap, (-round(float(near[k]), PLACES), a, b, version[a], version[b]))
+
+    for i in range(1, len(s)):
+        offer(i, np.arange(i))
+    live = np.ones(len(s), bool)
+    while heap:
+        _, a, b, va, vb = heapq.heappop(heap)
+        if version.get(a) == va and version.get(b) == vb:
+            s[a] += s[b]
+            n[a] += n[b]
+            members[a] += members.pop(b)
+            version[a] += 1
+            del version[b]
+            live[a] = live[b] = False
+            offer(a, np.flatnonzero(live))
+            live[a] = True
+    return sorted(sorted(g) for g in members.values())
+
+
 def nearest_clusters(state: DataFrame, group: str, threshold: float, block: int = BLOCK) -> DataFrame:
     """(group, cid, near): for each row of state(group, cid, n, s) the most similar other one of its group
     with a mean of the threshold or more; of equals the pair that comes first by its ids."""
@@ -46,13 +81,16 @@ def nearest_clusters(state: DataFrame, group: str, threshold: float, block: int
     out = pa.schema([(c, pa.int64()) for c in ("cid", "near")] + [("mean", pa.float64())])
 
     def best(ids: np.ndarray, others: np.ndarray, mean: np.ndarray) -> Iterator[tuple]:
-        for i, row in zip(ids.tolist(), mean):
-            top = row.max(initial=-np.inf)
-            if top >= threshold:
-                tied = others[row == top]
-                # the first pair by (smaller, larger id)
-                below = tied[tied < i]
-                yield i, int(below.min() if len(below) else tied.min()), float(top)
+        top = mean.max(1, initial=-np.inf)
+        # what can be equal to the largest once rounded, and only that is rounded
+        rows, cols = np.nonzero(mean >= np.maximum(top, threshold)[:, None] - 2 * 10.0**-PLACES)
+        near, i, j = np.round(mean[rows, cols], PLACES), ids[rows], others[cols]
+        # the first pair by (smaller, larger id)
+        order = np.lexsort((np.maximum(i, j), np.minimum(i, j), -near, i))
+        order = order[near[order] >= threshold]
+        first = np.r_[True, i[order][1:] != i[order][:-1]] if len(order) else np.zeros(0, bool)
+        order = order[first]
+        yield from zip(i[order].tolist(), j[order].tolist(), near[order].tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,8 +98,7 @@ def nearest_clusters(state: DataFrame, group: str, threshold: float, block: int
             for r in range(batch.num_rows):
                 g, b1, c1, n1, s1, b2, c2, n2, s2 = (batch.column(k)[r] for k in range(9))
                 a, b = c1.values.to_numpy(), c2.values.to_numpy()
-                mean = _matrix(s1) @ _matrix(s2).T / np.outer(n1.values.to_numpy(), n2.values.to_numpy())
-                mean = np.round(mean, PLACES)
+                mean = (_matrix(s1) / n1.values.to_numpy()[:, None]) @ (_matrix(s2) / n2.values.to_numpy()[:, None]).T
                 if b1.as_py() == b2.as_py():
                     np.fill_diagonal(mean, -np.inf)
                     got = list(best(a, b, mean))
@@ -78,15 +115,37 @@ def nearest_clusters(state: DataFrame, group: str, threshold: float, block: int
     return found.groupBy(group, "cid").agg(F.max_by("near", order).alias("near"))
 
 
-def linked(rows: DataFrame, group: str, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(group, pos, cid): the cluster of each of rows(group, pos, embedding), named by its first member."""
+def ended(state: DataFrame, group: str, threshold: float) -> DataFrame:
+    """(group, cid, _to): what the clusters of state(group, cid, n, s) are joined to in the end, a group being one task's work."""
+
+    def fold(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("cid")
+        ids = df["cid"].tolist()
+        res = [(df[group].iloc[0], ids[i], ids[g[0]]) for g in joined_best(np.array(df["s"].tolist()), df["n"].to_numpy(), threshold) for i in g]
+        return pd.DataFrame(res, columns=[group, "cid", "_to"])
+
+    return state.select(group, "cid", "n", "s").groupBy(group).applyInPandas(fold, f"{group} {dict(state.dtypes)[group]}, cid LONG, _to LONG")
+
+
+def linked(rows: DataFrame, group: str, threshold: float, block: int = BLOCK, in_task: int = 0) -> DataFrame:
+    """(group, pos, cid): the cluster of each of rows(group, pos, embedding), named by its first member. Groups
+    of `in_task` clusters or fewer take no part in rounds; one task each joins what is left of them."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     length = F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x)) + F.lit(1e-12)
     unit = rows.select(group, F.col("pos").cast("long").alias("cid"), v.alias("u"))
     unit = unit.select(group, "cid", F.lit(1).cast("long").alias("n"), F.transform("u", lambda x: x / length).alias("s"), F.lit(True).alias("live"))
     state, live = stepped(unit, "linkage", F.col("live"))
     member, _ = stepped(rows.select(group, F.col("pos").cast("long").alias("pos"), F.col("pos").cast("long").alias("cid")), "linkage-members", F.lit(True))
+    rest = []
     while live:
+        if in_task:
+            few = state.groupBy(group).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") <= in_task).select(group)
+            few, some = stepped(few, "linkage-few", F.lit(True))
+            if some:
+                rest.append(state.join(few, group, "left_semi"))
+                state, live = stepped(state.join(few, group, "left_anti"), "linkage", F.col("live"))
+                if not live:
+                    break
         near, found = stepped(nearest_clusters(state, group, threshold, block), "linkage-near", F.lit(True))
         if not found:
             break
@@ -107,14 +166,17 @@ def linked(rows: DataFrame, group: str, threshold: float, block: int = BLOCK) ->
         moved = joined.select(group, F.col("cid").alias("_to"), F.col("gone").alias("cid"))
         step = member.join(moved, [group, "cid"], "left").select(group, "pos", F.coalesce("_to", "cid").alias("cid"))
         member, _ = stepped(step, "linkage-members", F.lit(True), member)
-        state, live = stepped(kept, "linkage", F.col("live"), state)
+        state, live = stepped(kept, "linkage", F.col("live"), None if in_task else state)
+    if rest:
+        step = member.join(ended(reduce(DataFrame.union, rest), group, threshold), [group, "cid"], "left")
+        member, _ = stepped(step.select(group, "pos", F.coalesce("_to", "cid").alias("cid")), "linkage-members", F.lit(True), member)
     return member
 
 
-def linked_clusters(rows: DataFrame, group: str, threshold: float, block: int = BLOCK) -> DataFrame:
+def linked_clusters(rows: DataFrame, group: str, threshold: float, block: int = BLOCK, in_task: int = 0) -> DataFrame:
     """(group, pos, cluster, size, medoid): clusters numbered by their first members; the medoid is the member
     with the largest mean similarity to all of them, of equals the first, found by the product with their sum."""
-    member = linked(rows, group, threshold, block)
+    member = linked(rows, group, threshold, block, in_task)
     v = F.transform("embedding", lambda x: x.cast("double"))
     length = F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x)) + F.lit(1e-12)
     own = rows.select(group, F.col("pos").cast("long").alias("pos"), v.alias("u")).join(member, [group, "pos"])

@@ -28,3 +28,15 @@ def test_equal_and_empty_vectors(spark):
     got = by_group(linkage.linked_clusters(rows, "g", 0.9, 3))
     assert [(c, s) for _, _, c, s, _ in got] == [(i % 2, 5 - i % 2) for i in range(9)] + [(2, 1)]
     assert linkage.linked_clusters(spark.createDataFrame([], DDL), "g", 0.5).count() == 0
+
+
+def test_a_group_of_few_clusters_left_is_ended_in_one_task(spark, monkeypatch):
+    # every vector is nearest to the one before it: a round joins one pair
+    angles = np.cumsum([0.001 * 1.08**i for i in range(50)])
+    data = [("a", i, [float(np.cos(x)), float(np.sin(x))]) for i, x in enumerate(angles)]
+    rows = spark.createDataFrame(data, DDL)
+    want = by_group(mining.clusters(rows, "g", 0.9, in_task=50))
+    rounds, nearest = [], linkage.nearest_clusters
+    monkeypatch.setattr(linkage, "nearest_clusters", lambda *x: rounds.append(1) or nearest(*x))
+    assert by_group(mining.clusters(rows, "g", 0.9, in_task=46)) == want
+    assert 1 <= len(rounds) <= 4
