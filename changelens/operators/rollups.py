@@ -62,10 +62,26 @@ def findings_counts(observations: DataFrame) -> DataFrame:
     return own.withColumn("uncited", F.col("total") - F.col("cited"))
 
 
+#: Rows of a task that brings the touches of a path and commit together, whatever the table's size.
+IN_TASK = 1 << 19
+
+
+def _touches(commits: DataFrame, *by: str) -> DataFrame:
+    """(by, commits, authors) of commits(by, path, commit, author): each commit once a path; unnamed authors do not count.
+
+    The largest name of an author is a text, which Spark finds by sorting all rows of a task, before the shuffle as
+    well. So rows are dealt by their keys first, in as many parts as they need."""
+    n = max(int(commits.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-commits.count() // IN_TASK))
+    keys = [*dict.fromkeys((*by, "path", "commit"))]
+    once = commits.select(*keys, F.nullif("author", F.lit("")).alias("author"))
+    once = once.repartition(n, *keys).groupBy(*keys).agg(F.max("author").alias("author"))
+    each = once.repartition(n, *by, "author").groupBy(*by, "author").agg(F.count(F.lit(1)).alias("k"))
+    return each.groupBy(*by).agg(F.sum("k").alias("commits"), F.count("author").alias("authors"))
+
+
 def churn(commits: DataFrame) -> DataFrame:
     """(path, commits, authors): each commit once a path; unnamed authors do not count."""
-    own = commits.groupBy("path", "commit").agg(F.max(F.nullif("author", F.lit(""))).alias("author"))
-    return own.groupBy("path").agg(F.count(F.lit(1)).alias("commits"), F.countDistinct("author").alias("authors"))
+    return _touches(commits, "path")
 
 
 def module_rollup(files: DataFrame, commits: DataFrame, symbols: DataFrame, most_paths: int = 200) -> DataFrame:
@@ -81,8 +97,7 @@ def module_rollup(files: DataFrame, commits: DataFrame, symbols: DataFrame, most
     by_language = own.groupBy("name", "language").agg(F.sum("loc").alias("l"))
     language = by_language.groupBy("name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "l")))).alias("languages"))
     touched = own.select("name", "path").join(commits, "path")
-    once = touched.groupBy("name", "path", "commit").agg(F.max(F.nullif("author", F.lit(""))).alias("author"))
-    change = once.groupBy("name").agg(F.count(F.lit(1)).alias("commits"), F.countDistinct("author").alias("authors"))
+    change = _touches(touched, "name")
     named = symbols.groupBy(module_of(F.col("file")).alias("name")).agg(F.count(F.lit(1)).alias("symbols"))
     out = size.join(language, "name").join(paths, "name").join(change, "name", "left").join(named, "name", "left")
     return out.fillna(0, ["commits", "authors", "symbols"])

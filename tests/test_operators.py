@@ -354,3 +354,23 @@ def test_blocks_keep_their_parts(spark):
     own = spark.range(50).coalesce(1).select("id", F.lit("one\n\n- two\n").alias("text"))
     found = charter.blocks(own, "id")
     assert found.rdd.getNumPartitions() > 2 and found.count() == 100
+
+
+def test_touches_are_dealt_in_as_many_parts_as_they_need(spark, monkeypatch):
+    from changelens.operators import rollups
+
+    monkeypatch.setattr(rollups, "IN_TASK", 10, raising=False)
+    files = spark.createDataFrame([(f"a/src/{i}.py", "Python", 3, False) for i in range(7)], "path STRING, language STRING, loc INT, is_test BOOLEAN")
+    # a commit counts once a path, with the largest of its names; unnamed authors do not count
+    data = [(f"a/src/{i % 7}.py", f"c{i % 30}", ("", "x", "y", None)[i % 4]) for i in range(400)]
+    commits = spark.createDataFrame(data, "path STRING, commit STRING, author STRING")
+    symbols = spark.createDataFrame([], "fqn STRING, file STRING")
+    got = rollups.module_rollup(files, commits, symbols)
+    kept = {}
+    for path, commit, author in data:
+        kept[path, commit] = max(kept.get((path, commit), ""), author or "")
+    assert [(r.commits, r.authors) for r in got.collect()] == [(len(kept), len(set(kept.values()) - {""}))]
+    of_path = {r.path: (r.commits, r.authors) for r in rollups.churn(commits).collect()}
+    assert of_path == {p: (sum(k[0] == p for k in kept), len({a for k, a in kept.items() if k[0] == p} - {""})) for p, _, _ in data}
+    for df in (got, rollups.churn(commits)):
+        assert ", 40)" in df._jdf.queryExecution().executedPlan().toString()
