@@ -374,3 +374,16 @@ def test_touches_are_dealt_in_as_many_parts_as_they_need(spark, monkeypatch):
     assert of_path == {p: (sum(k[0] == p for k in kept), len({a for k, a in kept.items() if k[0] == p} - {""})) for p, _, _ in data}
     for df in (got, rollups.churn(commits)):
         assert ", 40)" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tfidf_shuffles_its_rows_once(spark):
+    data = [(1, "b a b"), (1, "a c"), (2, "a"), (3, ""), (4, None), (5, "c c c")]
+    docs = spark.createDataFrame(data, "doc_id LONG, text STRING")
+    out = mining.tfidf(docs, terms_col=F.regexp_extract_all("text", F.lit("([a-z])"), 1))
+    tf = {(1, "a"): 2, (1, "b"): 2, (1, "c"): 1, (2, "a"): 1, (5, "c"): 3}
+    df = {"a": 2, "b": 1, "c": 2}
+    want = {k: (1 + np.log(v)) * (np.log(7 / (1 + df[k[1]])) + 1) for k, v in tf.items()}
+    assert {(r.doc_id, r.term): r.weight for r in out.collect()} == pytest.approx(want)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    out.write.format("noop").mode("overwrite").save()
+    assert plan.count("Exchange hashpartitioning(term") <= 2 and "hashpartitioning(doc_id" not in plan
