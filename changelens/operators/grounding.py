@@ -11,6 +11,8 @@ from changelens.functions.text import contains_quote
 
 #: Lines of a file that are one row of the index; a citation spans two rows at most.
 BLOCK = 128
+#: Bytes of lines that are one task's work, on average.
+TEXT_IN_TASK = 1 << 23
 #: Code points of an excerpt that stands in for a quote.
 EXCERPT = 200
 FILE_REF = r"(?U)^([\w./-]+\.\w+):(\d+)"
@@ -26,21 +28,31 @@ def _plain_path(path: Column) -> Column:
     return F.array_join(F.filter(F.split(path, "/"), lambda x: ~x.isin("", ".")), "/")
 
 
-def line_blocks(lines: DataFrame) -> DataFrame:
+def text_parts(lines: DataFrame) -> int:
+    """In how many parts lines(text, ...) are dealt, so that a part's memory does not grow with the table."""
+    size = lines.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TEXT_IN_TASK))
+
+
+def line_blocks(lines: DataFrame, parts: int | None = None) -> DataFrame:
     """lines(side, path, line, text) as an index: (side, path, block, lines), at most BLOCK lines a row."""
-    block = F.floor((F.col("line") - 1) / BLOCK).alias("block")
-    return lines.groupBy("side", "path", block).agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("lines"))
+    own = lines.withColumn("block", F.floor((F.col("line") - 1) / BLOCK))
+    # dealt before lists are gathered, which sorts all rows of a task
+    own = own.repartition(parts or text_parts(lines), "side", "path", "block")
+    return own.groupBy("side", "path", "block").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("lines"))
 
 
-def cited_lines(asked: DataFrame, blocks: DataFrame) -> DataFrame:
+def cited_lines(asked: DataFrame, blocks: DataFrame, parts: int | None = None) -> DataFrame:
     """asked(side, path, start, end, ...) with `excerpt`, where all lines from start to end are there.
-    A span meets one block or two by equality, so that hot files can be split."""
+    A span meets one block or two by equality, so that hot files can be split. Excerpts are dealt in `parts`."""
     keys = asked.columns
     at = lambda c: F.floor((F.col(c) - 1) / BLOCK)
     each = asked.withColumn("block", F.explode(F.sequence(at("start"), at("end")))).join(blocks, ["side", "path", "block"])
     own = F.filter("lines", lambda x: x["line"].between(F.col("start"), F.col("end")))
     part = F.struct("block", F.array_join(F.transform(own, lambda x: x["text"]), "\n").alias("text"))
-    both = each.groupBy(*keys).agg(F.sum(F.size(own)).alias("n"), F.sort_array(F.collect_list(part)).alias("parts"))
+    each = each.select(*keys, F.size(own).alias("_n"), part.alias("_part"))
+    each = each.repartition(parts, *keys) if parts else each
+    both = each.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sort_array(F.collect_list("_part")).alias("parts"))
     whole = both.where(F.col("n") == F.col("end") - F.col("start") + 1)
     return whole.select(*keys, F.array_join(F.transform("parts", lambda x: x["text"]), "\n").alias("excerpt"))
 
@@ -72,7 +84,8 @@ def resolved_citations(
     of_claim = code.join(claim, "ref").select("type", "ref", "_quote", "_found")
     of_file = code.join(claim.select("ref"), "ref", "left_anti").withColumn("c", code_reference(F.col("ref"))).where("c is not null")
     of_file = of_file.select("type", "ref", "_quote", "c.side", _plain_path(F.col("c.path")).alias("path"), "c.start", "c.end")
-    of_file = cited_lines(of_file, line_blocks(lines)).select("type", "ref", "_quote", F.col("excerpt").alias("_found"))
+    parts = text_parts(lines)
+    of_file = cited_lines(of_file, line_blocks(lines, parts), parts).select("type", "ref", "_quote", F.col("excerpt").alias("_found"))
     holds = (F.col("_quote") == "") | contains_quote(F.col("_found"), F.col("_quote"))
     begin = lambda c: F.substring(c, 1, EXCERPT)
     of_claim = of_claim.where(holds).withColumn("_found", begin(F.col("_found")))

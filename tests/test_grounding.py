@@ -279,3 +279,13 @@ def test_folds_carry_over_batches(spark):
         assert sequences.debounced(spark.createDataFrame([], "key STRING, at DOUBLE, head STRING"), "key", "at", "head", 30.0).count() == 0
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_lines_are_dealt_in_parts_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(grounding, "TEXT_IN_TASK", 100, raising=False)
+    lines = spark.createDataFrame([("head", "a.py", i, f"line {i:05}") for i in range(1, 301)], "side STRING, path STRING, line INT, text STRING")
+    asked = spark.createDataFrame([("head", "a.py", 120, 130), ("head", "a.py", 299, 301)], "side STRING, path STRING, start INT, end INT")
+    blocks = grounding.line_blocks(lines)
+    assert blocks.rdd.getNumPartitions() == 30
+    got = grounding.cited_lines(asked, blocks, 30).collect()
+    assert [(r.start, r.excerpt) for r in got] == [(120, "\n".join(f"line {i:05}" for i in range(120, 131)))]
