@@ -588,6 +588,49 @@ def test_media_links_are_counted_for_all_images_of_a_class(spark):
     assert media.linked_media(images.limit(0), F.col("media_id") % 50 == 0).count() == 0
 
 
+def test_media_classes_of_near_equal_images(spark):
+    """Classes are those of all links; pairs of corners grow with a group of near-equal images, not with its square."""
+    rng = np.random.default_rng(6)
+    base, asked = rng.normal(size=64), F.col("media_id") % 2 == 0
+
+    def rendered(rows):
+        return media.with_media(spark.createDataFrame(rows, "vec_id long, v array<double>"), "vec_id", "v")
+
+    made = {}
+    for n in (20, 80):
+        images = rendered([(k, (base + rng.normal(size=64) * 0.02).tolist()) for k in range(n)])
+        _, _, corners, picked = media._kinds(images, asked)
+        met = media.leaders(corners, picked)
+        near = media.with_leaders(met)
+        edges = media.consensus(near).select(F.col("query_id").alias("a"), F.col("media_id").alias("b"))
+        joined = common.components(spark, edges)
+        assert met.count() <= media.TABLES * corners.count()
+        made[n] = near.count() + media.still_apart(met, picked, joined).count()
+    assert made[20] > 0 and made[80] <= 6 * made[20], made
+    # groups, strangers, equal images, repeated rows, images without a corner or an id: as by all links
+    rows = [(k, (rng.normal(size=64) if k % 3 == 0 else base + rng.normal(size=64) * 0.05).tolist()) for k in range(40)]
+    rows += [(100, rows[1][1]), (1, rows[1][1]), (101, rows[3][1]), (103, rows[9][1]), (None, rows[1][1])]
+    rows += [(200, None), (201, None), (202, [1.0] * 64), (204, [1.0] * 64)]
+    images = rendered(rows).withColumns({x: F.lit(1) for x in ("mkey", "rep", "n", "no", "root", "asked", "lo", "hi")})
+    got = media.media_classes(images, asked).collect()
+    want = media.linked_media(images, asked).collect()
+    assert Counter((r.media_id, r.class_id) for r in got) == Counter((r.media_id, r.class_id) for r in want)
+    sizes = Counter(r.class_id for r in got if r.media_id is not None)
+    nameless = sum(r.media_id is None for r in got)
+    assert nameless == 1 and all(r.class_size == sizes[r.class_id] for r in got if r.media_id is not None), got
+    assert max(sizes.values()) >= 20 and {r.class_size for r in got if r.media_id in (200, 201, 202, 204)} == {1}
+    assert media.media_classes(images.limit(0), asked).count() == 0
+    assert media.media_classes(images, F.lit(False)).where("media_id < 40 and class_id <> media_id").count() == 0
+
+
+def test_media_query_returns_classes(spark):
+    from changelens.llm.queries import QUERIES
+
+    got = QUERIES["op9_media"](spark, DATA)
+    assert got.columns == ["media_id", "class_id", "class_size"]
+    assert got.count() == spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+
+
 def test_media_recall_of_crops_turns_and_edits():
     """Of rendered images cut by up to a fifth, turned, brightened and made noisy, nine of ten are found."""
     rng = np.random.default_rng(9)
