@@ -84,16 +84,15 @@ def churn(commits: DataFrame) -> DataFrame:
     return _touches(commits, "path")
 
 
-def module_rollup(files: DataFrame, commits: DataFrame, symbols: DataFrame, most_paths: int = 200) -> DataFrame:
-    """(name, loc, files, test_files, languages, paths, commits, authors, symbols)."""
+def module_rollup(files: DataFrame, commits: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(name, loc, files, test_files, languages, paths, commits, authors, symbols); paths are all of a module's, in order."""
     own = files.withColumn("name", module_of(F.col("path")))
     size = own.groupBy("name").agg(
         F.sum("loc").alias("loc"),
         F.count(F.lit(1)).alias("files"),
         F.count_if("is_test").alias("test_files"),
     )
-    first = own.select("name", "path").withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("path"))).where(F.col("_n") <= most_paths)
-    paths = first.groupBy("name").agg(F.sort_array(F.collect_list("path")).alias("paths"))  # most_paths at most
+    paths = own.groupBy("name").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     by_language = own.groupBy("name", "language").agg(F.sum("loc").alias("l"))
     language = by_language.groupBy("name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "l")))).alias("languages"))
     touched = own.select("name", "path").join(commits, "path")

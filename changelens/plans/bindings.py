@@ -215,7 +215,7 @@ m as (select s.*, coalesce(commits, 0) as commits, coalesce(authors, 0) as autho
 @query(_MODULES + """,
 l as (select name, string_agg(language || '=' || loc, ',' order by language) as languages from (
   select name, case when loc % 2 = 0 then 'Python' else 'Go' end as language, sum(loc) as loc from f group by 1, 2) group by 1),
-p as (select name, array_to_string(list_sort(list(name || '/' || p_partkey || '.py'))[1:200], ',') as paths from f group by 1)
+p as (select name, array_to_string(list_sort(list(name || '/' || p_partkey || '.py')), ',') as paths from f group by 1)
 select name, loc, files, test_files, commits, authors, symbols, languages, paths from m join l using (name) join p using (name)
 """)
 def module_rollup(spark, d):

@@ -376,6 +376,16 @@ def test_touches_are_dealt_in_as_many_parts_as_they_need(spark, monkeypatch):
         assert ", 40)" in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_module_lists_all_its_paths(spark):
+    from changelens.operators import rollups
+
+    names = [f"a/src/{i}.py" for i in range(450)] + ["b/src/x.go"]
+    files = spark.createDataFrame([(p, "Python", 3, False) for p in names], "path STRING, language STRING, loc INT, is_test BOOLEAN")
+    commits = spark.createDataFrame([], "path STRING, commit STRING, author STRING")
+    got = rollups.module_rollup(files, commits, spark.createDataFrame([], "fqn STRING, file STRING"))
+    assert {r["name"]: (r.files, r.paths) for r in got.collect()} == {"a/src": (450, sorted(names[:-1])), "b/src": (1, names[-1:])}
+
+
 def test_tfidf_shuffles_its_rows_once(spark):
     data = [(1, "b a b"), (1, "a c"), (2, "a"), (3, ""), (4, None), (5, "c c c")]
     docs = spark.createDataFrame(data, "doc_id LONG, text STRING")
