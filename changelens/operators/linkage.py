@@ -9,7 +9,6 @@ takes no part from then on. Late rounds join few pairs, so a group whose cluster
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from functools import reduce
 
@@ -22,10 +21,16 @@ from pyspark.sql.window import Window
 
 from changelens.session import stepped
 
-#: Clusters of a block; two blocks are multiplied in a task.
-BLOCK = 2048
+#: Clusters of a block; two blocks are multiplied in a task, and so many rows of one at a time.
+BLOCK, ROWS = 8192, 512
 #: Places to which similarities are compared.
 PLACES = 12
+#: Clusters of a group that one task joins to the end.
+IN_TASK = 20_000
+#: Similarities that a task holds at a time while it joins.
+ENTRIES = 1 << 22
+#: No cluster is near enough; the nearest one is to be found again.
+NONE, UNKNOWN = -1, -2
 
 
 def _matrix(lists: pa.Scalar) -> np.ndarray:
@@ -33,36 +38,69 @@ def _matrix(lists: pa.Scalar) -> np.ndarray:
     return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
 
+def nearest_of(sums: np.ndarray, sizes: np.ndarray, rows: np.ndarray, threshold: float, gone: np.ndarray | None = None) -> np.ndarray:
+    """For each of `rows` the cluster with the largest mean cosine, from the threshold up, of equals the first; -1 if there is none."""
+    mean = (sums[rows] @ sums.T) / (sizes[rows][:, None] * sizes)
+    mean[np.arange(len(rows)), rows] = -np.inf
+    if gone is not None:
+        mean[:, gone] = -np.inf
+    top = mean.max(1)
+    # what can be equal to the largest once rounded, and only that is rounded
+    i, j = np.nonzero(mean >= np.maximum(top - 2 * 10.0**-PLACES, threshold)[:, None])
+    same = np.round(mean[i, j], PLACES) == np.round(top[i], PLACES)
+    i, first = np.unique(i[same], return_index=True)
+    out = np.full(len(rows), NONE)
+    out[i] = j[same][first]
+    return out
+
+
 def joined_best(sums: np.ndarray, sizes: np.ndarray, threshold: float) -> list[list[int]]:
     """Clusters of clusters, given by their sums of unit vectors and sizes, by repeatedly joining the two with
-    the largest mean cosine, from the threshold up; of equals those that begin first. A heap holds the
-    candidates, and entries whose clusters are gone are passed over."""
+    the largest mean cosine, from the threshold up; of equals those that begin first. They are found along a chain:
+    from a cluster to its nearest, and on, until two are nearest to each other, which are joined. What is nearest stays so
+    until it is joined itself. That is some two scans of the sums a cluster, and no matrix of all pairs."""
     s, n = np.array(sums, float), np.array(sizes, float)
-    members = {i: [i] for i in range(len(s))}
-    version = dict.fromkeys(members, 0)  # a cluster is named by its first member
-    heap: list[tuple[float, int, int, int, int]] = []
-
-    def offer(i: int, others: np.ndarray) -> None:
-        near = s[others] @ s[i] / (n[others] * n[i])
-        for k in np.flatnonzero(near >= threshold).tolist():
-            a, b = sorted((i, int(others[k])))
-            heapq.heappush(heap, (-round(float(near[k]), PLACES), a, b, version[a], version[b]))
-
-    for i in range(1, len(s)):
-        offer(i, np.arange(i))
-    live = np.ones(len(s), bool)
-    while heap:
-        _, a, b, va, vb = heapq.heappop(heap)
-        if version.get(a) == va and version.get(b) == vb:
+    first, ids = np.arange(len(s)), np.arange(len(s))
+    if len(s):  # what is no number is near to nothing
+        ids = np.flatnonzero(~np.isnan(s).any(1))
+        s, n = s[ids], n[ids]
+    step = max(1, ENTRIES // max(1, len(s)))
+    near = np.concatenate([nearest_of(s, n, np.arange(k, min(k + step, len(s))), threshold) for k in range(0, len(s), step)] or [ids])
+    live, chain = near != NONE, []
+    left = int(live.sum())
+    while left:
+        if 2 * left <= len(s):  # what is gone takes no part in scans
+            place = np.where(live, np.cumsum(live) - 1, UNKNOWN)
+            near = np.where(near < 0, near, place[near])[live]
+            s, n, ids, chain = s[live], n[live], ids[live], [int(place[c]) for c in chain]
+            live = np.ones(left, bool)
+        if not chain:
+            chain.append(int(live.argmax()))
+        a = chain[-1]
+        if near[a] == UNKNOWN or near[a] != NONE and not live[near[a]]:
+            near[a] = nearest_of(s, n, np.array([a]), threshold, ~live)[0]
+        b = int(near[a])
+        if b == NONE:
+            chain.pop()
+            live[a] = False
+            left -= 1
+        elif b in chain:  # the one before, save for errors of the last place
+            a, b = sorted(chain[-2:])
+            del chain[-2:]
+            near[(near == a) | (near == b)] = UNKNOWN
+            near[a] = UNKNOWN
             s[a] += s[b]
             n[a] += n[b]
-            members[a] += members.pop(b)
-            version[a] += 1
-            del version[b]
-            live[a] = live[b] = False
-            offer(a, np.flatnonzero(live))
-            live[a] = True
-    return sorted(sorted(g) for g in members.values())
+            first[ids[b]] = ids[a]
+            live[b] = False
+            left -= 1
+        else:
+            chain.append(b)
+    members: dict[int, list[int]] = {}
+    for k in range(len(first)):
+        first[k] = first[first[k]]  # that of an earlier one is final
+        members.setdefault(int(first[k]), []).append(k)
+    return list(members.values())
 
 
 def nearest_clusters(state: DataFrame, group: str, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -80,34 +118,41 @@ def nearest_clusters(state: DataFrame, group: str, threshold: float, block: int
     kind = state.schema[group].dataType
     out = pa.schema([(c, pa.int64()) for c in ("cid", "near")] + [("mean", pa.float64())])
 
-    def best(ids: np.ndarray, others: np.ndarray, mean: np.ndarray) -> Iterator[tuple]:
-        top = mean.max(1, initial=-np.inf)
+    def best(mean: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The largest mean of each row, and whose it is: of equals the first, as others are in order."""
+        top, near = mean.max(1), np.zeros(len(mean), np.int64)
         # what can be equal to the largest once rounded, and only that is rounded
-        rows, cols = np.nonzero(mean >= np.maximum(top, threshold)[:, None] - 2 * 10.0**-PLACES)
-        near, i, j = np.round(mean[rows, cols], PLACES), ids[rows], others[cols]
-        # the first pair by (smaller, larger id)
-        order = np.lexsort((np.maximum(i, j), np.minimum(i, j), -near, i))
-        order = order[near[order] >= threshold]
-        first = np.r_[True, i[order][1:] != i[order][:-1]] if len(order) else np.zeros(0, bool)
-        order = order[first]
-        yield from zip(i[order].tolist(), j[order].tolist(), near[order].tolist())
+        i, j = np.nonzero(mean >= np.maximum(top, threshold)[:, None] - 2 * 10.0**-PLACES)
+        top = np.round(top, PLACES)
+        same = np.round(mean[i, j], PLACES) == top[i]
+        i, first = np.unique(i[same], return_index=True)
+        near[i] = others[j[same][first]]
+        return np.where(top >= threshold, top, -np.inf), near
+
+    def pair(own: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, alone: bool) -> Iterator[tuple]:
+        theirs, near = np.full(len(b), -np.inf), np.zeros(len(b), np.int64)
+        for k in range(0, len(a), ROWS):
+            ids, mean = a[k : k + ROWS], own[k : k + ROWS] @ other.T
+            if alone:
+                mean[np.arange(len(ids)), np.arange(k, k + len(ids))] = -np.inf
+            else:
+                more, by = best(mean.T, ids)
+                near = np.where(more > theirs, by, near)  # of equals that of the earlier rows
+                theirs = np.maximum(theirs, more)
+            mine, at = best(mean, b)
+            yield ids, at, mine
+        yield b, near, theirs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows = [], []
             for r in range(batch.num_rows):
                 g, b1, c1, n1, s1, b2, c2, n2, s2 = (batch.column(k)[r] for k in range(9))
-                a, b = c1.values.to_numpy(), c2.values.to_numpy()
-                mean = (_matrix(s1) / n1.values.to_numpy()[:, None]) @ (_matrix(s2) / n2.values.to_numpy()[:, None]).T
-                if b1.as_py() == b2.as_py():
-                    np.fill_diagonal(mean, -np.inf)
-                    got = list(best(a, b, mean))
-                else:
-                    got = [*best(a, b, mean), *best(b, a, mean.T)]
-                keys += [g] * len(got)
-                rows += got
-            cols = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(out)]
-            yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in keys], batch.schema.field(0).type), *cols], names=[group, *out.names])
+                own, other = (_matrix(s) / n.values.to_numpy()[:, None] for s, n in ((s1, n1), (s2, n2)))
+                found = pair(own, c1.values.to_numpy(), other, c2.values.to_numpy(), b1.as_py() == b2.as_py())
+                ids, near, mean = (np.concatenate(x) for x in zip(*found))
+                has = mean > -np.inf
+                cols = [pa.array(x[has], f.type) for x, f in zip((ids, near, mean), out)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(g, int(has.sum())), *cols], names=[group, *out.names])
 
     cols = [group, "_b_1", "cid_1", "n_1", "s_1", "_b_2", "cid_2", "n_2", "s_2"]
     found = both.select(*cols).mapInArrow(run, f"{group} {kind.simpleString()}, cid long, near long, mean double")
@@ -134,6 +179,7 @@ def linked(rows: DataFrame, group: str, threshold: float, block: int = BLOCK, in
     length = F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x)) + F.lit(1e-12)
     unit = rows.select(group, F.col("pos").cast("long").alias("cid"), v.alias("u"))
     unit = unit.select(group, "cid", F.lit(1).cast("long").alias("n"), F.transform("u", lambda x: x / length).alias("s"), F.lit(True).alias("live"))
+    unit = unit.where(~F.exists("s", F.isnan))  # what is no number is near to nothing
     state, live = stepped(unit, "linkage", F.col("live"))
     member, _ = stepped(rows.select(group, F.col("pos").cast("long").alias("pos"), F.col("pos").cast("long").alias("cid")), "linkage-members", F.lit(True))
     rest = []

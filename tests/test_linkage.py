@@ -40,3 +40,26 @@ def test_a_group_of_few_clusters_left_is_ended_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(linkage, "nearest_clusters", lambda *x: rounds.append(1) or nearest(*x))
     assert by_group(mining.clusters(rows, "g", 0.9, in_task=46)) == want
     assert 1 <= len(rounds) <= 4
+
+
+def test_thousands_of_clusters_take_no_round(spark, monkeypatch):
+    v = np.random.default_rng(5).normal(size=(2300, 6))
+    v[7] = np.nan  # near to nothing
+    rows = spark.createDataFrame([("a", 2 * i, x.tolist()) for i, x in enumerate(v)], DDL)
+    monkeypatch.setattr(linkage, "nearest_clusters", lambda *x: 1 / 0)
+    got = {}
+    for _, pos, cluster, _, _ in by_group(mining.clusters(rows, "g", 0.8)):
+        got.setdefault(cluster, []).append(pos // 2)
+    assert [got[c] for c in sorted(got)] == mining.average_linkage(v, 0.8)
+    assert [7] in got.values()
+
+
+def test_blocks_are_multiplied_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = np.r_[rng.normal(size=(40, 3)), rng.integers(-1, 2, (40, 3)) + 0.0, np.full((1, 3), np.nan)]  # with equal means
+    rows = spark.createDataFrame([("a", i, x.tolist()) for i, x in enumerate(v)], DDL)
+    monkeypatch.setattr(linkage, "ROWS", 4, raising=False)
+    got = {}
+    for _, pos, cluster, _, _ in by_group(linkage.linked_clusters(rows, "g", 0.7, 11)):
+        got.setdefault(cluster, []).append(pos)
+    assert [got[c] for c in sorted(got)] == mining.average_linkage(v, 0.7)
