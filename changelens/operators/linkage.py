@@ -15,7 +15,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,7 +26,7 @@ BLOCK, ROWS = 8192, 512
 #: Places to which similarities are compared.
 PLACES = 12
 #: Clusters of a group that one task joins to the end.
-IN_TASK = 20_000
+IN_TASK = 1 << 15
 #: Similarities that a task holds at a time while it joins.
 ENTRIES = 1 << 22
 #: No cluster is near enough; the nearest one is to be found again.
@@ -38,6 +38,12 @@ def _matrix(lists: pa.Scalar) -> np.ndarray:
     return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
 
+def unit_vector(u: str) -> Column:
+    """The array divided by its length, which is found once a row and not once an element."""
+    length = F.sqrt(F.aggregate(u, F.lit(0.0), lambda s, x: s + x * x)) + F.lit(1e-12)
+    return F.zip_with(u, F.array_repeat(length, F.size(u)), lambda x, n: x / n)
+
+
 def nearest_of(sums: np.ndarray, sizes: np.ndarray, rows: np.ndarray, threshold: float, gone: np.ndarray | None = None) -> np.ndarray:
     """For each of `rows` the cluster with the largest mean cosine, from the threshold up, of equals the first; -1 if there is none."""
     mean = (sums[rows] @ sums.T) / (sizes[rows][:, None] * sizes)
@@ -169,17 +175,19 @@ def ended(state: DataFrame, group: str, threshold: float) -> DataFrame:
         res = [(df[group].iloc[0], ids[i], ids[g[0]]) for g in joined_best(np.array(df["s"].tolist()), df["n"].to_numpy(), threshold) for i in g]
         return pd.DataFrame(res, columns=[group, "cid", "_to"])
 
-    return state.select(group, "cid", "n", "s").groupBy(group).applyInPandas(fold, f"{group} {dict(state.dtypes)[group]}, cid LONG, _to LONG")
+    # in ranges a group has a part of its own, while by hash two large ones may share one
+    own = state.select(group, "cid", "n", "s").repartitionByRange(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")), group)
+    return own.groupBy(group).applyInPandas(fold, f"{group} {dict(state.dtypes)[group]}, cid LONG, _to LONG")
 
 
 def linked(rows: DataFrame, group: str, threshold: float, block: int = BLOCK, in_task: int = 0) -> DataFrame:
     """(group, pos, cid): the cluster of each of rows(group, pos, embedding), named by its first member. Groups
     of `in_task` clusters or fewer take no part in rounds; one task each joins what is left of them."""
     v = F.transform("embedding", lambda x: x.cast("double"))
-    length = F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x)) + F.lit(1e-12)
-    unit = rows.select(group, F.col("pos").cast("long").alias("cid"), v.alias("u"))
-    unit = unit.select(group, "cid", F.lit(1).cast("long").alias("n"), F.transform("u", lambda x: x / length).alias("s"), F.lit(True).alias("live"))
-    unit = unit.where(~F.exists("s", F.isnan))  # what is no number is near to nothing
+    odd = F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    own = rows.where(~F.coalesce(odd, F.lit(False)))  # what is no number is near to nothing
+    unit = own.select(group, F.col("pos").cast("long").alias("cid"), v.alias("u"))
+    unit = unit.select(group, "cid", F.lit(1).cast("long").alias("n"), unit_vector("u").alias("s"), F.lit(True).alias("live"))
     state, live = stepped(unit, "linkage", F.col("live"))
     member, _ = stepped(rows.select(group, F.col("pos").cast("long").alias("pos"), F.col("pos").cast("long").alias("cid")), "linkage-members", F.lit(True))
     rest = []
@@ -224,9 +232,8 @@ def linked_clusters(rows: DataFrame, group: str, threshold: float, block: int =
     with the largest mean similarity to all of them, of equals the first, found by the product with their sum."""
     member = linked(rows, group, threshold, block, in_task)
     v = F.transform("embedding", lambda x: x.cast("double"))
-    length = F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x)) + F.lit(1e-12)
     own = rows.select(group, F.col("pos").cast("long").alias("pos"), v.alias("u")).join(member, [group, "pos"])
-    own = own.select(group, "pos", "cid", F.transform("u", lambda x: x / length).alias("u"))
+    own = own.select(group, "pos", "cid", unit_vector("u").alias("u"))
     # a component of a sum is a group of its own: no list of members is gathered
     sums = own.select(group, "cid", F.posexplode("u").alias("k", "x")).groupBy(group, "cid", "k").agg(F.sum("x").alias("x"))
     sums = sums.groupBy(group, "cid").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("s"))
