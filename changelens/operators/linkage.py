@@ -186,10 +186,18 @@ def linked(rows: DataFrame, group: str, threshold: float, block: int = BLOCK, in
     v = F.transform("embedding", lambda x: x.cast("double"))
     odd = F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
     own = rows.where(~F.coalesce(odd, F.lit(False)))  # what is no number is near to nothing
-    unit = own.select(group, F.col("pos").cast("long").alias("cid"), v.alias("u"))
-    unit = unit.select(group, "cid", F.lit(1).cast("long").alias("n"), unit_vector("u").alias("s"), F.lit(True).alias("live"))
-    state, live = stepped(unit, "linkage", F.col("live"))
-    member, _ = stepped(rows.select(group, F.col("pos").cast("long").alias("pos"), F.col("pos").cast("long").alias("cid")), "linkage-members", F.lit(True))
+    # equal vectors are joined before all else, and are one cluster to begin with; not so those too short to be a unit
+    alone = F.when(F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x)) >= 0.5, F.lit(None)).otherwise(F.col("cid"))
+    each = own.select(group, F.col("pos").cast("long").alias("cid"), v.alias("u"))
+    each = each.withColumn("alone", alone if threshold < 1 - 1e-9 else F.col("cid"))
+    once = each.groupBy(group, "u", "alone").agg(F.min("cid").alias("cid"), F.count(F.lit(1)).alias("n"))
+    once = once.select(group, "cid", "n", F.transform(unit_vector("u"), lambda x: x * F.col("n")).alias("s"), F.lit(True).alias("live"), "u", "alone")
+    once, live = stepped(once, "linkage-equal", F.col("live"))
+    state = once.select(group, "cid", "n", "s", "live")
+    first = once.where("n > 1").select(group, "u", F.col("cid").alias("_to"))
+    copied = each.where("alone is null").join(first, [group, "u"]).select(group, F.col("cid").alias("pos"), "_to")
+    member = rows.select(group, F.col("pos").cast("long").alias("pos")).join(copied, [group, "pos"], "left")
+    member, _ = stepped(member.select(group, "pos", F.coalesce("_to", "pos").alias("cid")), "linkage-members", F.lit(True))
     rest = []
     while live:
         if in_task:

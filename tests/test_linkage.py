@@ -63,3 +63,17 @@ def test_blocks_are_multiplied_in_parts(spark, monkeypatch):
     for _, pos, cluster, _, _ in by_group(linkage.linked_clusters(rows, "g", 0.7, 11)):
         got.setdefault(cluster, []).append(pos)
     assert [got[c] for c in sorted(got)] == mining.average_linkage(v, 0.7)
+
+
+def test_equal_vectors_take_no_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    v = np.r_[np.repeat(rng.normal(size=(6, 4)), 7, 0), np.zeros((3, 4)), np.full((2, 4), 1e-13)]
+    v = v[rng.permutation(len(v))]
+    rows = spark.createDataFrame([("a", i, x.tolist()) for i, x in enumerate(v)], DDL)
+    rounds, nearest = [], linkage.nearest_clusters
+    monkeypatch.setattr(linkage, "nearest_clusters", lambda *x: rounds.append(1) or nearest(*x))
+    got = {}
+    for _, pos, cluster, _, _ in by_group(linkage.linked_clusters(rows, "g", 0.9)):
+        got.setdefault(cluster, []).append(pos)
+    assert [got[c] for c in sorted(got)] == mining.average_linkage(v, 0.9)
+    assert len(rounds) <= 2
